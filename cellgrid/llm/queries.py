@@ -9,6 +9,7 @@ from cellgrid.llm.common import fold, table
 from cellgrid.llm.decontaminate import contamination
 from cellgrid.llm.langid import fit_languages, identify
 from cellgrid.llm.packing import pack
+from cellgrid.llm.pii import find_pii
 from cellgrid.llm.quality import THRESHOLD, fit_quality, score_quality, training_rows
 from cellgrid.llm.simhash import near_duplicates
 from cellgrid.llm.url_filter import url_filter
@@ -49,7 +50,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_simhash, op7_quality, op8_url_filter, op9_packing)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_simhash, op7_quality, op8_url_filter, op9_packing, op10_pii)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
