@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellgrid.llm.ann import nearest
 from cellgrid.llm.common import fold, table
 from cellgrid.llm.decontaminate import contamination
 from cellgrid.llm.langid import fit_languages, identify
@@ -34,6 +35,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(training_rows(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_simhash, op7_quality, op8_url_filter, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_simhash, op5_ann, op7_quality, op8_url_filter, op9_packing, op10_pii)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
