@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellgrid.llm.ann import nearest
 from cellgrid.llm.common import fold, table
 from cellgrid.llm.decontaminate import contamination
+from cellgrid.llm.katz import katz_scores
 from cellgrid.llm.langid import fit_languages, identify
 from cellgrid.llm.packing import pack
 from cellgrid.llm.pii import find_pii
@@ -39,6 +40,12 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold("doc_id", 10)
+    scores, _ = katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), part != 0, part == 0)
+    return scores
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(training_rows(docs, table(spark, sf_dir, "labels")))
@@ -60,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_simhash, op5_ann, op7_quality, op8_url_filter, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_simhash, op5_ann, op6_lm_scoring, op7_quality, op8_url_filter, op9_packing, op10_pii)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
