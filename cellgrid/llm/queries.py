@@ -14,11 +14,17 @@ from cellgrid.llm.packing import pack
 from cellgrid.llm.pii import find_pii
 from cellgrid.llm.quality import THRESHOLD, fit_quality, score_quality, training_rows
 from cellgrid.llm.simhash import near_duplicates
+from cellgrid.llm.token_counts import redaction_edits, token_counts
 from cellgrid.llm.url_filter import url_filter
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), edits=redaction_edits)
+    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -67,7 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_simhash, op5_ann, op6_lm_scoring, op7_quality, op8_url_filter, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language_id, op4_simhash, op5_ann, op6_lm_scoring, op7_quality, op8_url_filter, op9_packing, op10_pii)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
