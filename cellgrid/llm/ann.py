@@ -30,9 +30,9 @@ SAMPLE, QUERIES = 8192, 160
 #: Share of the sample's nearest neighbours that the fitted probes must reach.
 TARGET = 0.95
 MAX_PROBES = 2048
-GROUP_ROWS, BUCKET_ROWS = 8192, 48
+GROUP_ROWS, BUCKET_ROWS = 32_768, 48
 #: Queries of a group are answered so many at a time, and queries that found too few neighbours so many in a pass over all rows.
-CHUNK, PASS = 512, 4096
+CHUNK, PASS = 128, 4096
 
 
 def perturbations(k: int, most: int) -> list[tuple[int, ...]]:
@@ -269,8 +269,9 @@ def _scan(block, top: int):
 
 
 def _top(found: DataFrame, n: int) -> DataFrame:
+    """The n best candidates of each query. One found in several tables has the same rank each time, so each task passes on its n best before the shuffle."""
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "low", "u")
-    return found.dropDuplicates(["ask", "u"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    return found.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= n).drop("_n").dropDuplicates(["ask", "u"])
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, top: int = TOP, tables: int = TABLES, sample_rows: int = SAMPLE, group_rows: int = GROUP_ROWS) -> DataFrame:
