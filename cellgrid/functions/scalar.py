@@ -49,8 +49,9 @@ def floor_divide(x: Column, y: Column, dx: np.dtype, dy: np.dtype) -> Column:
         remainder = x % safe
         return F.coalesce(F.call_function("div", x, safe) - F.when((remainder != 0) & ((remainder < 0) != (safe < 0)), 1).otherwise(0), F.lit(0).cast("bigint"))
     x, y = real(x), real(y)
-    ratio = divide(x, y)
-    return F.when(F.isnan(ratio) | (F.abs(ratio) == INF), ratio).otherwise(_floor((x - remainder_of(x, y)) / F.when(y != 0, y) + 0.5))
+    whole = _floor((x - remainder_of(x, y)) / F.when(y != 0, y) + 0.5)
+    beyond = F.when((x == 0) | ((x < 0) == (y < 0)), 0.0).otherwise(-1.0)
+    return F.when(y == 0, divide(x, y)).when(F.isnan(x) | F.isnan(y) | (F.abs(x) == INF), NAN).when(F.abs(y) == INF, beyond).otherwise(whole)
 
 
 def _floor(x: Column) -> Column:

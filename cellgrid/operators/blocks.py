@@ -222,7 +222,9 @@ def map_blocks(func: Callable, *args, dtype=None, chunks=None, drop_axis=None, n
     cells = cells.withColumns({f"b{k}": block_number(F.col(f"i{k}"), c) for k, c in enumerate(sizes)})
     drop = set(axis_numbers(drop_axis, len(shape))) if drop_axis is not None else set()
     new = tuple(new_axis) if isinstance(new_axis, (tuple, list)) else (() if new_axis is None else (new_axis,))
-    origins, dtypes, ndim = starts_of(sizes), [a.dtype for a in arrays], [a.ndim for a in arrays]
+    origins, dtypes = starts_of(sizes), [a.dtype for a in arrays]
+    # an array's own part of a block: one cell along axes that it is broadcast over, none along those it lacks
+    cut = [tuple(0 if k < len(shape) - a.ndim else slice(0, 1) if a.shape[k - len(shape) + a.ndim] == 1 else slice(None) for k in range(len(shape))) for a in arrays]
     base = [c for k, c in enumerate(sizes) if k not in drop]
     for k in sorted(new):
         base.insert(k, (1,))
@@ -241,9 +243,8 @@ def map_blocks(func: Callable, *args, dtype=None, chunks=None, drop_axis=None, n
         start = [o[b] for o, b in zip(origins, block, strict=True)]
         extent = tuple(c[b] for c, b in zip(sizes, block, strict=True))
         index = [f"i{k}" for k in range(len(shape))]
-        parts = iter([fill(table, index, start, extent, d, n) for n, d in zip(names, dtypes, strict=True)])
-        dims = iter(ndim)
-        call = [(lambda b, n: b.reshape(b.shape[b.ndim - n :]) if b.ndim > n else b)(next(parts), next(dims)) if isinstance(a, tuple) and a == _HOLE else a for a in holes]
+        parts = iter([fill(table, index, start, extent, d, n)[c] for n, d, c in zip(names, dtypes, cut, strict=True)])
+        call = [next(parts) if isinstance(a, _Hole) else a for a in holes]
         more = dict(extra)
         if want_id:
             more["block_id"] = block
@@ -253,12 +254,13 @@ def map_blocks(func: Callable, *args, dtype=None, chunks=None, drop_axis=None, n
         at = [0 if p is None else block[p] for p in places]
         return spread(out, [o[b] for o, b in zip(out_origins, at, strict=True)], out_dtype)
 
-    holes = [_HOLE if isinstance(a, Array) else a for a in args]
+    holes = [_Hole() if isinstance(a, Array) else a for a in args]
     done = cells.groupBy(*[f"b{k}" for k in range(len(shape))]).applyInArrow(kernel, schema_of(len(out_sizes), out_dtype))
     return from_cells(done, [sum(c) for c in out_sizes], out_dtype, tuple(out_sizes))
 
 
-_HOLE = ("an array's block",)
+class _Hole:
+    """Stands for an array's block among a kernel's arguments."""
 
 
 def map_blocks_multi_output(func, *args, outputs: int, dtypes, **kwargs) -> list[Array]:

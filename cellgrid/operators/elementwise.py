@@ -311,7 +311,7 @@ def digitize(a: Array, bins, right: bool = False) -> Array:
     v = scalar.real(a.value)
     if len(up) == 0:
         return a.with_value(F.lit(0).cast("bigint"), "int64")
-    below = (lambda k: v > float(up[k])) if right == rising else (lambda k: v >= float(up[k]))
+    below = (lambda k: v > float(up[k])) if right else (lambda k: v >= float(up[k]))
 
     def search(lo: int, hi: int) -> Column:
         if lo == hi:

@@ -345,7 +345,7 @@ def _local(a: Array, func, shapes: list[tuple], *others: Array, dtype=float) ->
             parts.append(t.append_column("o", pa.array(np.full(t.num_rows, j, np.int32))))
         return pa.concat_tables(parts)
 
-    done = frame.groupBy(F.lit(0)).applyInArrow(kernel, "i0 bigint, i1 bigint, v double, o int")
+    done = frame.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(kernel, "i0 bigint, i1 bigint, v double, o int")
     results = []
     for j, shape in enumerate(shapes):
         part = done.where(F.col("o") == j)

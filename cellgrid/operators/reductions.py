@@ -370,7 +370,7 @@ def bin_of(v: Column, edges: np.ndarray) -> Column:
 def histogram(a, bins=10, range=None, weights=None, density: bool = False, normed=None):
     """(counts, edges)."""
     counts, edges = histogramdd([a], [bins], [range] if range is not None else None, weights, density)
-    return counts, edges[0]
+    return (counts if density or weights is not None else astype(counts, "int64")), edges[0]
 
 
 def histogram2d(x, y, bins=10, range=None, weights=None, density: bool = False, normed=None):
@@ -393,7 +393,7 @@ def histogramdd(sample, bins=10, range=None, weights=None, density: bool = False
     binned = frame.df.select(*[bin_of(v, e).cast("bigint").alias(n) for v, e, n in zip(values, edges, names, strict=False)], (values[-1] if weights is not None else F.lit(1)).alias("_w"))
     counted = binned.dropna(subset=names).groupBy(*names).agg((F.sum("_w") if weights is not None else F.count(F.lit(1))).alias("_n"))
     shape = tuple(len(e) - 1 for e in edges)
-    dtype = np.dtype(float if weights is not None or density else "int64")
+    dtype = np.dtype(float)
     places = grid(shape).cells().drop("v").join(counted, names, "left").select(*names, F.coalesce("_n", F.lit(0)).cast(spark_type(dtype)).alias("v"))
     out = from_cells(places, shape, dtype)
     if density:
