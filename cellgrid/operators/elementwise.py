@@ -37,11 +37,25 @@ def broadcast_shapes(*shapes) -> tuple:
     return tuple(out)
 
 
+def fused(arrays: list[Array]) -> list[Array]:
+    """Reductions of one frame by the same keys become one aggregation."""
+    groupings = [a.df.__dict__.get("_grouping") for a in arrays]
+    if len({id(a.df) for a in arrays}) < 2 or any(g is None or g[0] is not groupings[0][0] or g[1] != groupings[0][1] for g in groupings):
+        return arrays
+    base, keys, _ = groupings[0]
+    every = {name: column for _, _, columns in groupings for name, column in columns.items()}
+    sums = [column.alias(name) for name, column in every.items()]
+    df = base.groupBy(*keys).agg(*sums) if keys else base.agg(*sums)
+    df._grouping = (base, keys, every)
+    return [Array(df, a.axes, a.value, a.dtype) for a in arrays]
+
+
 def align(arrays: list[Array]) -> tuple[Array, list[Column]]:
     """One frame for all: its axes (value aside) and each array's value in it.
 
     Arrays over one frame whose active axes agree need no join. Others are joined on the positions that both have; a side that has none is crossed, which
     is what an outer product is. The smaller side is broadcast if its size is known to be small."""
+    arrays = fused(arrays)
     shape = broadcast_shapes(*[a.shape_or_none for a in arrays])
     padded = [[Axis(None)] * (len(shape) - a.ndim) + list(a.axes) for a in arrays]
     active_at = [[k for k, ax in enumerate(axes) if ax.col is not None and shape[k] != 1 and ax.size != 1] for axes in padded]
@@ -54,7 +68,7 @@ def align(arrays: list[Array]) -> tuple[Array, list[Column]]:
             col, offset = used.pop() if used else (None, 0)
             chosen.append(Axis(col, offset, n))
         else:
-            cells = {tuple((ax.col, ax.offset) for ax in a.axes if ax.col) for a in arrays}
+            cells = {tuple(sorted((ax.col, ax.offset) for ax in a.axes if ax.col)) for a in arrays}
             if len(cells) == 1:
                 return Array(arrays[0].df, chosen, F.lit(None), float), [a.value for a in arrays]
     names = [fresh("j") for _ in shape]

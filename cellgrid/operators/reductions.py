@@ -23,6 +23,7 @@ def reduce_with(x: Array, axis, keepdims: bool, dtype, aggregate) -> Array:
     keys = [a.col for k, a in enumerate(x.axes) if k not in gone and a.col is not None]
     out = fresh("r")
     df = x.df.groupBy(*keys).agg(aggregate(x.value).alias(out)) if keys else x.df.agg(aggregate(x.value).alias(out))
+    df._grouping = (x.df, tuple(keys), {out: aggregate(x.value)})  # so that align() can fuse reductions of one frame
     axes = [Axis(None) if k in gone else a for k, a in enumerate(x.axes) if keepdims or k not in gone]
     value = F.col(out) if dtype is None else F.col(out).cast(spark_type(np.dtype(dtype)))
     return Array(df, axes, value, dtype)

@@ -30,7 +30,12 @@ def write_text(path: str, text: str) -> None:
 
 
 def read_text(path: str) -> str:
-    return active().read.text(path, wholetext=True).first()[0]
+    fs, where = _fs(path)  # Spark's readers skip names that start with '_' or '.'
+    stream = fs.open(where)
+    try:
+        return active()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 # -- Parquet cells -------------------------------------------------------------------------------------------------------------------------------------------
