@@ -263,18 +263,24 @@ def _window_value(name: str, v: Column, dtype: np.dtype, ddof: int = 0):
     return lambda w: F.when(F.max(F.when(nan, 1).otherwise(0)).over(w) == 1, float("nan")).otherwise(value(w))
 
 
-def sliding(x, window: int, reduction: str = "mean", axis: int = -1, ddof: int = 0) -> Array:
-    """What `reduction` gives over each full window, as sliding_window_view(x, window, axis) reduced along its last axis, from one window function."""
+def sliding(x, window: int, reduction="mean", axis: int = -1, ddof: int = 0):
+    """What `reduction` gives over each full window, as sliding_window_view(x, window, axis) reduced along its last axis, from one window function.
+
+    A list of reductions gives a list of arrays over one frame, from one pass."""
     x = asarray(x)
     k = axis_number(axis, x.ndim)
-    out = fresh("m")
-    value = _window_value(reduction, x.value, x.dtype, ddof)
-    df = halo(x, k, 0, window - 1, build=lambda w: {out: value(w.rowsBetween(0, window - 1))})
+    names = [reduction] if isinstance(reduction, str) else list(reduction)
+    columns = [fresh("m") for _ in names]
+    parts = [_window_value(name, x.value, x.dtype, ddof) for name in names]
+    df = halo(x, k, 0, window - 1, build=lambda w: {c: part(w.rowsBetween(0, window - 1)) for c, part in zip(columns, parts, strict=True)})
     n = x.axes[k].size - window + 1
     axes = list(x.axes)
     axes[k] = Axis(axes[k].col, axes[k].offset, n)
-    dtype = {"any": bool, "all": bool, "count": "int64"}.get(reduction) or (x.dtype if reduction.endswith(("min", "max")) else _sum_like(x, reduction))
-    return Array(df.where(x.axes[k].position < n), axes, F.col(out).cast(spark_type(np.dtype(dtype))), dtype)
+    df, out = df.where(x.axes[k].position < n), []
+    for name, column in zip(names, columns, strict=True):
+        dtype = {"any": bool, "all": bool, "count": "int64"}.get(name) or (x.dtype if name.endswith(("min", "max")) else _sum_like(x, name))
+        out.append(Array(df, axes, F.col(column).cast(spark_type(np.dtype(dtype))), dtype))
+    return out[0] if isinstance(reduction, str) else out
 
 
 def _sum_like(x: Array, reduction: str):

@@ -91,12 +91,12 @@ def _blocked(x: Array, f: int) -> Array:
 # -- elementwise -------------------------------------------------------------------------------------------------------------------------------------------------
 @query(
     f"""SELECT i AS i0, {R("exp(v / 100)")} AS exp, {R("pow(2, v / 100)")} AS exp2, {R("ln(v)")} AS log, {R("log2(v)")} AS log2, {R("log10(v)")} AS log10, {R("ln(1 + v)")} AS log1p,
-    {R("exp(v / 1000) - 1")} AS expm1, {R("sqrt(v)")} AS sqrt, {R("v * v", 2)} AS square, {R("cbrt(v)")} AS cbrt, {R("1 / v")} AS reciprocal, {R("ln(exp(v / 100) + exp(1))")} AS logaddexp FROM {E}"""
+    {R("exp(v / 1000) - 1")} AS expm1, {R("sqrt(v)")} AS sqrt, {R("v * v")} AS square, {R("cbrt(v)")} AS cbrt, {R("1 / v")} AS reciprocal, {R("ln(exp(v / 100) + exp(1))")} AS logaddexp FROM {E}"""
 )
 def ufunc_exponents(spark, d):
     x = values(spark, d)
     return table(
-        exp=cg.exp(x / 100), exp2=cg.exp2(x / 100), log=cg.log(x), log2=cg.log2(x), log10=cg.log10(x), log1p=cg.log1p(x), expm1=cg.expm1(x / 1000), sqrt=cg.sqrt(x), square=cg.round(cg.square(x), 2),
+        exp=cg.exp(x / 100), exp2=cg.exp2(x / 100), log=cg.log(x), log2=cg.log2(x), log10=cg.log10(x), log1p=cg.log1p(x), expm1=cg.expm1(x / 1000), sqrt=cg.sqrt(x), square=cg.square(x),
         cbrt=cg.cbrt(x), reciprocal=cg.reciprocal(x), logaddexp=cg.logaddexp(x / 100, 1.0),
     )
 
@@ -116,14 +116,14 @@ def ufunc_trigonometry(spark, d):
 
 @query(
     f"""SELECT i AS i0, {R("v + i")} AS add, {R("v - i")} AS subtract, {R("v * i")} AS multiply, {R("v / (i + 1)")} AS divide, CAST(floor((i - 500) / 7.0) AS BIGINT) AS floor_divide,
-    CAST((i - 500) - 7 * floor((i - 500) / 7.0) AS BIGINT) AS remainder, {R("-v")} AS negative, {R("pow(v, 1.5)", 2)} AS power, {R("abs(v - 100)")} AS absolute, {R("sign(v - 100)")} AS sign,
+    CAST((i - 500) - 7 * floor((i - 500) / 7.0) AS BIGINT) AS remainder, {R("-v")} AS negative, {R("pow(v, 1.5)")} AS power, {R("abs(v - 100)")} AS absolute, {R("sign(v - 100)")} AS sign,
     {R("floor(v)")} AS floor, {R("ceil(v)")} AS ceil, {R("trunc(v - 100)")} AS trunc, {R("round_even(v, 0)")} AS rint, {R("v - trunc(v)")} AS fraction FROM {E}"""
 )
 def ufunc_arithmetic(spark, d):
     x = values(spark, d)
     i = x.with_value(x.axes[0].position, "int64")
     return table(
-        add=x + i, subtract=x - i, multiply=x * i, divide=x / (i + 1), floor_divide=(i - 500) // 7, remainder=(i - 500) % 7, negative=-x, power=cg.round(x**1.5, 2), absolute=abs(x - 100),
+        add=x + i, subtract=x - i, multiply=x * i, divide=x / (i + 1), floor_divide=(i - 500) // 7, remainder=(i - 500) % 7, negative=-x, power=x**1.5, absolute=abs(x - 100),
         sign=cg.sign(x - 100), floor=cg.floor(x), ceil=cg.ceil(x), trunc=cg.trunc(x - 100), rint=cg.rint(x), fraction=cg.modf(x)[0],
     )
 
@@ -337,8 +337,8 @@ def gradient(spark, d):
 )
 def sliding_windows(spark, d):
     x = values(spark, d)
-    parts = {name: cg.sliding(x, 20, how) for name, how in (("mean", "mean"), ("low", "min"), ("high", "max"), ("total", "sum"), ("std", "std"))}
-    return table(mean=parts["mean"], low=parts["low"], high=parts["high"], total=cg.round(parts["total"], 4), std=cg.round(parts["std"], 5))
+    mean, low, high, total, std = cg.sliding(x, 20, ["mean", "min", "max", "sum", "std"])
+    return table(mean=mean, low=low, high=high, total=cg.round(total, 4), std=cg.round(std, 5))
 
 
 @query(f"""SELECT i AS i0, {R("CASE WHEN count(v) OVER w >= 5 THEN avg(v) OVER w ELSE 'nan'::DOUBLE END")} AS mean FROM {E} WINDOW w AS (ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
