@@ -25,8 +25,8 @@ from cellgrid.operators.blocks import (
 )
 from cellgrid.operators.combine import block, concatenate, dstack, hstack, stack, vstack
 from cellgrid.operators.elementwise import (
-    FUNCTIONS, allclose, angle, around, broadcast_arrays, broadcast_to, choose, clip, conj, digitize, divmod, elemwise, frexp, frompyfunc, imag, isclose, iscomplexobj, isin, isnull, modf,
-    nan_to_num, notnull, piecewise, real, result_type, round, select, ufunc, where,
+    FUNCTIONS, allclose, angle, around, broadcast_arrays, broadcast_to, choose, clip, conj, digitize, divmod, elemwise, frexp, frompyfunc, i0, imag, isclose, iscomplexobj, isin, isnull, modf,
+    nan_to_num, nextafter, notnull, piecewise, real, result_type, round, select, ufunc, where, wrap_elemwise,
 )
 from cellgrid.operators.indexing import append, argwhere, compress, delete, extract, flatnonzero, insert, nonzero, take
 from cellgrid.operators.linalg import dot, einsum, matmul, outer, tensordot, vdot
@@ -41,7 +41,7 @@ from cellgrid.operators.shape import (
     swapaxes, tile, transpose, tril, tril_indices, tril_indices_from, triu, triu_indices, triu_indices_from, unravel_index,
 )
 from cellgrid.operators.windows import cumprod, cumreduction, cumsum, diff, ediff1d, gradient, moving, nancumprod, nancumsum, push, sliding, sliding_window_view, stencil
-from cellgrid.plans.explain import explain, expr_flow, expr_table, optimize
+from cellgrid.plans.explain import explain, expr_flow, expr_table, optimize, to_svg, trace_rewrites, transfer_bytes
 from cellgrid.sources.creation import (
     arange, array, asanyarray, asarray, diag, diagonal, empty, empty_like, eye, from_array, from_dataframe, from_vectors, fromfunction, full, full_like, indices, linspace, meshgrid, ones,
     ones_like, tri, zeros, zeros_like,
@@ -150,6 +150,7 @@ def _operators() -> None:
     Array.to_zarr, Array.to_parquet = lambda self, *a, **k: to_zarr(self, *a, **k), lambda self, *a, **k: to_parquet(self, *a, **k)
     Array.to_tiledb, Array.to_hdf5 = lambda self, *a, **k: to_tiledb(self, *a, **k), lambda self, filename, datapath, **k: to_hdf5(filename, datapath, self, **k)
     Array.to_delayed, Array.store = lambda self, **k: to_delayed(self), lambda self, target, **k: store(self, target, **k)
+    Array.to_svg, Array.transfer_bytes = lambda self, size=120: to_svg(self, size), property(transfer_bytes)
     Array.to_backend = lambda self, backend=None: self
     Array.name = property(lambda self: f"array-{abs(hash(self.df.semanticHash())):x}")
     Array.view = _view

@@ -169,6 +169,20 @@ FUNCTIONS = {name: ufunc(name) for name in scalar.UFUNCS}
 globals().update(FUNCTIONS)
 
 
+def i0(x) -> Array:
+    """The modified Bessel function of order 0."""
+    return frompyfunc(lambda v: float(np.i0(v)), 1)(x)
+
+
+def nextafter(x, y) -> Array:
+    return frompyfunc(lambda a, b: float(np.nextafter(a, b)), 2)(x, y)
+
+
+def wrap_elemwise(name) -> ufunc:
+    """A universal function of this library by NumPy's function or its name."""
+    return FUNCTIONS[name if isinstance(name, str) else name.__name__]
+
+
 def astype(x: Array, dtype) -> Array:
     dtype = np.dtype(dtype)
     if dtype.kind == "c":

@@ -48,5 +48,27 @@ expr_flow = pprint = expr_table
 
 def transfer_bytes(x: Array) -> tuple[int, int]:
     """Least and most bytes that may move: nothing without an exchange, else Spark's size estimate for each."""
-    size = int(x.cells()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(x.cells()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return 0, size * counts(x)["exchange"]
+
+
+def trace_rewrites(x: Array) -> dict[str, int]:
+    """Catalyst's rules that changed the plan, with how often."""
+    execution = x.cells()._jdf.queryExecution()
+    execution.optimizedPlan()
+    rules, out = execution.tracker().rules().iterator(), {}
+    while rules.hasNext():
+        pair = rules.next()
+        if n := pair._2().numEffectiveInvocations():
+            out[pair._1().rsplit(".", 1)[-1]] = int(n)
+    return out
+
+
+def to_svg(x: Array, side: int = 120) -> str:
+    """A drawing of a matrix's blocks (higher dimensions: of their last two axes)."""
+    rows, cols = (x.chunks[-2], x.chunks[-1]) if x.ndim > 1 else ((1,), x.chunks[-1] if x.ndim else (1,))
+    h, w = max(1, sum(rows)), max(1, sum(cols))
+    scale = side / max(h, w)
+    at = lambda sizes: [0, *[sum(sizes[: k + 1]) for k in range(len(sizes))]]
+    lines = [f'<line x1="0" y1="{y * scale:.1f}" x2="{w * scale:.1f}" y2="{y * scale:.1f}"/>' for y in at(rows)] + [f'<line x1="{c * scale:.1f}" y1="0" x2="{c * scale:.1f}" y2="{h * scale:.1f}"/>' for c in at(cols)]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{w * scale:.0f}" height="{h * scale:.0f}" stroke="black">{"".join(lines)}</svg>'

@@ -245,3 +245,14 @@ def test_protocols(spark):
     q, r = divmod(x, 4)
     same(q, X // 4)
     same(r, X % 4)
+
+
+def test_introspection(spark, orders):
+    y = orders[100:200] * 2 + 1
+    assert any("Push" in r for r in cg.trace_rewrites(y.with_axes(y.axes, y.df.select("*").where("o_orderkey > 3"))))
+    assert y.transfer_bytes[1] == 0 and cg.cumsum(y).transfer_bytes[1] > 0
+    assert cg.from_array(X).rechunk((4, 3)).to_svg().count("<line") == 3 + 5
+    assert "Filter" in y.optimize() and "cellgrid.Array" in cg.expr_table(y)
+    same(cg.i0(cg.from_array(X)), np.i0(X))
+    same(cg.nextafter(cg.from_array(X), 1e9), np.nextafter(X, 1e9))
+    same(cg.wrap_elemwise(np.sin)(cg.from_array(X)), np.sin(X))
