@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgrid.llm.common import thin
+from cellgrid.llm.common import materialise, remove, thin
 
 SAMPLE_CHARS, TOTAL_CHARS = 3_000_000, 24_000_000
 #: A word is known if the sample has it so often, in all languages together.
@@ -39,59 +39,65 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """Rows of log probabilities, one column a language, for known words and for the n-grams of each order."""
-
-    def __init__(self, counts: dict[str, Counter]):
-        self.langs = sorted(counts)
-        totals: Counter = Counter()
-        for c in counts.values():
-            totals.update(c)
-        self.words = self._rows({w: [counts[x].get(w, 0) for x in self.langs] for w, n in totals.items() if n >= MIN_COUNT})
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
+    """One matrix of log probabilities, a column a language; rows for known words and for the known n-grams of each order.
+
+    words and grams: (text, counts in the order of langs). An n-gram's order is its length, so one table holds them all."""
+
+    def __init__(self, langs: list[str], words: list[tuple[str, list[int]]], grams: list[tuple[str, list[int]]]):
+        self.langs = langs
+        self.word_at = {w: i for i, (w, _) in enumerate(words)}
+        self.gram_at: dict[str, int] = {}
+        parts = [_logs([c for _, c in words], len(langs))]
+        start = len(words)
+        for n in ORDERS:
+            own = [x for x in grams if len(x[0]) == n]
+            self.gram_at |= {g: start + i for i, (g, _) in enumerate(own)}
+            parts.append(_logs([c for _, c in own], len(langs)))
+            start += len(own)
+        self.matrix = np.concatenate([*parts, np.zeros((1, len(langs)), np.float32)])
+
+    def evidence(self, word: str) -> list[int]:
+        """Rows whose mean speaks for the word: its own if it is known, else those of its known n-grams of the greatest length that has any; else the last row, zero."""
+        at = self.word_at.get(word)
+        if at is not None:
+            return [at]
+        known = self.gram_at
         for n in ORDERS:
-            seen: dict[str, list[int]] = {}
-            for k, lang in enumerate(self.langs):
-                for word, times in counts[lang].items():
-                    for g in grams_of(word, n):
-                        if g not in seen:
-                            seen[g] = [0] * len(self.langs)
-                        seen[g][k] += times
-            self.grams[n] = self._rows({g: c for g, c in seen.items() if sum(c) >= MIN_GRAM})
-
-    def _rows(self, table: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        counts = np.array(list(table.values()), float)
-        logs = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * (len(counts) + 1)))
-        return dict(zip(table, logs.astype(np.float32), strict=True))
+            marked = f"^{word}$" if n > 1 else word
+            if rows := [known[g] for g in [marked[i : i + n] for i in range(len(marked) - n + 1)] if g in known]:
+                return rows
+        return [len(self.matrix) - 1]
 
     def word_row(self, word: str) -> np.ndarray:
-        """A known word's row, or else the mean row of the known n-grams of the greatest length that has any; nothing known: no evidence."""
-        row = self.words.get(word)
-        if row is not None:
-            return row
-        for n in ORDERS:
-            known = [self.grams[n][g] for g in grams_of(word, n) if g in self.grams[n]]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+        return self.matrix[self.evidence(word)].astype(float).mean(axis=0)
+
+
+def _logs(counts: list[list[int]], langs: int) -> np.ndarray:
+    table = np.array(counts, float).reshape(len(counts), langs)
+    return np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (len(table) + 1))).astype(np.float32)
 
 
 class _Rows(dict):
-    """Row numbers of words met so far in one matrix that grows."""
+    """Row numbers of words met so far in one matrix that grows; new words are added text by text."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model = model
         self.matrix = np.zeros((1024, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.matrix):
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in set(words) if w not in self]
+        if not new:
+            return
+        found = list(map(self.model.evidence, new))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((i for rows in found for i in rows), np.int64, int(sizes.sum()))
+        means = np.add.reduceat(self.model.matrix[flat], np.cumsum(sizes) - sizes, axis=0, dtype=float) / sizes[:, None]
+        start = len(self)
+        while start + len(new) > len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[at] = self.model.word_row(word)
-        self[word] = at
-        return at
+        self.matrix[start : start + len(new)] = means
+        self.update(zip(new, range(start, start + len(new)), strict=True))
 
 
 class Identifier:
@@ -105,6 +111,7 @@ class Identifier:
         words = words_of(text)
         if len(self.rows) > CACHE:
             self.rows = _Rows(self.model)
+        self.rows.learn(words)
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         logs = self.rows.matrix[at].sum(axis=0)
         best = int(logs.argmax())
@@ -116,23 +123,48 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     The sample bounds what reaches the driver: at most total_chars characters' words."""
     use = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).cast("string").alias("k"))
-    langs = [r["lang"] for r in use.select("lang").distinct().collect()]
+    langs = sorted(r["lang"] for r in use.select("lang").distinct().collect())
     each = min(sample_chars, total_chars // max(1, len(langs)))
     sample = thin(use, ["k", "text"], F.length("text"), each, "lang")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.setdefault(lang, Counter()).update(words_of(text))
-            rows = [(x, w, n) for x, c in counts.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
-
-    table = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, Counter] = {x: Counter() for x in langs}
-    for row in table.toLocalIterator():
-        counts[row["lang"]][row["word"]] = row["n"]
-    return LanguageModel(counts)
+            yield _counted([(x, w, n) for x, c in counts.items() for w, n in c.items()])
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, Counter] = {}
+            for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = counts.setdefault(lang, Counter())
+                for order in ORDERS:
+                    for g in grams_of(word, order):
+                        own[g] += n
+            yield _counted([(x, g, n) for x, c in counts.items() for g, n in c.items()])
+
+    kind = "lang string, item string, n long"
+    words = sample.select("lang", "text").mapInArrow(count_words, kind).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    words = materialise(words, "language-words")
+    grams = words.mapInArrow(count_grams, kind)
+    known = [_by_language(x, langs, least) for x, least in ((words, MIN_COUNT), (grams, MIN_GRAM))]
+    remove(words)
+    return LanguageModel(langs, *known)
+
+
+def _counted(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "item", "n"])
+
+
+def _by_language(counted: DataFrame, langs: list[str], least: int) -> list[tuple[str, list[int]]]:
+    """Items seen at least so often in all languages together, with their counts in each; as many as the sample can hold."""
+    if not langs:
+        return []
+    sums = counted.groupBy("item").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, x in enumerate(langs)])
+    table = sums.where(F.col("n") >= least).drop("n").toArrow()
+    counts = np.stack([table[f"n{k}"].to_numpy() for k in range(len(langs))], axis=1).tolist()
+    return sorted(zip(table["item"].to_pylist(), counts, strict=True))
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

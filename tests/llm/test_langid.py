@@ -11,14 +11,25 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_backoff_is_by_word_then_longest_grams():
-    counts = {"a": g.Counter({"abcab": 5, "abca": 2, "zz": 1}), "b": g.Counter({"qrs": 6, "abca": 1})}
-    model = g.LanguageModel(counts)
-    assert set(model.words) == {"abcab", "abca", "qrs"}
+    counts = {"a": {"abcab": 5, "abca": 2, "zz": 1}, "b": {"qrs": 6, "abca": 1}}
+    words = sorted({w for c in counts.values() for w in c})
+    grams = {}
+    for k, lang in enumerate("ab"):
+        for w, n in counts[lang].items():
+            for order in g.ORDERS:
+                for x in g.grams_of(w, order):
+                    grams.setdefault(x, [0, 0])[k] += n
+    each = lambda w: [counts[x].get(w, 0) for x in "ab"]
+    model = g.LanguageModel(["a", "b"], [(w, each(w)) for w in words if sum(each(w)) >= g.MIN_COUNT], [(x, c) for x, c in grams.items() if sum(c) >= g.MIN_GRAM])
+    assert set(model.word_at) == {"abcab", "abca", "qrs"}
     row = model.word_row("abca")
     assert np.allclose(row, [math.log((2 + 0.1) / (7 + 0.4)), math.log((1 + 0.1) / (7 + 0.4))], atol=1e-6)
-    known = [x for x in g.grams_of("xabca", 5) if x in model.grams[5]]
-    assert known == ["abca$"] and np.allclose(model.word_row("xabca"), model.grams[5]["abca$"])
-    assert np.allclose(model.word_row("kqk"), model.grams[1]["q"]) and model.word_row("w").tolist() == [0, 0]
+    known = [x for x in g.grams_of("xabca", 5) if x in model.gram_at]
+    assert known == ["abca$"] and np.allclose(model.word_row("xabca"), model.matrix[model.gram_at["abca$"]])
+    assert np.allclose(model.word_row("kqk"), model.matrix[model.gram_at["q"]]) and model.word_row("w").tolist() == [0, 0]
+    rows = g._Rows(model)
+    rows.learn(["abca", "xabca", "abca", "w"])
+    assert len(rows) == 3 and all(np.allclose(rows.matrix[rows[w]], model.word_row(w)) for w in rows)
 
 
 def test_odd_rows(spark):
