@@ -573,3 +573,332 @@ def ranges(spark, d):
 @query("""SELECT i AS i0, j AS i1, CAST(i = j AS DOUBLE) AS eye, CAST(j <= i AS DOUBLE) AS tri, CAST(i * 10 + j AS DOUBLE) AS made FROM range(4) a(i), range(5) b(j)""")
 def constants(spark, d):
     return table(eye=cg.eye(4, 5).settled(), tri=cg.tri(4, 5).settled(), made=cg.fromfunction(lambda i, j: i * 10 + j, (4, 5)).settled())
+
+
+# -- further indexing ----------------------------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT i // 3 AS i0, j AS i1, {R("v")} AS v FROM {M} WHERE i % 3 = 0 AND i < 30""")
+def compress_rows(spark, d):
+    x = matrix(spark, d)[:30]
+    return table(v=cg.compress(np.arange(30) % 3 == 0, x, axis=0))
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY i, j) - 1 AS i0, {R("v")} AS v FROM {M} WHERE v < -0.3""")
+def extract_cells(spark, d):
+    x = matrix(spark, d)
+    return table(v=cg.extract(x < -0.3, x))
+
+
+@query(f"""SELECT CASE WHEN i < 5 THEN i ELSE i + 2 END AS i0, {R("v", 4)} AS v FROM {O} WHERE i < 40 UNION ALL VALUES (CAST(5 AS BIGINT), -1.0::DOUBLE), (6, -2.0)""")
+def insert_positions(spark, d):
+    return table(4, v=cg.insert(price(spark, d)[:40], [5, 5], np.array([-1.0, -2.0]), 0))
+
+
+@query(f"""SELECT i AS i0, {R("v", 4)} AS v FROM {O} WHERE i < 40 UNION ALL SELECT i + 40 - 100, {R("v", 4)} FROM {O} WHERE i >= 100 AND i < 120""")
+def append_values(spark, d):
+    x = price(spark, d)
+    return table(4, v=cg.append(x[:40], x[100:120], axis=0))
+
+
+@query(f"""SELECT dense_rank() OVER (ORDER BY i, j) - 1 AS i0, CAST(k AS BIGINT) AS i1, CASE k WHEN 0 THEN i ELSE j END AS at FROM {M}, range(2) t(k) WHERE v > 0.35""")
+def argwhere_cells(spark, d):
+    return table(at=cg.argwhere(matrix(spark, d) > 0.35))
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY i * 64 + j) - 1 AS i0, i * 64 + j AS at FROM {M} WHERE v > 0.35""")
+def flatnonzero_cells(spark, d):
+    return table(at=cg.flatnonzero(matrix(spark, d) > 0.35))
+
+
+@query(f"""SELECT p AS i0, {R("v")} AS v FROM (VALUES (0, 3, 5), (1, 10, 0), (2, 3, 63)) t(p, r, c) JOIN {M} ON i = r AND j = c""")
+def points(spark, d):
+    return table(v=matrix(spark, d)[:20].vindex[[3, 10, 3], [5, 0, -1]])
+
+
+@query(f"""SELECT i AS i0, k AS i1, {R("v")} AS v FROM (VALUES (0, 7), (1, 2), (2, 7)) t(k, c) JOIN {M} ON j = c WHERE i < 25""")
+def fancy_columns(spark, d):
+    return table(v=matrix(spark, d)[:25, [7, 2, 7]])
+
+
+# -- further shapes --------------------------------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT j % 8 AS i0, i AS i1, j // 8 AS i2, {R("v")} AS v FROM {M} WHERE i < 10""")
+def move_axes(spark, d):
+    x = cg.reshape(matrix(spark, d)[:10], (10, 8, 8))
+    return table(v=cg.moveaxis(cg.swapaxes(cg.rollaxis(x, 2), 0, 0), 0, 0))
+
+
+@query(f"""SELECT 0::BIGINT AS i0, i AS i1, j AS i2, {R("v")} AS v FROM {M} WHERE i < 10""")
+def add_axes(spark, d):
+    return table(v=cg.atleast_3d(cg.expand_dims(cg.squeeze(cg.expand_dims(matrix(spark, d)[:10], 1), 1), 0)))
+
+
+@query(f"""SELECT 63 - j AS i0, i AS i1, {R("v")} AS v FROM {M} WHERE i < 10""")
+def rotate(spark, d):
+    return table(v=cg.rot90(matrix(spark, d)[:10]))
+
+
+@query(f"""SELECT 9 - i AS i0, 63 - j AS i1, {R("v")} AS v FROM {M} WHERE i < 10""")
+def flip_both(spark, d):
+    return table(v=cg.flipud(cg.fliplr(matrix(spark, d)[:10])))
+
+
+@query("""SELECT CAST(k AS BIGINT) AS i0, CAST(p AS BIGINT) AS i1, CAST(CASE k WHEN 0 THEN p * 3 // 64 ELSE (p * 3) % 64 END AS BIGINT) AS at, CAST(p * 3 AS BIGINT) AS back FROM range(2) a(k), range(100) b(p)""")
+def unravel(spark, d):
+    from cellgrid.operators.elementwise import broadcast_to
+
+    flat = (cg.arange(100) * 3).settled()
+    at = cg.unravel_index(flat, (10, 64)).settled()
+    back = cg.ravel_multi_index([at[0], at[1]], (10, 64)).settled()
+    return table(at=at, back=broadcast_to(back, (2, 100)))
+
+
+@query("""SELECT row_number() OVER (ORDER BY i, j) - 1 AS i0, CAST(i AS BIGINT) AS row, CAST(j AS BIGINT) AS col FROM range(6) a(i), range(7) b(j) WHERE j >= i + 1""")
+def triangle_indices(spark, d):
+    r, c = cg.triu_indices(6, 1, 7)
+    return table(row=r, col=c)
+
+
+@query(f"""SELECT i AS i0, j AS i1, CASE WHEN i = j THEN {R("v", 4)} ELSE 0.0 END AS v FROM (SELECT i, v FROM {O} WHERE i < 12), range(12) t(j)""")
+def diagonal_matrix(spark, d):
+    return table(4, v=cg.diag(price(spark, d)[:12].settled()))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, CAST(i AS BIGINT) AS a, CAST(j * 2 AS BIGINT) AS b FROM range(4) a(i), range(5) b(j)""")
+def mesh(spark, d):
+    a, b = cg.meshgrid(cg.arange(4).settled(), (cg.arange(5) * 2).settled(), indexing="ij")
+    return table(a=a, b=b)
+
+
+@query("""SELECT CAST(k AS BIGINT) AS i0, CAST(i AS BIGINT) AS i1, CAST(j AS BIGINT) AS i2, CAST(CASE k WHEN 0 THEN i ELSE j END AS BIGINT) AS v FROM range(2) t(k), range(3) a(i), range(4) b(j)""")
+def index_grid(spark, d):
+    return table(v=cg.indices((3, 4)))
+
+
+@query(f"""SELECT k AS i0, {R("v", 4)} AS v FROM (SELECT CAST(unnest(range(57)) AS BIGINT) AS k), {O} WHERE i = least(greatest(k - 4, 0), 49)""")
+def pad_edge(spark, d):
+    return table(4, v=cg.pad(price(spark, d)[:50], (4, 3), "edge"))
+
+
+@query(f"""SELECT k AS i0, {R("v", 4)} AS v FROM (SELECT CAST(unnest(range(57)) AS BIGINT) AS k), {O} WHERE i = (k - 4 + 50) % 50""")
+def pad_wrap(spark, d):
+    return table(4, v=cg.pad(price(spark, d)[:50], (4, 3), "wrap"))
+
+
+@query(f"""SELECT k AS i0, {R("v", 4)} AS v FROM (SELECT CAST(unnest(range(57)) AS BIGINT) AS k), {O} WHERE i = CASE WHEN k < 4 THEN 3 - k WHEN k > 53 THEN 49 - (k - 54) ELSE k - 4 END""")
+def pad_symmetric(spark, d):
+    return table(4, v=cg.pad(price(spark, d)[:50], (4, 3), "symmetric"))
+
+
+@query(f"""SELECT k AS i0, {R("coalesce(v, -1)", 4)} AS constant, {R("coalesce(v, (SELECT max(v) FROM {O} WHERE i < 50))", 4)} AS maximum, {R("coalesce(v, (SELECT avg(v) FROM {O} WHERE i < 50))", 4)} AS mean
+    FROM (SELECT CAST(unnest(range(57)) AS BIGINT) AS k) LEFT JOIN {O} ON i = k - 4 AND i < 50""".replace("{O}", O))
+def pad_statistics(spark, d):
+    x = price(spark, d)[:50]
+    return table(4, constant=cg.pad(x, (4, 3), constant_values=-1.0), maximum=cg.pad(x, (4, 3), "maximum"), mean=cg.pad(x, (4, 3), "mean"))
+
+
+# -- further combinations ----------------------------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT i AS i0, j AS i1, {R("v")} AS v FROM {M} WHERE i < 6 UNION ALL SELECT i, j + 64, {R("v * 2")} FROM {M} WHERE i < 6 UNION ALL SELECT i + 6, j, {R("v * 3")} FROM {M} WHERE i < 6
+    UNION ALL SELECT i + 6, j + 64, {R("v * 4")} FROM {M} WHERE i < 6""")
+def block_matrix(spark, d):
+    x = matrix(spark, d)[:6]
+    return table(v=cg.block([[x, x * 2], [x * 3, x * 4]]))
+
+
+@query(f"""SELECT i + 20 * k AS i0, j AS i1, {R("v * (k + 1)")} AS v FROM {M}, range(2) t(k) WHERE i < 20""")
+def vertical_stack(spark, d):
+    x = matrix(spark, d)[:20]
+    return table(v=cg.vstack([x, x * 2]))
+
+
+@query(f"""SELECT i AS i0, j + 64 * k AS i1, {R("v * (k + 1)")} AS v FROM {M}, range(2) t(k) WHERE i < 20""")
+def horizontal_stack(spark, d):
+    x = matrix(spark, d)[:20]
+    return table(v=cg.hstack([x, x * 2]))
+
+
+@query(f"""SELECT i AS i0, j AS i1, CAST(k AS BIGINT) AS i2, {R("v * (k + 1)")} AS v FROM {M}, range(2) t(k) WHERE i < 20""")
+def depth_stack(spark, d):
+    x = matrix(spark, d)[:20]
+    return table(v=cg.dstack([x, x * 2]))
+
+
+@query(f"""SELECT CAST(k AS BIGINT) AS i0, j AS i1, {R("v")} AS v FROM {M}, range(3) t(k) WHERE i = 4""")
+def broadcast_row(spark, d):
+    return table(v=cg.broadcast_to(matrix(spark, d)[4], (3, 64)))
+
+
+@query(f"""SELECT a.i AS i0, a.j AS i1, {R("a.v - b.m + c.v")} AS v FROM {M} a JOIN (SELECT j, avg(v) AS m FROM {M} GROUP BY j) b ON a.j = b.j JOIN {M} c ON c.i = a.i AND c.j = 0 WHERE a.i < 50""")
+def broadcast_sums(spark, d):
+    x = matrix(spark, d)
+    return table(v=x[:50] - x.mean(0) + x[:50, :1])
+
+
+# -- further linear algebra ----------------------------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT a.i AS i0, b.i AS i1, {R("sum(a.v * b.v)")} AS v FROM {M} a JOIN {M} b ON a.j = b.j WHERE a.i < 30 AND b.i < 20 GROUP BY a.i, b.i""")
+def tensor_product(spark, d):
+    x = matrix(spark, d)
+    return table(v=cg.tensordot(x[:30], x[:20], axes=([1], [1])))
+
+
+@query(f"""SELECT {R("sum(a.v * b.v)")} AS v FROM {M} a JOIN {M} b ON a.j = b.j WHERE a.i = 1 AND b.i = 2""")
+def inner_product(spark, d):
+    x = matrix(spark, d)
+    return table(v=cg.vdot(x[1], x[2]))
+
+
+@query(f"""SELECT a.i AS i0, {R("sum(a.v * b.v * c.v)")} AS v FROM {M} a JOIN {M} b ON a.j = b.j AND b.i = 0 JOIN {M} c ON a.j = c.j AND c.i = 1 WHERE a.i < 100 GROUP BY a.i""")
+def three_way_einsum(spark, d):
+    x = matrix(spark, d)
+    return table(v=cg.einsum("ij,j,j->i", x[:100], x[0], x[1]))
+
+
+_GRAM = f"(SELECT a.j AS i, b.j AS j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN 1 ELSE 0 END AS v FROM {M} a JOIN {M} b ON a.i = b.i WHERE a.j < 12 AND b.j < 12 GROUP BY a.j, b.j)"
+
+
+def _gram_matrix(spark, d):
+    x = matrix(spark, d)[:, :12]
+    return (x.T @ x + cg.eye(12).settled()).settled()
+
+
+@query("""SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, CAST(i = j AS DOUBLE) AS v FROM range(12) a(i), range(12) b(j)""")
+def inverse_product(spark, d):
+    """A matrix times its inverse."""
+    a = _gram_matrix(spark, d)
+    return table(v=a @ cg.linalg.inv(a).settled())
+
+
+@query(f"""SELECT i AS i0, j AS i1, {R("v", 5)} AS v FROM {_GRAM}""")
+def cholesky_product(spark, d):
+    low = cg.linalg.cholesky(_gram_matrix(spark, d), lower=True).settled()
+    return table(5, v=low @ low.T)
+
+
+@query(f"""SELECT i AS i0, j AS i1, {R("v", 5)} AS v FROM {_GRAM}""")
+def lu_product(spark, d):
+    p, low, up = (x.settled() for x in cg.linalg.lu(_gram_matrix(spark, d)))
+    return table(5, v=p @ low.settled() @ up)
+
+
+@query(f"""SELECT j AS i0, {R("v")} AS v FROM {M} WHERE i = 0 AND j < 12""")
+def solve_product(spark, d):
+    """A matrix times the solution is the right-hand side."""
+    a, b = _gram_matrix(spark, d), matrix(spark, d)[0, :12]
+    return table(v=a @ cg.linalg.solve(a, b).settled())
+
+
+@query(f"""SELECT CAST(k AS BIGINT) AS i0, round(CASE k WHEN 0 THEN regr_slope(v, i) ELSE regr_intercept(v, i) END, 3) + 0.0 AS v FROM {E}, range(2) t(k) GROUP BY k""")
+def least_squares(spark, d):
+    y = values(spark, d)
+    a = cg.stack([y.with_value(F.col("event_id").cast("double"), float), y.with_value(F.lit(1.0), float)], axis=1)
+    return table(3, v=cg.linalg.lstsq(a, y)[0])
+
+
+# -- further windows, reductions and kernels ---------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT i AS i0, CAST(w AS BIGINT) AS i1, {R("v")} AS v FROM (SELECT event_id - w AS i, w, value AS v FROM events, range(4) t(w)) WHERE i >= 0 AND i <= 96""")
+def window_view(spark, d):
+    return table(v=cg.sliding_window_view(values(spark, d)[:100], 4))
+
+
+@query(f"""SELECT i AS i0, {R("sum(coalesce(w, 0)) OVER (ORDER BY i)", 4)} AS total FROM (SELECT i, CASE WHEN v <= 100 THEN v END AS w FROM {E})""")
+def cumulative_nan(spark, d):
+    x = values(spark, d)
+    return table(total=cg.round(cg.nancumsum(cg.where(x > 100, np.nan, x)), 4))
+
+
+@query(f"""SELECT i AS i0, {R("v - lag(v) OVER (ORDER BY i)")} AS v FROM {E} QUALIFY i > 0""")
+def consecutive_differences(spark, d):
+    return table(v=cg.ediff1d(values(spark, d), to_begin=np.array([0.0]))[1:].settled()).withColumn("i0", F.col("i0") + 1)
+
+
+@query(f"""SELECT i AS i0, j AS i1, {R("v")} AS v, CAST(row_number() OVER (PARTITION BY i ORDER BY v, j) - 1 AS BIGINT) AS place FROM {M} WHERE i < 50""")
+def ranks_along_axis(spark, d):
+    x = matrix(spark, d)[:50]
+    return table(v=x, place=cg.apply_along_axis(_ranks, 1, x, dtype="int64", shape=(64,)))
+
+
+def _ranks(v):
+    out = np.empty(len(v), np.int64)
+    out[np.argsort(v, kind="stable")] = np.arange(len(v))
+    return out
+
+
+@query(f"""SELECT {R("sum(v)", 5)} AS v FROM {M}""")
+def sum_over_axes(spark, d):
+    return table(5, v=cg.squeeze(cg.apply_over_axes(cg.sum, matrix(spark, d), [0, 1])))
+
+
+@query(f"""SELECT i AS i0, {R("max(v)")} AS v FROM {M} GROUP BY i""")
+def reduction_by_kernels(spark, d):
+    return table(v=cg.reduction(matrix(spark, d).rechunk((1000, 16)), np.max, np.max, axis=1))
+
+
+@query(f"""SELECT i AS i0, {R("max(v) OVER (ORDER BY i)", 4)} AS v FROM {O}""")
+def running_maximum(spark, d):
+    return table(4, v=cg.cumreduction(np.maximum.accumulate, np.maximum, -np.inf, price(spark, d).rechunk(4000), axis=0))
+
+
+@query(f"""SELECT p AS i0, {R("v")} AS v FROM (VALUES (0, 5), (1, 1), (2, 0), (3, 2), (4, 4), (5, 3)) t(p, src) JOIN {M} ON i = src AND j = 0""")
+def shuffled_groups(spark, d):
+    return table(v=matrix(spark, d)[:6, 0].shuffle([[5, 1], [0, 2, 4], [3]], axis=0))
+
+
+@query(f"""SELECT i AS i0, (j + 32) % 64 AS i1, {R("v")} AS v FROM {M} WHERE i < 20""")
+def fft_shift(spark, d):
+    return table(v=cg.fft.fftshift(matrix(spark, d)[:20], axes=1))
+
+
+@query(f"""SELECT i AS i0, j AS i1, {R("v")} AS v FROM {M} WHERE i < 50""")
+def fft_round_trip(spark, d):
+    return table(v=cg.real(cg.fft.irfft(cg.fft.rfft(matrix(spark, d)[:50]), 64)))
+
+
+@query(f"""SELECT i AS i0, {R("v - trunc(v)")} AS fraction, {R("trunc(v)")} AS whole, CAST(floor(v / 7) AS BIGINT) AS quotient, {R("v - 7 * floor(v / 7)")} AS rest, NOT (v > 1000) AS fine,
+    CAST(floor(log2(v)) + 1 AS BIGINT) AS exponent, {R("v / pow(2, floor(log2(v)) + 1)")} AS mantissa FROM {E}""")
+def parts_of_numbers(spark, d):
+    x = values(spark, d)
+    fraction, whole = cg.modf(x)
+    quotient, rest = cg.divmod(x, 7.0)
+    mantissa, exponent = cg.frexp(x)
+    return table(fraction=fraction, whole=whole, quotient=quotient.astype("int64"), rest=rest, fine=cg.notnull(cg.where(x > 1000, np.nan, x)), exponent=exponent, mantissa=mantissa)
+
+
+@query(f"""SELECT bool_and(abs(v - v) <= 1) AS close, {R("quantile_cont(v, 0.05)", 5)} AS p5, {R("quantile_cont(v, 0.95)", 5)} AS p95, {R("sum(v * i) / sum(i)", 4)} AS weighted FROM {E}""")
+def summary(spark, d):
+    x = values(spark, d)
+    i = x.with_value(x.axes[0].position.cast("double"), float)
+    return table(5, close=cg.allclose(x, x), p5=cg.percentile(x, 5), p95=cg.percentile(x, 95), weighted=cg.round(cg.sum(x * i) / cg.sum(i), 4))
+
+
+@query(f"""SELECT i AS i0, {R("CASE WHEN v < 50 THEN -1 WHEN v >= 200 THEN v * 2 ELSE 5 END")} AS v FROM {E}""")
+def piecewise_values(spark, d):
+    x = values(spark, d)
+    return table(v=cg.piecewise(x, [x < 50, x >= 200], [-1.0, lambda y: y * 2, 5.0]))
+
+
+@query(f"""SELECT i AS i0, {R("v", 4)} AS v FROM {O}""")
+def parquet_round_trip(spark, d):
+    """Cells written to Parquet in the scratch folder of the session and read again."""
+    import uuid
+
+    from cellgrid.sources.io import from_parquet, to_parquet
+
+    path = f"{_scratch(spark)}/cells-{uuid.uuid4().hex}"
+    to_parquet(price(spark, d), path)
+    return table(4, v=from_parquet(path))
+
+
+def _scratch(spark) -> str:
+    import tempfile
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return shared.rstrip("/") if shared else f"{tempfile.gettempdir()}/cellgrid-scratch-{spark.sparkContext.applicationId}"
+
+
+@query("""SELECT CAST(a * 2 + i AS BIGINT) AS i0, CAST(b * 2 + j AS BIGINT) AS i1, CAST(a * 2 + b + 1 AS DOUBLE) AS v FROM range(2) p(a), range(2) q(b), range(2) r(i), range(2) s(j)""")
+def mapped_blocks(spark, d):
+    from cellgrid.sources.io import from_map
+
+    return table(v=from_map(_filled, [[1, 2], [3, 4]], chunks=((2, 2), (2, 2))))
+
+
+def _filled(v):
+    return np.full((2, 2), float(v))
