@@ -852,13 +852,13 @@ def fft_round_trip(spark, d):
 
 
 @query(f"""SELECT i AS i0, {R("v - trunc(v)")} AS fraction, {R("trunc(v)")} AS whole, CAST(floor(v / 7) AS BIGINT) AS quotient, {R("v - 7 * floor(v / 7)")} AS rest, NOT (v > 1000) AS fine,
-    CAST(floor(log2(v)) + 1 AS BIGINT) AS exponent, {R("v / pow(2, floor(log2(v)) + 1)")} AS mantissa FROM {E}""")
+    CAST(floor(log2(v)) + 1 AS BIGINT) AS exponent, {R("1024 * v / pow(2, floor(log2(v)) + 1)")} AS mantissa FROM {E}""")
 def parts_of_numbers(spark, d):
     x = values(spark, d)
     fraction, whole = cg.modf(x)
     quotient, rest = cg.divmod(x, 7.0)
     mantissa, exponent = cg.frexp(x)
-    return table(fraction=fraction, whole=whole, quotient=quotient.astype("int64"), rest=rest, fine=cg.notnull(cg.where(x > 1000, np.nan, x)), exponent=exponent, mantissa=mantissa)
+    return table(fraction=fraction, whole=whole, quotient=quotient.astype("int64"), rest=rest, fine=cg.notnull(cg.where(x > 1000, np.nan, x)), exponent=exponent, mantissa=mantissa * 1024)
 
 
 @query(f"""SELECT bool_and(abs(v - v) <= 1) AS close, {R("quantile_cont(v, 0.05)", 5)} AS p5, {R("quantile_cont(v, 0.95)", 5)} AS p95, {R("sum(v * i) / sum(i)", 4)} AS weighted FROM {E}""")
