@@ -82,3 +82,17 @@ def thin(df: DataFrame, by: list[str], weight: Column, limit: int, strata: str |
         share = F.lit(min(1.0, limit / max(float(row["_w"] or 0), 1e-9)))
         keep = keep | ((F.col(strata) == row[strata]) & (unit < share) if strata else (unit < share))
     return df.where(keep)
+
+
+def others(df: DataFrame, added: list[str]) -> list[Column]:
+    """The columns of df beside those to be added; Spark's names ignore case."""
+    taken = {c.lower() for c in added}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """The name, with underscores until df has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

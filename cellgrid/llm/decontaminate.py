@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellgrid.llm.common import others, spare
+
 WINDOW = 10
 #: Most characters of items in one broadcast automaton; larger benchmarks are dealt to several, and texts are read once for each.
 MAX_ITEM_CHARS = 1_000_000
@@ -168,9 +170,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     Items without words, and null items or ids, match nothing. Columns of these names are replaced. No shuffle."""
     automata = _automata(benchmark, item_id, item_text, window, max_chars)
     added = T.StructType.fromDDL("n_words long, n_hit long, spans array<array<int>>, items array<string>, cleaned string")
-    names = [c for c in df.columns if c not in added.names]
-    out = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("binary").alias("_text"))
-    schema = T.StructType([*[f for f in out.schema if f.name != "_text"], *added])
+    out = df.select(*others(df, added.names), F.col(text_col).cast("binary").alias(spare(df, "_text")))
+    schema = T.StructType([*out.schema[:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [a.value for a in automata]
@@ -229,11 +230,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", w
 
     A span shorter than min_span stems from a whole short item; it is cut as well when it is all of that item, that is always unless min_span > window.
     Other rows are returned as they are, null texts included. A column n_chars, if any, follows the text."""
-    columns = list(df.columns)
+    columns, new = list(df.columns), spare(df, "_cleaned")
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"), F.col(text_col).alias("_t"))
     seen = contamination(held, benchmark, "_t", item_id, item_text, window, cut_from=1 if min_span <= window else min_span)
-    kept = seen.where(F.col("n_hit") <= F.col("n_words") * max_coverage).select("_all.*", F.col("cleaned").alias("_cleaned"))
-    out = {text_col: F.coalesce("_cleaned", text_col)}
+    kept = seen.where(F.col("n_hit") <= F.col("n_words") * max_coverage).select("_all.*", F.col("cleaned").alias(new))
+    out = {text_col: F.coalesce(new, text_col)}
     if "n_chars" in columns:
-        out["n_chars"] = F.when(F.col("_cleaned").isNull(), F.col("n_chars")).otherwise(F.length("_cleaned").cast(df.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(df.schema["n_chars"].dataType))
     return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in columns])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgrid.llm.common import materialise, remove, thin
+from cellgrid.llm.common import materialise, others, remove, spare, thin
 
 SAMPLE_CHARS, TOTAL_CHARS = 3_000_000, 24_000_000
 #: A word is known if the sample has it so often, in all languages together.
@@ -170,9 +170,8 @@ def _by_language(counted: DataFrame, langs: list[str], least: int) -> list[tuple
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Adds `lang_pred` and `score` (0 to 1) for each whole text; columns of these names are replaced. No shuffle; the model's size follows from its sample."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in df.columns if c not in ("lang_pred", "score")]
-    out = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*[f for f in out.schema if f.name != "_text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = df.select(*others(df, ["lang_pred", "score"]), F.col(text_col).cast("string").alias(spare(df, "_text")))
+    schema = T.StructType([*out.schema[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = Identifier(held.value)

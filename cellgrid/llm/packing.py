@@ -60,7 +60,7 @@ def count_words(text: Column) -> Column:
 
 def pieces(df: DataFrame, id_col: str, length: Column, max_len: int) -> DataFrame:
     """(id, piece, start, n_tokens): pieces of at most max_len tokens; a text without tokens has none."""
-    sized = df.select(F.col(id_col).alias("_id"), length.alias("_n")).where("_n > 0")
+    sized = df.select(F.col(f"`{id_col}`").alias("_id"), length.alias("_n")).where("_n > 0")
     cut = sized.select("_id", "_n", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / max_len).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * max_len
     return cut.select(F.col("_id").alias(id_col), "piece", start.alias("start"), F.least(F.col("_n") - start, F.lit(max_len)).cast("int").alias("n_tokens"))

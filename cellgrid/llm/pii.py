@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellgrid.llm.common import others, spare
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -245,9 +247,8 @@ def find_pii(df: DataFrame, text_col: str = "text", with_redacted: bool = False)
     """Adds counts of the plain finds, `base_spans`, `spans` (plain and added, as kind:start:end in code points) and `redacted` (null unless asked for and changed).
 
     Null and empty texts have no spans. Whole texts are read; no shuffle. Columns of these names are replaced."""
-    names = [c for c in df.columns if c not in ADDED.names]
-    out = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*[f for f in out.schema if f.name != "_text"], *ADDED])
+    out = df.select(*others(df, ADDED.names), F.col(text_col).cast("string").alias(spare(df, "_text")))
+    schema = T.StructType([*out.schema[:-1], *ADDED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,10 +269,11 @@ def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with personal data replaced by its kind, as '<EMAIL>'; other texts stay as they are. A column n_chars, if any, follows the text."""
     columns = list(df.columns)
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"), F.col(text_col).alias("_t"))
-    seen = find_pii(held, "_t", with_redacted=True).select("_all.*", F.col("redacted").alias("_new"))
-    out = {text_col: F.coalesce("_new", text_col)}
+    new = spare(df, "_new")
+    seen = find_pii(held, "_t", with_redacted=True).select("_all.*", F.col("redacted").alias(new))
+    out = {text_col: F.coalesce(new, text_col)}
     if "n_chars" in columns:
-        out["n_chars"] = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(df.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(df.schema["n_chars"].dataType))
     return seen.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in columns])
 
 

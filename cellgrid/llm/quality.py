@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgrid.llm.common import fold, thin
+from cellgrid.llm.common import fold, others, spare, thin
 
 LEVEL, PIECE, DICTIONARY = 3, 2048, 110 * 1024
 #: The classifier is fitted on about so many labelled rows of each class and, of those, about so many characters.
@@ -122,9 +122,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 def score_quality(df: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """Adds the score, 0 to 1, of each whole text; null and empty texts get the curve's value at no difference. A column of the name is replaced. No shuffle."""
     held = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICTIONARY bytes
-    names = [c for c in df.columns if c != out_col]
-    out = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("binary").alias("_text"))
-    schema = T.StructType([*[f for f in out.schema if f.name != "_text"], T.StructField(out_col, T.DoubleType())])
+    out = df.select(*others(df, [out_col]), F.col(text_col).cast("binary").alias(spare(df, "_text")))
+    schema = T.StructType([*out.schema[:-1], T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = held.value.scorer()

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellgrid.llm.common import materialise, remove, shuffle_partitions
+from cellgrid.llm.common import materialise, remove, shuffle_partitions, spare
 from cellgrid.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -55,8 +56,8 @@ def majority(hashes: np.ndarray) -> int:
 def with_fingerprint(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and `_fp`, the fingerprint as a signed long."""
     keep = list(df.columns) if keep is None else keep
-    out = df.select(*keep, F.lit(0).cast("long").alias("_fp"), F.col(text_col).cast("binary").alias("_text"))
-    schema = out.drop("_text").schema
+    out = df.select(*[F.col(f"`{c}`") for c in keep if c.lower() != "_fp"], F.lit(0).cast("long").alias("_fp"), F.col(text_col).cast("binary").alias(spare(df, "_text")))
+    schema = T.StructType(out.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

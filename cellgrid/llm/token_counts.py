@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellgrid.llm.common import others, spare
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -210,10 +212,9 @@ def token_counts(df: DataFrame, text_col: str = "text", edits: str | Callable[[s
     Null and empty texts have 0 tokens; edits of a null text, and null edits, are none. Whole texts are read. No shuffle; the vocabulary is broadcast (its size is checked)."""
     held = df.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
     added = ["n_tokens", "n_tokens_edited", "n_edits", "n_reencoded", "edited"]
-    names = [c for c in df.columns if c not in added]
     script = F.col(edits) if isinstance(edits, str) else F.lit(None).cast("array<struct<start:int,end:int,text:string>>")
-    out = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("_text"), script.alias("_edits"))
-    schema = T.StructType([*[f for f in out.schema if f.name not in ("_text", "_edits")], *[T.StructField(c, T.LongType()) for c in added[:4]], T.StructField("edited", T.StringType())])
+    out = df.select(*others(df, added), F.col(text_col).cast("string").alias(spare(df, "_text")), script.alias(spare(df, "_edits")))
+    schema = T.StructType([*out.schema[:-2], *[T.StructField(c, T.LongType()) for c in added[:4]], T.StructField("edited", T.StringType())])
     derive = edits if callable(edits) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

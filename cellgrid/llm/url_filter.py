@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.common import others
+
 #: Largest number of rule characters that one broadcast trie holds. A longer list is dealt to several tries, applied one after another.
 MAX_TRIE_CHARS = 8_000_000
 
@@ -100,10 +102,8 @@ def url_filter(df: DataFrame, rules: Iterable[tuple[str, str]], url_col: str = "
             used = 0
         shards[-1].append(rule)
         used += len(rule.text)
-    names = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    out = df.withColumn("_url", F.col(url_col).cast("string"))
-    host, path = url_parts(F.col("_url"))
-    out = out.select(*names, host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).alias("_rule_host"))
+    host, path = url_parts(F.col(url_col).cast("string"))
+    out = df.select(*others(df, ["host", "path", "rule", "verdict", "_rule_host"]), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).alias("_rule_host"))
     for shard in shards:
         out = _apply(out, shard)
     return out.drop("_rule_host")
