@@ -39,15 +39,22 @@ def broadcast_shapes(*shapes) -> tuple:
 
 def fused(arrays: list[Array]) -> list[Array]:
     """Reductions of one frame by the same keys become one aggregation."""
-    groupings = [a.df.__dict__.get("_grouping") for a in arrays]
-    if len({id(a.df) for a in arrays}) < 2 or any(g is None or g[0] is not groupings[0][0] or g[1] != groupings[0][1] for g in groupings):
-        return arrays
-    base, keys, _ = groupings[0]
-    every = {name: column for _, _, columns in groupings for name, column in columns.items()}
-    sums = [column.alias(name) for name, column in every.items()]
-    df = base.groupBy(*keys).agg(*sums) if keys else base.agg(*sums)
-    df._grouping = (base, keys, every)
-    return [Array(df, a.axes, a.value, a.dtype) for a in arrays]
+    out, groups = list(arrays), {}
+    for place, a in enumerate(arrays):
+        if grouping := a.df.__dict__.get("_grouping"):
+            groups.setdefault((id(grouping[0]), grouping[1]), []).append(place)
+    for (_, keys), places in groups.items():
+        if len({id(arrays[p].df) for p in places}) < 2:
+            continue
+        base = arrays[places[0]].df._grouping[0]
+        every = {name: column for p in places for name, column in arrays[p].df._grouping[2].items()}
+        sums = [column.alias(name) for name, column in every.items()]
+        df = base.groupBy(*keys).agg(*sums) if keys else base.agg(*sums)
+        df._grouping = (base, keys, every)
+        for p in places:
+            a = arrays[p]
+            out[p] = Array(df, a.axes, a.value, a.dtype)
+    return out
 
 
 def align(arrays: list[Array]) -> tuple[Array, list[Column]]:

@@ -201,6 +201,9 @@ def nanargmax(a, axis=None, keepdims=False, split_every=None) -> Array:
     return _arg(a, axis, keepdims, False, True)
 
 
+#: Whole arrays of so many cells or more get their quantiles from a range partitioning instead of an exact percentile, whose state grows with the distinct values.
+SORTED_QUANTILES = 1 << 22
+
 # fixed values: where the order statistic of a quantile lies among n sorted values (virtual index), by method (Hyndman and Fan)
 _VIRTUAL = {
     "linear": lambda n, q: (n - 1) * q,
@@ -220,9 +223,9 @@ _VIRTUAL = {
 
 
 
-def _percentile_disc(v: Column, share: float) -> Column:
-    name = "_q"
-    return F.expr(f"percentile_disc({share!r}D) within group (order by {name})")
+def _percentile_disc(share: float) -> Column:
+    """The first value, in order, up to which there is at least the share of all; of the column `_q`, as Spark has this in SQL text only."""
+    return F.expr(f"percentile_disc({share!r}D) within group (order by _q)")
 
 
 def quantile(a, q, axis=None, method: str = "linear", keepdims=False, **kwargs) -> Array:
@@ -243,23 +246,41 @@ def _quantiles(a: Array, q, axis, method, keepdims, skip_nan) -> Array:
         raise ValueError("quantiles lie between 0 and 1")
     v = _ordinary(a, scalar.real(a.value)) if a.dtype.kind == "f" else scalar.real(a.value)
     n = _length(a, axis)
-    named = Array(a.df.withColumn("_q", v), a.axes, a.value, a.dtype)
-    if skip_nan or n is None:
-        how = {"linear": "percentile_cont", "inverted_cdf": "percentile_disc"}
-        if method not in how:
+    if len(axis_numbers(axis, a.ndim)) == a.ndim and n is not None and n >= SORTED_QUANTILES:
+        return _sorted_quantile(a, v, float(q), method, keepdims, skip_nan)
+    frames = a.df.__dict__.setdefault("_quantiles", {})  # so that quantiles of one value share a frame, and fuse
+    named = a if method == "linear" else Array(frames.setdefault(str(a.value), a.df.withColumn("_q", v)), a.axes, a.value, a.dtype)
+    if method == "linear":
+        value = F.percentile(v, F.lit(float(q)))
+    elif skip_nan or n is None:
+        if method != "inverted_cdf":
             raise NotImplementedError(f"{method} with an unknown number of values")
-        value = F.expr(f"{how[method]}({float(q)!r}D) within group (order by _q)")
+        value = _percentile_disc(float(q))
     else:
         at = builtins.min(builtins.max(_VIRTUAL[method](n, q), 0), n - 1)
         low, share = int(math.floor(at)), at - math.floor(at)
-        value = _percentile_disc(v, (low + 0.5) / n)
+        value = _percentile_disc((low + 0.5) / n)
         if share:
-            value = value * (1 - share) + _percentile_disc(v, (low + 1.5) / n) * share
+            value = value * (1 - share) + _percentile_disc((low + 1.5) / n) * share
     if not skip_nan and a.dtype.kind == "f":
         value = F.when(F.bool_or(F.isnan(a.value)), NAN).otherwise(value)
     return reduce_with(named, axis, keepdims, float, lambda _: F.coalesce(value.cast("double"), F.lit(NAN)))
 
 
+def _sorted_quantile(a: Array, v: Column, q: float, method: str, keepdims: bool, skip_nan: bool) -> Array:
+    """A quantile of a whole large array: its order statistics by ranks of a range partitioning, so no task holds all distinct values."""
+    ordered = ranked(a.df.select(v.alias("_v"), (F.isnan(a.value) if a.dtype.kind == "f" else F.lit(False)).alias("_nan")).where(F.col("_v").isNotNull() | (F.col("_nan") & F.lit(not skip_nan))), "_v")
+    n = a.size if not skip_nan else a.df.agg(F.count(v)).first()[0]
+    at = builtins.min(builtins.max(_VIRTUAL[method](n, q), 0), builtins.max(n - 1, 0))
+    low, share = int(math.floor(at)), at - math.floor(at)
+    statistic = lambda k: F.max(F.when(F.col("_r") == k, F.col("_v")))
+    value = statistic(low) if not share else statistic(low) * (1 - share) + statistic(low + 1) * share
+    if not skip_nan:
+        value = F.when(F.bool_or("_nan"), NAN).otherwise(value)
+    df = ordered.agg(F.coalesce(value, F.lit(NAN)).alias("_q"))
+    return Array(df, [Axis(None)] * a.ndim if keepdims else [], F.col("_q"), float)
+
+
 def percentile(a, q, axis=None, method: str = "linear", **kwargs) -> Array:
     return quantile(a, np.asarray(q) / 100 if not np.isscalar(q) else q / 100, axis, method)
 

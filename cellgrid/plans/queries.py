@@ -225,7 +225,8 @@ def moments(spark, d):
     f"""SELECT {R("quantile_cont(l_quantity, 0.1)")} AS q10, {R("quantile_cont(l_quantity, 0.5)")} AS median, {R("quantile_cont(l_extendedprice, 0.9)", 4)} AS price90, {R("quantile_disc(l_extendedprice, 0.25)", 4)} AS price25 FROM lineitem"""
 )
 def quantiles_whole(spark, d):
-    q, p = unordered(spark, d, "lineitem", "l_orderkey", "l_quantity"), unordered(spark, d, "lineitem", "l_orderkey", "l_extendedprice")
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    q, p = (Array(df, [Axis("l_orderkey", 0, None)], F.col(c), float) for c in ("l_quantity", "l_extendedprice"))
     return table(q10=cg.quantile(q, 0.1), median=cg.median(q), price90=cg.round(cg.quantile(p, 0.9), 4), price25=cg.round(cg.quantile(p, 0.25, method="inverted_cdf"), 4))
 
 

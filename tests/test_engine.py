@@ -256,3 +256,15 @@ def test_introspection(spark, orders):
     same(cg.i0(cg.from_array(X)), np.i0(X))
     same(cg.nextafter(cg.from_array(X), 1e9), np.nextafter(X, 1e9))
     same(cg.wrap_elemwise(np.sin)(cg.from_array(X)), np.sin(X))
+
+
+def test_quantiles_of_large_arrays(spark, monkeypatch):
+    from cellgrid.operators import reductions
+
+    monkeypatch.setattr(reductions, "SORTED_QUANTILES", 1)
+    n = np.where(X == 3, np.nan, X)
+    for q in (0.0, 0.3, 0.5, 1.0):
+        for method in ("linear", "lower", "hazen", "inverted_cdf"):
+            same(cg.quantile(cg.from_array(X), q, method=method), np.quantile(X, q, method=method))
+        same(cg.nanquantile(cg.from_array(n), q), np.nanquantile(n, q))
+    assert np.isnan(cg.median(cg.from_array(n)).compute())
