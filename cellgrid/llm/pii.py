@@ -103,6 +103,7 @@ _GLYPHS = frozenset(HOMOGLYPHS)
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKETED = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])(?:{_OPEN}(?:(?P<at>at|@|arroba|arobase)|(?P<dot>dot|\.|punto|point|punkt)){_CLOSE})(?=[A-Z0-9])")
 _WORDY = re.compile(r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+(?:[ \t]+dot[ \t]+[A-Z0-9_%+-]+)*(?:[ \t]+(?:at|arroba|arobase)[ \t]+|@)[A-Z0-9-]+(?:(?:[ \t]+(?:dot|punto|point|punkt)[ \t]+|\.)[A-Z0-9-]+)+")
+_PLAIN_HOST = re.compile(r"([ \t]+at[ \t]+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
 _JOINT = re.compile(r"(?i)[ \t]+(?:(at|arroba|arobase)|dot|punto|point|punkt)[ \t]+")
 # Words that follow a real 'at', so no host.
 NO_HOST = {"the", "a", "an", "this", "that", "these", "those", "his", "her", "its", "their", "our", "my", "your", "each", "every", "any", "some", "one", "least", "most", "first", "last", "all"}
@@ -157,6 +158,18 @@ def fold_words(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def fold_named_at(text: str) -> list[tuple[int, int, str]]:
+    """Edits for a spelled 'at' before a host with real dots, if the name before it is no plain word, but has a digit, '_' or an inner '.'."""
+    edits = []
+    for m in _PLAIN_HOST.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        if any(c.isdigit() or c in "._" for c in text[start : m.start()].strip(".%+-")):
+            edits.append((m.start(), m.end(1), "@"))
+    return edits
+
+
 def fold_digits(text: str) -> list[tuple[int, int, str]]:
     """Edits for runs with at least MIN_SPELLED spelled digits: words become digits, '+' and '.', and what stands between goes."""
     edits, run, spelled = [], [], 0
@@ -199,7 +212,8 @@ def normalise(text: str) -> Aligned | None:
     low = now.lower()
     brackets = any(x in low for x in ("at]", "at)", "at}", "at>", "@]", "@)", "@}", "@>", "at ]", "at )", "arroba", "arobase", "ot]", "ot)", "ot}", "ot>", "ot ]", "ot )", ".]", ".)"))
     words = " dot " in low or any(f" {x} " in low for x in _DOTTED[1:]) and ("arroba" in low or "arobase" in low or "@" in low) or "\tdot" in low
-    for fold, wanted in ((fold_joints, brackets), (fold_words, words or brackets), (fold_digits, _RUN.search(low) is not None)):
+    named = " at " in low and "." in low
+    for fold, wanted in ((fold_joints, brackets), (fold_words, words or brackets), (fold_named_at, named), (fold_digits, _RUN.search(low) is not None)):
         if wanted and (edits := fold(now)):
             copy = copy or Aligned(text)
             copy.edit(edits)

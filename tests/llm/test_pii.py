@@ -41,6 +41,8 @@ def test_plain_finds(text):
         ("write to john(at)example.com now", "email", "john(at)example.com"),
         ("mail jane at mail dot example dot org please", "email", "jane at mail dot example dot org"),
         ("mail jane dot roe at example dot org please", "email", "jane dot roe at example dot org"),
+        ("ask k.jones42 at mail.example.com, please", "email", "k.jones42 at mail.example.com"),
+        ("ask KIM AT EXAMPLE DOT COM, please", "email", "KIM AT EXAMPLE DOT COM"),
         ("mail ј​oe@ехample.com soon", "email", "ј​oe@ехample.com"),
         ("call plus four four two zero seven nine four six zero nine five eight today", "phone", "plus four four two zero seven nine four six zero nine five eight"),
         ("call ＋４４ 20 7946 0958 today", "phone", "＋４４ 20 7946 0958"),
@@ -55,7 +57,7 @@ def test_disguises(text, kind, source):
     assert not [s for s in base if s[0] == kind]
 
 
-@pytest.mark.parametrize("text", ["Look at the dot on it. One two three, go at once.", "We met at noon (at least) and one more.", "four score and seven", "À la carte, été où naïve ñandú", "x at y dot", "1.5 (dot) nothing"])
+@pytest.mark.parametrize("text", ["Look at the dot on it. One two three, go at once.", "We met at noon (at least) and one more.", "four score and seven", "À la carte, été où naïve ñandú", "x at y dot", "Visit us at example.com, or look at mail.example.org.", "It ended. at example.com it began", "1.5 (dot) nothing"])
 def test_prose_is_left_alone(text):
     assert p.find(text) == ([], [])
 
