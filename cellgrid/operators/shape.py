@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cellgrid.core import Array, Axis, axis_number, axis_numbers, fresh, from_cells, literal, strides
+from cellgrid.core import Array, Axis, axis_number, axis_numbers, fresh, literal, strides
 from cellgrid.operators.elementwise import asarray
 
 
@@ -269,9 +269,8 @@ def _pad_axis(x: Array, k: int, before: int, after: int, mode, values, kwargs) -
         else:
             m = F.pmod(at, F.lit(2 * n))
             source = F.when(m < n, m).otherwise(2 * n - 1 - m)
-        odd = kwargs.get("reflect_type", "even") == "odd"
-        if odd:
-            raise NotImplementedError("reflect_type='odd'")
+        if mode in ("reflect", "symmetric") and kwargs.get("reflect_type", "even") == "odd":
+            return _pad_odd(x, k, before, after, 1 if mode == "reflect" else 0)
         return take_positions(x, arange(n + before + after).with_value(source.cast("bigint"), "int64"), k)
 
     def filler(width: int, value) -> Array:
@@ -311,12 +310,40 @@ def _pad_axis(x: Array, k: int, before: int, after: int, mode, values, kwargs) -
                 ramps.append(None)
         return concatenate([p for p in (ramps[0], x, ramps[1]) if p is not None], k)
     elif callable(mode):
-        raise NotImplementedError("a callable pad mode needs the whole axis in one block; use map_blocks")
+        from cellgrid.operators.blocks import along
+
+        padded = _pad_axis(x, k, before, after, "constant", (0, 0), {})
+        return along(padded, k, _Filler(mode, (before, after), k, kwargs), (n + before + after,), x.dtype)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     parts = [filler(before, sides[0])] if before else []
     return concatenate([*parts, x, *([filler(after, sides[1])] if after else [])], k)
 
 
-def to_cells(x: Array) -> Array:
-    return from_cells(x.cells(), x.shape_or_none, x.dtype)
+class _Filler:
+    """A user's function of a padded vector, its widths, the axis and further arguments; it changes the vector in place."""
+
+    def __init__(self, function, widths, axis, kwargs):
+        self.function, self.widths, self.axis, self.kwargs = function, widths, axis, kwargs
+
+    def __call__(self, vector):
+        vector = vector.copy()
+        out = self.function(vector, self.widths, self.axis, self.kwargs)
+        return vector if out is None else out
+
+
+def _pad_odd(x: Array, k: int, before: int, after: int, skip: int) -> Array:
+    """Mirrored cells, also mirrored in value at the edge cell. Widths up to what one mirror holds."""
+    from cellgrid.operators.combine import concatenate
+
+    n = x.axes[k].size
+    if max(before, after) > n - skip:
+        raise ValueError("the width is larger than one mirror of the axis")
+    part = lambda s: x[(slice(None),) * k + (s,)]
+    sides = []
+    if before:
+        sides.append(2 * part(slice(0, 1)) - part(slice(skip, skip + before)).settled()[(slice(None),) * k + (slice(None, None, -1),)])
+    sides.append(x)
+    if after:
+        sides.append(2 * part(slice(n - 1, n)) - part(slice(n - skip - after, n - skip)).settled()[(slice(None),) * k + (slice(None, None, -1),)])
+    return concatenate(sides, k)

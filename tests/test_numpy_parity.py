@@ -155,6 +155,16 @@ for mode in ("wrap", "clip"):
 for mode in "constant edge wrap reflect symmetric linear_ramp maximum mean median minimum".split():
     CASES[f"pad_{mode}"] = lambda m, w, k=mode: m.pad(w(A), ((1, 2), (3, 0)), mode=k)
 CASES["pad_values"] = lambda m, w: m.pad(w(A), 2, mode="constant", constant_values=((1, 2), (3, 4)))
+for mode in ("reflect", "symmetric"):
+    CASES[f"pad_odd_{mode}"] = lambda m, w, k=mode: m.pad(w(A), ((1, 2), (3, 2)), mode=k, reflect_type="odd")
+
+
+def fill_with(vector, width, axis, kwargs):
+    vector[: width[0]] = kwargs.get("padder", 10)
+    vector[len(vector) - width[1] :] = vector[width[0]]
+
+
+CASES["pad_callable"] = lambda m, w: m.pad(w(A), 2, fill_with, padder=5.0)
 CASES["pad_long"] = lambda m, w: m.pad(w(V[:3]), (7, 5), mode="reflect")
 CASES["concatenate"] = lambda m, w: m.concatenate([w(A), w(I[:, :2]), w(A)], axis=1)
 CASES["concat_slice"] = lambda m, w: m.concatenate([w(V), w(V * 2), w(V * 3)])[8:12]
