@@ -13,7 +13,7 @@ from cellgrid.llm.decontaminate import decontaminate
 from cellgrid.llm.packing import pack
 from cellgrid.llm.pii import redact_pii
 from cellgrid.llm.quality import fit_quality, score_quality, training_rows
-from cellgrid.llm.simhash import drop_near_duplicates
+from cellgrid.llm.simhash_wide import drop_similar
 
 #: A document is rejected if the classifier takes it to be bad rather than good. Empty texts are judged like others.
 REJECT_BELOW = 0.5
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from cellgrid.llm import decontaminate as d
 from cellgrid.llm import pii as p
 from cellgrid.llm.packing import optimal_buckets
 from cellgrid.llm.quality import fit_quality, training_rows
+from cellgrid.llm.simhash_wide import SIMILARITY, radius_of, signature
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -46,8 +47,21 @@ def test_quality(spark, stages):
 def test_near_duplicates(stages):
     docs, kept = by_id(stages[1]), by_id(stages[2])
     ids = list(docs)
-    comps = plain_components(ids, [plain_fingerprint(docs[i]["text"]) for i in ids])
-    assert set(kept) == set(comps) and all(kept[k] == docs[k] for k in kept)
+    narrow = plain_components(ids, [plain_fingerprint(docs[i]["text"]) for i in ids])
+    signed = [int.from_bytes(signature(docs[i]["text"].encode()).tobytes(), "little") for i in ids]
+    wide = plain_components(ids, signed, radius_of(SIMILARITY))
+    # components of both kinds of links
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for links in (narrow, wide):
+        for i, c in zip(ids, links, strict=True):
+            root[max(find(i), find(c))] = min(find(i), find(c))
+    assert set(kept) == {find(i) for i in ids} and all(kept[k] == docs[k] for k in kept)
 
 
 def test_decontamination(spark, stages):
