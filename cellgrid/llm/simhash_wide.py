@@ -130,7 +130,7 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 
 def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning star of each component within one bucket, by breadth."""
+    """A spanning tree of each component within one bucket, by breadth; each row hangs on the nearest of the rows that met it."""
     n, found = len(sigs), []
     planes = [planes_of(np.ascontiguousarray(sigs[:, w])) for w in range(WORDS)]
     todo = np.zeros(planes[0].shape[1] * 64, bool)
@@ -145,7 +145,9 @@ def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
             hit = np.bitwise_or.reduce(near_rows(planes, sigs[chunk], radius), axis=0)
             new = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little").view(bool) & todo)
             todo[new] = False
-            found.extend((start, m) for m in new.tolist())
+            if len(new):
+                apart = np.bitwise_count(sigs[chunk][:, None, :] ^ sigs[new][None, :, :]).sum(axis=2)
+                found.extend(zip(chunk[apart.argmin(axis=0)].tolist(), new.tolist(), strict=True))
             front = np.concatenate([front, new])
     return found
 
@@ -224,9 +226,32 @@ def similar_edges(signed: DataFrame, rows: int, similarity: float = SIMILARITY,
     return dealt.mapInArrow(_edges(radius_of(similarity)), "a long, b long")
 
 
+def shingle_set(text: bytes | None) -> list[int]:
+    """The distinct shingles' hashes, sorted; one for a shorter text, none without words."""
+    words = text.lower().split() if text else []
+    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)] * bool(words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)).view(np.int64).tolist()
+
+
+def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of the edges (a, b) those whose texts (`node`, `text`) have at least the Jaccard similarity. Only texts of an edge are read again."""
+    pairs = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
+
+    held = materialise(texts.select("node", "text").join(involved, "node", "left_semi").mapInArrow(sets, "node long, s array<long>"), "shingle-sets")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("n") >= F.col("u") * similarity).select("a", "b")
+
+
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """The rows of df, unchanged, of which one stays for each group of near-duplicates: texts whose fingerprints of three-word shingles differ in at most 3 bits,
-    or whose signatures of five-word shingles are as near as those of texts of the similarity; groups are the components of both kinds of links.
+    or that the signatures find and that have the Jaccard similarity of five-word shingles; groups are the components of both kinds of links.
+    Of a bucket of over SMALL_BUCKET signatures a spanning tree is verified, not every pair.
 
     The smallest id stays (then the first row as written; rows without an id only where none of the group has one). Large groups of copies fall together by the
     fingerprints first; one row of each such group goes on. Null and blank texts are one group. An empty input gives none."""
@@ -243,7 +268,8 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = rows.schema[id_col].dataType.simpleString()
     signed = materialise(kept.mapInArrow(sign, f"node long, id {kind}, s0 long, s1 long, s2 long, s3 long"), "signatures")
-    labels = connected_components(similar_edges(signed, signed.count(), similarity, hot_bucket), "a", "b")
+    links = verified(similar_edges(signed, signed.count(), similarity, hot_bucket), kept.select(F.col("_row").alias("node"), "text"), similarity)
+    labels = connected_components(links, "a", "b")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
     chosen = signed.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(order).alias("first"))
     stays = materialise(chosen.select(F.col("first.node").alias("_row")), "staying-rows")

@@ -7,7 +7,7 @@ from cellgrid.llm import decontaminate as d
 from cellgrid.llm import pii as p
 from cellgrid.llm.packing import optimal_buckets
 from cellgrid.llm.quality import fit_quality, training_rows
-from cellgrid.llm.simhash_wide import SIMILARITY, radius_of, signature
+from cellgrid.llm.simhash_wide import SIMILARITY, shingle_set
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -48,8 +48,12 @@ def test_near_duplicates(stages):
     docs, kept = by_id(stages[1]), by_id(stages[2])
     ids = list(docs)
     narrow = plain_components(ids, [plain_fingerprint(docs[i]["text"]) for i in ids])
-    signed = [int.from_bytes(signature(docs[i]["text"].encode()).tobytes(), "little") for i in ids]
-    wide = plain_components(ids, signed, radius_of(SIMILARITY))
+    sets = [set(shingle_set(docs[i]["text"].encode())) for i in ids]
+    near = {i: [] for i in ids}
+    for i in range(len(ids)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= SIMILARITY * len(sets[i] | sets[j]) > 0:
+                near[ids[i]].append(ids[j])
     # components of both kinds of links
     root = {i: i for i in ids}
 
@@ -58,9 +62,9 @@ def test_near_duplicates(stages):
             i = root[i]
         return i
 
-    for links in (narrow, wide):
-        for i, c in zip(ids, links, strict=True):
-            root[max(find(i), find(c))] = min(find(i), find(c))
+    for i, c in zip(ids, narrow, strict=True):
+        for j in (c, *near[i]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
     assert set(kept) == {find(i) for i in ids} and all(kept[k] == docs[k] for k in kept)
 
 
