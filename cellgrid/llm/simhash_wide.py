@@ -27,6 +27,8 @@ WORDS, SHINGLE, SIMILARITY, RECALL = 4, 5, 0.8, 0.98
 #: Bits beyond the expected distance at the similarity, in standard deviations: 95 of 100 pairs exactly at it are linked, nearly all above 0.83.
 MARGIN = 1.6
 BITS = 64 * WORDS
+#: Texts to be verified are picked by a broadcast of at most so many row numbers; more are picked by a shuffle.
+MAX_BROADCAST_NODES = 1_000_000
 # fixed values: odd multipliers that derive four words from one hash
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -237,6 +239,8 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """Of the edges (a, b) those whose texts (`node`, `text`) have at least the Jaccard similarity. Only texts of an edge are read again."""
     pairs = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if 2 * pairs.count() <= MAX_BROADCAST_NODES:
+        involved = F.broadcast(involved)  # so the texts are not shuffled
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +263,7 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"), F.col(id_col).alias(id_col), F.col(text_col).alias("_t"))
     rows, best = simhash_components(held, id_col, "_t", keep=["_all"])
     firsts = best.select(F.col("first_row").alias("_row")).distinct()
-    kept = rows.join(firsts, "_row", "left_semi").select("_row", F.col(id_col).alias("id"), F.col(f"_all.`{text_col}`").cast("binary").alias("text"))
+    texts = rows.select(F.col("_row").alias("node"), F.col(id_col).alias("id"), F.col(f"_all.`{text_col}`").cast("binary").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,8 +271,9 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(sigs[:, w])) for w in range(WORDS)]], names=["node", "id", "s0", "s1", "s2", "s3"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    signed = materialise(kept.mapInArrow(sign, f"node long, id {kind}, s0 long, s1 long, s2 long, s3 long"), "signatures")
-    links = verified(similar_edges(signed, signed.count(), similarity, hot_bucket), kept.select(F.col("_row").alias("node"), "text"), similarity)
+    signed = texts.mapInArrow(sign, f"node long, id {kind}, s0 long, s1 long, s2 long, s3 long")
+    signed = materialise(signed.join(firsts.withColumnRenamed("_row", "node"), "node", "left_semi"), "signatures")
+    links = verified(similar_edges(signed, signed.count(), similarity, hot_bucket), texts, similarity)
     labels = connected_components(links, "a", "b")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
     chosen = signed.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(order).alias("first"))
