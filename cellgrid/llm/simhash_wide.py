@@ -2,7 +2,7 @@
 of a given Jaccard similarity do.
 
 Texts of similarity J have shingle vectors at a cosine of about 2J / (1 + J), and each bit differs with probability angle / pi. Candidates come from
-tables keyed by random bits: as many bits as make buckets of a few signatures, as many tables as make a pair at the similarity meet with probability
+tables keyed by random bits: a few more bits for more texts, and as many tables as make a pair at the similarity meet with probability
 RECALL. Within a bucket the bit planes of all signatures are added up by carry-save counters, a block of words at a time, and lanes that are beyond
 the radius are abandoned. Buckets larger than HOT_BUCKET are dealt into groups, compared by pairs of groups.
 """
@@ -58,8 +58,10 @@ def radius_of(similarity: float) -> int:
 
 
 def tables_of(rows: int, similarity: float, recall: float = RECALL) -> list[list[int]]:
-    """The bits of each table: about four signatures a bucket, and tables until a pair at the similarity meets in one with the recall."""
-    k = min(40, max(12, math.ceil(math.log2(max(rows, 2))) - 2))
+    """The bits of each table, and tables until a pair at the similarity meets in one with the recall.
+
+    The bits grow by one for each 16-fold of rows, so buckets grow faster than tables do: lanes are cheap to compare, rows are dear to shuffle."""
+    k = min(40, math.ceil(12 + math.log2(max(rows, 2)) / 4))
     meet = (1 - bit_share(similarity)) ** k
     rng = random.Random(97)
     return [sorted(rng.sample(range(BITS), k)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meet)))]
@@ -280,4 +282,4 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = materialise(chosen.select(F.col("first.node").alias("_row")), "staying-rows")
     for used in (signed, labels, best):
         remove(used)
-    return rows.join(stays, "_row", "left_semi").select("_all.*")
+    return rows.join(stays.hint("merge"), "_row", "left_semi").select("_all.*")  # the same plan at every size: most rows stay
