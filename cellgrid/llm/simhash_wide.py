@@ -27,6 +27,8 @@ WORDS, SHINGLE, SIMILARITY, RECALL = 4, 5, 0.8, 0.98
 #: Bits beyond the expected distance at the similarity, in standard deviations: 95 of 100 pairs exactly at it are linked, nearly all above 0.83.
 MARGIN = 1.6
 BITS = 64 * WORDS
+#: So many nearest rows of other groups are verified before every row of other groups is.
+NEAREST = 8
 #: Texts to be verified are picked by a broadcast of at most so many row numbers; more are picked by a shuffle.
 MAX_BROADCAST_NODES = 1_000_000
 # fixed values: odd multipliers that derive four words from one hash
@@ -156,31 +158,62 @@ def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return found
 
 
+def cross_pairs(sigs: np.ndarray, label: np.ndarray, radius: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the radius that have different labels, asked from all rows but those of the commonest label, as one end of each pair is such a row.
+    With `nearest`, of each row only so many."""
+    labels, of = np.unique(label, return_inverse=True)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(labels) < 2:
+        return left[0], right[0]
+    planes = [planes_of(np.ascontiguousarray(sigs[:, w])) for w in range(WORDS)]
+    asked = np.flatnonzero(of != np.bincount(of).argmax())
+    for i in range(0, len(asked), 64):
+        chunk = asked[i : i + 64]
+        hit = np.unpackbits(near_rows(planes, sigs[chunk], radius).view(np.uint8).reshape(len(chunk), -1), axis=1, bitorder="little")[:, : len(sigs)].astype(bool)
+        a, b = np.nonzero(hit & (of[chunk][:, None] != of[None, :]))
+        if nearest is not None and len(a):
+            order = np.lexsort((np.bitwise_count(sigs[chunk[a]] ^ sigs[b]).sum(axis=1), a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            keep = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < nearest
+            a, b = a[keep], b[keep]
+        left.append(chunk[a])
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _keys(tables: list[list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.stack([batch.column(1 + w).to_numpy() for w in range(WORDS)], axis=1)
+            sigs = np.stack([batch.column(2 + w).to_numpy() for w in range(WORDS)], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(sigs).view(np.uint8), bitorder="little").reshape(len(sigs), BITS)
             for t, chosen in enumerate(tables):
                 key = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *batch.columns], names=["t", "key", "node", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *batch.columns], names=["t", "key", "node", "c", "s0", "s1", "s2", "s3"])
 
     return run
 
 
-def _edges(radius: int):
-    def links(key: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+def _edges(radius: int, way: str):
+    """Edges of each bucket between rows of different groups: by 'tree' every pair of a small bucket and a spanning tree of a larger one; by 'nearest' and by 'all' the pairs of the larger ones that are still apart."""
+
+    def links(key: np.ndarray, node: np.ndarray, c: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[start, len(node)])
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, n in zip(start[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
-            if found := bucket_edges(sigs[s : s + n], radius):
-                pair = np.array(found) + s
-                left.append(node[pair[:, 0]])
-                right.append(node[pair[:, 1]])
-        small = (sizes > 1) & (sizes <= SMALL_BUCKET)
+            here = slice(s, s + n)
+            if way != "tree":
+                x, y = cross_pairs(sigs[here], c[here], radius, NEAREST if way == "nearest" else None)
+            elif found := bucket_edges(sigs[here], radius):
+                x, y = np.array(found).T
+            else:
+                continue
+            left.append(node[here][x])
+            right.append(node[here][y])
+        small = (sizes > 1) & (sizes <= SMALL_BUCKET) if way == "tree" else np.zeros(len(sizes), bool)
         begin, size = start[small], sizes[small]
         for gap in range(1, SMALL_BUCKET):
             begin, size = begin[size > gap], size[size > gap]
@@ -188,6 +221,7 @@ def _edges(radius: int):
                 break
             count = size - gap
             first = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            first = first[c[first] != c[first + gap]]
             for i in range(0, len(first), 1 << 15):
                 a = first[i : i + (1 << 15)]
                 near = a[near_pairs(sigs[a], sigs[a + gap], radius)]
@@ -196,38 +230,63 @@ def _edges(radius: int):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, sigs = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64)
+        key, rest = np.zeros((0, 4), np.int64), np.zeros((0, 2 + WORDS), np.int64)
         for batch in batches:
-            part = [batch.column(i).to_numpy().astype(np.int64) for i in range(9)]
-            key = np.concatenate([key, np.stack(part[:4], axis=1)])
-            node, sigs = np.concatenate([node, part[4]]), np.concatenate([sigs, np.stack(part[5:], axis=1).view(np.uint64)])
-            if len(node) < 1 << 16:
+            part = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6 + WORDS)], axis=1)
+            key, rest = np.concatenate([key, part[:, :4]]), np.concatenate([rest, part[:, 4:]])
+            if len(rest) < 1 << 16:
                 continue
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
             if len(cut):
-                c = cut[-1] + 1
-                yield links(key[:c], node[:c], sigs[:c])
-                key, node, sigs = key[c:], node[c:], sigs[c:]
-        yield links(key, node, sigs)
+                at = cut[-1] + 1
+                yield links(key[:at], rest[:at, 0], rest[:at, 1], np.ascontiguousarray(rest[:at, 2:]).view(np.uint64))
+                key, rest = key[at:], rest[at:]
+        yield links(key, rest[:, 0], rest[:, 1], np.ascontiguousarray(rest[:, 2:]).view(np.uint64))
 
     return run
 
 
-def similar_edges(signed: DataFrame, rows: int, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Edges (a, b) of the nodes (`node`, `s0`..`s3`) whose signatures are within the radius of the similarity and meet in a table."""
-    keyed = signed.select("node", "s0", "s1", "s2", "s3").mapInArrow(_keys(tables_of(rows, similarity)), "t int, key long, node long, s0 long, s1 long, s2 long, s3 long")
-    hot = materialise(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket).select("t", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("g")), "hot-similar")
-    found = hot.count()
+def _dealt(keyed: DataFrame, large: DataFrame, found: int, hot_bucket: int, inner: bool = False) -> DataFrame:
+    """The rows by bucket (t, key, x, y); those of a bucket of over hot_bucket rows are dealt into groups, by pairs of groups. With `inner` only rows of `large` buckets."""
+    rest = [c for c in keyed.columns if c not in ("t", "key")]
     x, y = F.lit(0), F.lit(0)
     if found:
-        keyed = keyed.join(F.broadcast(hot) if found <= MAX_BROADCAST_BUCKETS else hot, ["t", "key"], "left")
+        grouped = large.select("t", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("g"))
+        keyed = keyed.join(F.broadcast(grouped) if found <= MAX_BROADCAST_BUCKETS else grouped, ["t", "key"], "inner" if inner else "left")
         own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("g")).cast("int")
         pairs = F.when(F.col("g") > 1, F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y"))))
         keyed = keyed.withColumn("p", F.explode(F.coalesce(pairs, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))))
         x, y = F.col("p.x"), F.col("p.y")
-    keyed = keyed.select("t", "key", x.alias("x"), y.alias("y"), "node", "s0", "s1", "s2", "s3")
-    dealt = keyed.repartition(shuffle_partitions(signed.sparkSession), "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
-    return dealt.mapInArrow(_edges(radius_of(similarity)), "a long, b long")
+    keyed = keyed.select("t", "key", x.alias("x"), y.alias("y"), *rest)
+    return keyed.repartition(shuffle_partitions(keyed.sparkSession), "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
+
+
+def similar_links(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Links (a, b) of groups `c` of the nodes (`node`, `c`, `s0`..`s3`; `texts` has `node`, `text`) whose components are those of all pairs of nodes that meet in a
+    table, have signatures within the radius and texts of the similarity.
+
+    Small buckets give every pair. Larger ones give a spanning tree first, then the nearest of the rows that the verified links leave apart, at last every pair still
+    apart: a pair goes unverified only if verified links join its groups already."""
+    keyed = lambda nodes: nodes.select("node", "c", "s0", "s1", "s2", "s3").mapInArrow(_keys(tables), "t int, key long, node long, c long, s0 long, s1 long, s2 long, s3 long")
+    tables, radius = tables_of(signed.count(), similarity), radius_of(similarity)
+    large = materialise(keyed(signed).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_BUCKET), "large-similar")
+    hot = large.where(F.col("n") > hot_bucket)
+    found, very = large.count(), hot.count()
+    links, nodes = None, signed
+    for way in ("tree", "nearest", "all"):
+        buckets = _dealt(keyed(nodes), hot, very, hot_bucket) if way == "tree" else _dealt(keyed(nodes), large, found, hot_bucket, inner=True)
+        new = verified(buckets.mapInArrow(_edges(radius, way), "a long, b long"), texts, similarity)
+        if new is not None:
+            c = lambda end: signed.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"))
+            new = new.join(c("a"), "a").join(c("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            links = materialise(new if links is None else links.union(new), "similar-links")
+        if not found:
+            break
+        if new is not None and way != "all":
+            labels = connected_components(links, "a", "b").withColumnRenamed("node", "c")
+            nodes = materialise(signed.join(labels, "c", "left").select("node", F.coalesce("label", "c").alias("c"), "s0", "s1", "s2", "s3"), "labelled-signatures")
+            remove(labels)
+    return links if links is not None else signed.sparkSession.createDataFrame([], "a long, b long")
 
 
 def shingle_set(text: bytes | None) -> list[int]:
@@ -237,11 +296,13 @@ def shingle_set(text: bytes | None) -> list[int]:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)).view(np.int64).tolist()
 
 
-def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of the edges (a, b) those whose texts (`node`, `text`) have at least the Jaccard similarity. Only texts of an edge are read again."""
+def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
+    """Of the edges (a, b) those whose texts (`node`, `text`) have at least the Jaccard similarity, None if there are no edges. Only texts of an edge are read again."""
     pairs = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    if 2 * pairs.count() <= MAX_BROADCAST_NODES:
+    if not (count := pairs.count()):
+        return None
+    if 2 * count <= MAX_BROADCAST_NODES:
         involved = F.broadcast(involved)  # so the texts are not shuffled
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +318,6 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """The rows of df, unchanged, of which one stays for each group of near-duplicates: texts whose fingerprints of three-word shingles differ in at most 3 bits,
     or that the signatures find and that have the Jaccard similarity of five-word shingles; groups are the components of both kinds of links.
-    Of a bucket of over SMALL_BUCKET signatures a spanning tree is verified, not every pair.
 
     The smallest id stays (then the first row as written; rows without an id only where none of the group has one). Large groups of copies fall together by the
     fingerprints first; one row of each such group goes on. Null and blank texts are one group. An empty input gives none."""
@@ -274,8 +334,8 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = rows.schema[id_col].dataType.simpleString()
     signed = texts.mapInArrow(sign, f"node long, id {kind}, s0 long, s1 long, s2 long, s3 long")
-    signed = materialise(signed.join(firsts.withColumnRenamed("_row", "node"), "node", "left_semi"), "signatures")
-    links = verified(similar_edges(signed, signed.count(), similarity, hot_bucket), texts, similarity)
+    signed = materialise(signed.join(firsts.withColumnRenamed("_row", "node"), "node", "left_semi").withColumn("c", F.col("node")), "signatures")
+    links = similar_links(signed, texts, similarity, hot_bucket)
     labels = connected_components(links, "a", "b")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
     chosen = signed.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(order).alias("first"))

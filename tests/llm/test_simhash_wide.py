@@ -64,3 +64,28 @@ def test_copies_go_and_others_stay(spark, hot):
 
 def test_empty(spark):
     assert w.drop_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_failed_tree_edges_are_replaced(spark, monkeypatch):
+    """A base and 60 copies, each similar to it but few to one another, all in one bucket: the search starts from a copy, yet all are one group."""
+    monkeypatch.setattr(w, "tables_of", lambda rows, similarity: [[]])
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(400)]
+    copies = []
+    for _ in range(60):
+        own = list(words)
+        for i in rng.sample(range(400), 7):
+            own[i] = f"z{rng.randrange(10**6)}"
+        copies.append(" ".join(own))
+    base = " ".join(words)
+    assert all(jaccard(base, t) >= 0.8 for t in copies) and sum(jaccard(copies[0], t) >= 0.8 for t in copies[1:]) < 10
+    sig = [w.signature(t.encode()) for t in (*copies, base)]
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate([*copies, base])], "node long, text binary")
+    signed = spark.createDataFrame([(i, i, *map(int, s.view("int64"))) for i, s in enumerate(sig)], "node long, c long, s0 long, s1 long, s2 long, s3 long")
+    links = {(r["a"], r["b"]) for r in w.similar_links(signed, texts).collect()}
+    group, seen = {60}, 0
+    while len(group) != seen:
+        seen = len(group)
+        group |= {x for pair in links if set(pair) & group for x in pair}
+    near = {i for i in range(60) if np.bitwise_count(sig[i] ^ sig[60]).sum() <= w.radius_of(0.8)}
+    assert len(near) > 50 and near <= group
