@@ -35,13 +35,17 @@ MAX_BROADCAST_NODES = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def signature(text: bytes | None) -> np.ndarray:
-    """Bit k is set if it is set in over half of the distinct shingles' hashes; a text without words has none set."""
+def shingle_hashes(text: bytes | None) -> np.ndarray:
+    """The distinct shingles' hashes, sorted; one for a shorter text, none without words."""
     words = text.lower().split() if text else []
-    if not words:
+    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)] * bool(words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+
+
+def signature_of(hashes: np.ndarray) -> np.ndarray:
+    """Bit k is set if it is set in over half of the distinct shingles' hashes; a text without words has none set."""
+    if not len(hashes):
         return np.zeros(WORDS, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
     out = []
     for m in _MIX:
         x = (hashes ^ (hashes >> np.uint64(32))) * m
@@ -49,6 +53,10 @@ def signature(text: bytes | None) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def signature(text: bytes | None) -> np.ndarray:
+    return signature_of(shingle_hashes(text))
+
+
 def bit_share(similarity: float) -> float:
     """Share of differing bits of two texts at the similarity."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -205,10 +213,14 @@ def _edges(radius: int, way: str):
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, n in zip(start[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
             here = slice(s, s + n)
+            if (c[here] == c[s]).all():
+                continue
             if way != "tree":
                 x, y = cross_pairs(sigs[here], c[here], radius, NEAREST if way == "nearest" else None)
             elif found := bucket_edges(sigs[here], radius):
                 x, y = np.array(found).T
+                apart = c[here][x] != c[here][y]
+                x, y = x[apart], y[apart]
             else:
                 continue
             left.append(node[here][x])
@@ -290,10 +302,7 @@ def similar_links(signed: DataFrame, texts: DataFrame, similarity: float = SIMIL
 
 
 def shingle_set(text: bytes | None) -> list[int]:
-    """The distinct shingles' hashes, sorted; one for a shorter text, none without words."""
-    words = text.lower().split() if text else []
-    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)] * bool(words)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)).view(np.int64).tolist()
+    return shingle_hashes(text).view(np.int64).tolist()
 
 
 def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
@@ -319,27 +328,36 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of df, unchanged, of which one stays for each group of near-duplicates: texts whose fingerprints of three-word shingles differ in at most 3 bits,
     or that the signatures find and that have the Jaccard similarity of five-word shingles; groups are the components of both kinds of links.
 
-    The smallest id stays (then the first row as written; rows without an id only where none of the group has one). Large groups of copies fall together by the
-    fingerprints first; one row of each such group goes on. Null and blank texts are one group. An empty input gives none."""
+    The smallest id stays (then the first row as written; rows without an id only where none of the group has one). Texts of equal
+    shingles are searched for once, every other text by itself, whatever its fingerprint is linked to. Null and blank texts are one group. An empty input gives none."""
     columns = list(df.columns)
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"), F.col(id_col).alias(id_col), F.col(text_col).alias("_t"))
     rows, best = simhash_components(held, id_col, "_t", keep=["_all"])
-    firsts = best.select(F.col("first_row").alias("_row")).distinct()
-    texts = rows.select(F.col("_row").alias("node"), F.col(id_col).alias("id"), F.col(f"_all.`{text_col}`").cast("binary").alias("text"))
+    texts = rows.select(F.col("_row").alias("node"), F.col(f"_all.`{text_col}`").cast("binary").alias("text"), "_fp")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = np.array([signature(t.as_py()) for t in batch.column(2)], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(sigs[:, w])) for w in range(WORDS)]], names=["node", "id", "s0", "s1", "s2", "s3"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    signed = texts.mapInArrow(sign, f"node long, id {kind}, s0 long, s1 long, s2 long, s3 long")
-    signed = materialise(signed.join(firsts.withColumnRenamed("_row", "node"), "node", "left_semi").withColumn("c", F.col("node")), "signatures")
-    links = similar_links(signed, texts, similarity, hot_bucket)
+            sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
+            sigs = np.array([signature_of(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            same = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(x)) for x in (*same.T, *sigs.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["node", "_fp", "k0", "k1", "s0", "s1", "s2", "s3"])
+
+    words = ["s0", "s1", "s2", "s3"]
+    seen = texts.mapInArrow(sign, "node long, _fp long, k0 long, k1 long, s0 long, s1 long, s2 long, s3 long")
+    distinct = seen.groupBy("k0", "k1", "_fp").agg(F.min("node").alias("node"), *[F.first(x).alias(x) for x in words])
+    # a group of the fingerprints is named by the row that would stay of it
+    distinct = materialise(distinct.join(best.select("_fp", F.col("first_row").alias("c")), "_fp"), "distinct-texts")
+    equal = distinct.groupBy("k0", "k1").agg(F.min("node").alias("node"), F.min("c").alias("c"), F.max("c").alias("_high"), *[F.first(x).alias(x) for x in words])
+    equal = materialise(equal, "signatures")
+    signed = equal.select("node", "c", *words)
+    joined = distinct.select("k0", "k1", F.col("c").alias("b")).join(equal.where("c < _high").select("k0", "k1", F.col("c").alias("a")), ["k0", "k1"]).where("a < b").select("a", "b")
+    links = similar_links(signed, texts, similarity, hot_bucket).union(joined)
     labels = connected_components(links, "a", "b")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
-    chosen = signed.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(order).alias("first"))
+    groups = best.select(F.col("first_row").alias("node"), F.col("component_id").alias("id")).distinct()
+    chosen = groups.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(order).alias("first"))
     stays = materialise(chosen.select(F.col("first.node").alias("_row")), "staying-rows")
-    for used in (signed, labels, best):
+    for used in (distinct, equal, labels, best):
         remove(used)
     return rows.join(stays.hint("merge"), "_row", "left_semi").select("_all.*")  # the same plan at every size: most rows stay

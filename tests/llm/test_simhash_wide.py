@@ -89,3 +89,22 @@ def test_failed_tree_edges_are_replaced(spark, monkeypatch):
         group |= {x for pair in links if set(pair) & group for x in pair}
     near = {i for i in range(60) if np.bitwise_count(sig[i] ^ sig[60]).sum() <= w.radius_of(0.8)}
     assert len(near) > 50 and near <= group
+
+
+def test_every_member_of_a_group_is_searched(spark):
+    """A and B hang together by their fingerprints, B and C by their similarity; A, which stays, and C are unlike."""
+    from cellgrid.llm.simhash import fingerprint
+
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    while True:
+        a = " ".join(rng.choices(vocab, k=600))
+        b = edited(rng, a, 6)
+        if (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count() > 3:
+            continue
+        for _ in range(40):
+            c = edited(rng, b, 12)
+            if jaccard(a, c) < 0.79 and jaccard(b, c) >= 0.81 and all((fingerprint(c.encode()) ^ fingerprint(x.encode())).bit_count() > 3 for x in (a, b)):
+                out = w.drop_similar(spark.createDataFrame([(0, a), (1, b), (2, c)], "doc_id long, text string"))
+                assert [r["doc_id"] for r in out.collect()] == [0]
+                return
