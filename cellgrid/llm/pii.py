@@ -107,9 +107,8 @@ _PLAIN_HOST = re.compile(r"([ \t]+at[ \t]+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A
 _JOINT = re.compile(r"(?i)[ \t]+(?:(at|arroba|arobase)|dot|punto|point|punkt)[ \t]+")
 # Words that follow a real 'at', so no host.
 NO_HOST = {"the", "a", "an", "this", "that", "these", "those", "his", "her", "its", "their", "our", "my", "your", "each", "every", "any", "some", "one", "least", "most", "first", "last", "all"}
-_DOTTED = ("dot", "punto", "point", "punkt")
+_DOT_WORD = re.compile(r"(?i)[ \t](?:dot|punto|point|punkt)[ \t]")
 _TOKEN = re.compile(r"(?i)\b(?:(zero|one|two|three|four|five|six|seven|eight|nine)|(plus)|(dot|point))\b|([0-9])|([+.])")
-_RUN = re.compile(r"(?:\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b[ \t,.()-]*){3}")
 #: So many spelled digits make a run worth reading.
 MIN_SPELLED = 4
 
@@ -149,10 +148,16 @@ def fold_joints(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, c) for (a, b), c in sorted(edits.items())]
 
 
-def fold_words(text: str) -> list[tuple[int, int, str]]:
+def fold_words(text: str, copy: Aligned | None = None) -> list[tuple[int, int, str]]:
+    """Edits for matches with a dot that is spelled out, or was in brackets (`copy` knows)."""
     edits = []
+    boxed = np.flatnonzero(copy.ends - copy.starts > 1) if copy is not None else ()
+    if not len(boxed) and not _DOT_WORD.search(text):
+        return edits
     for m in _WORDY.finditer(text):
         joints = [(m.start() + j.start(), m.start() + j.end(), "@" if j[1] else ".") for j in _JOINT.finditer(m[0])]
+        if all(c == "@" for *_, c in joints) and not any(m.start() <= i < m.end() and text[i] == "." for i in boxed):
+            continue
         if "@" in m[0] or any(c == "@" and text[b : m.end()].split(None, 1)[0].lower() not in NO_HOST for _, b, c in joints):
             edits += joints
     return edits
@@ -209,12 +214,8 @@ def normalise(text: str) -> Aligned | None:
         copy.edit(fold_glyphs(text))
         touched = True
     now = copy.text if copy is not None else text
-    low = now.lower()
-    brackets = any(x in low for x in ("at]", "at)", "at}", "at>", "@]", "@)", "@}", "@>", "at ]", "at )", "arroba", "arobase", "ot]", "ot)", "ot}", "ot>", "ot ]", "ot )", ".]", ".)"))
-    words = " dot " in low or any(f" {x} " in low for x in _DOTTED[1:]) and ("arroba" in low or "arobase" in low or "@" in low) or "\tdot" in low
-    named = " at " in low and "." in low
-    for fold, wanted in ((fold_joints, brackets), (fold_words, words or brackets), (fold_named_at, named), (fold_digits, _RUN.search(low) is not None)):
-        if wanted and (edits := fold(now)):
+    for fold in (fold_joints, fold_words, fold_named_at, fold_digits):
+        if edits := fold(now, copy) if fold is fold_words else fold(now):
             copy = copy or Aligned(text)
             copy.edit(edits)
             now, touched = copy.text, True

@@ -80,3 +80,22 @@ def test_rows(spark):
     assert out.columns == df.columns and [r["text"] for r in out.collect()][:5] == ["<EMAIL> and <IP>"] * 2 + [None, "", "nothing"]
     assert p.find_pii(df.limit(0)).count() == 0
     assert p.redact("ab12", [("card", 0, 3), ("ip", 2, 4)]) == "<CARD>"
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("john [ @ ] example.com", "email"),
+        ("john ( @ ) example.com", "email"),
+        ("john { at } example { dot } com", "email"),
+        ("john at example punto com", "email"),
+        ("plus four four 2 zero seven 9 four six 0 nine five 8", "phone"),
+    ],
+)
+def test_disguises_are_not_skipped(text, kind):
+    assert (kind, 0, len(text)) in p.find(text)[1]
+
+
+def test_a_find_does_not_hang_on_text_elsewhere():
+    text = "jane at example punto com"
+    assert p.find(text)[1] == [s for s in p.find(f"{text}; see (at) and dot dot dot")[1] if s[2] <= len(text)] != []
