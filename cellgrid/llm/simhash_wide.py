@@ -24,8 +24,10 @@ from cellgrid.llm.components import connected_components
 from cellgrid.llm.simhash import HOT_BUCKET, MAX_BROADCAST_BUCKETS, SMALL_BUCKET, majority, planes_of, simhash_components
 
 WORDS, SHINGLE, SIMILARITY, RECALL = 4, 5, 0.8, 0.98
-#: Bits beyond the expected distance at the similarity, in standard deviations: 95 of 100 pairs exactly at it are linked, nearly all above 0.83.
-MARGIN = 1.6
+#: Bits beyond the expected distance at the similarity, in standard deviations of the binomial.
+MARGIN = 3.5
+#: Texts of so many shingles or fewer are also looked up by their shingles, as majorities of few hashes stray further than the binomial says.
+SHORT = 40
 BITS = 64 * WORDS
 #: So many nearest rows of other groups are verified before every row of other groups is.
 NEAREST = 8
@@ -190,6 +192,76 @@ def cross_pairs(sigs: np.ndarray, label: np.ndarray, radius: int, nearest: int |
     return np.concatenate(left), np.concatenate(right)
 
 
+def equal_sets(sets: list[np.ndarray], c: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning tree of each component of the rows whose shingle sets have the Jaccard similarity; compared exactly, a row against all."""
+    size = np.array([len(x) for x in sets])
+    ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start, found = np.r_[0, np.cumsum(size)[:-1]], []
+    todo = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        front = [first] if todo[first] else []
+        todo[first] = False
+        while front:
+            i = front.pop()
+            own = np.zeros(len(ids), np.int64)
+            own[flat[start[i] : start[i] + size[i]]] = 1
+            common = np.add.reduceat(own[flat], start)
+            new = np.flatnonzero((common >= (size + size[i] - common) * similarity) & todo)
+            todo[new] = False
+            front += new.tolist()
+            found += [(i, j) for j in new.tolist() if c[i] != c[j]]
+    return found
+
+
+def _prefixes(similarity: float):
+    """Rows (node, c, s) under each of the smallest shingles' hashes: two sets of the similarity share one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, c, sets = (batch.column(i).to_pylist() for i in range(3))
+            key, at = [], []
+            for i, x in enumerate(sets):
+                prefix = x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+                key += prefix
+                at += [i] * len(prefix)
+            for i in range(0, len(at), 1 << 14):
+                take = pa.array(at[i : i + (1 << 14)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(take), np.int32)), pa.array(key[i : i + (1 << 14)], pa.int64()), *(x.take(take) for x in batch.columns)], names=["t", "key", "node", "c", "s"]
+                )
+
+    return run
+
+
+def _short_edges(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, c, sets = None, [], []
+
+        def close() -> pa.RecordBatch:
+            pairs = equal_sets(sets, np.array(c), similarity) if len(set(c)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([c[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)]
+            for *key, label, s in zip(*columns, batch.column(6), strict=True):
+                if key != last:
+                    yield close()
+                    last, c, sets = key, [], []
+                c.append(label)
+                sets.append(s.values.to_numpy())
+        yield close()
+
+    return run
+
+
+def short_links(short: DataFrame, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Links (a, b) of the groups `c` that join all texts (`node`, `c`, sorted shingles `s`, none empty) of the similarity."""
+    keyed = short.select("node", "c", "s").mapInArrow(_prefixes(similarity), "t int, key long, node long, c long, s array<long>")
+    hot = materialise(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket), "hot-shingles")
+    edges = _dealt(keyed, hot, hot.count(), hot_bucket).mapInArrow(_short_edges(similarity), "a long, b long")
+    return materialise(edges.distinct(), "short-links")
+
+
 def _keys(tables: list[list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,10 +413,11 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sigs = np.array([signature_of(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
             same = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(x)) for x in (*same.T, *sigs.T)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["node", "_fp", "k0", "k1", "s0", "s1", "s2", "s3"])
+            short = pa.array([s.view(np.int64) if 0 < len(s) <= SHORT else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, short], names=["node", "_fp", "k0", "k1", "s0", "s1", "s2", "s3", "s"])
 
     words = ["s0", "s1", "s2", "s3"]
-    seen = texts.mapInArrow(sign, "node long, _fp long, k0 long, k1 long, s0 long, s1 long, s2 long, s3 long")
+    seen = materialise(texts.mapInArrow(sign, "node long, _fp long, k0 long, k1 long, s0 long, s1 long, s2 long, s3 long, s array<long>"), "signed-texts")
     distinct = seen.groupBy("k0", "k1", "_fp").agg(F.min("node").alias("node"), *[F.first(x).alias(x) for x in words])
     # a group of the fingerprints is named by the row that would stay of it
     distinct = materialise(distinct.join(best.select("_fp", F.col("first_row").alias("c")), "_fp"), "distinct-texts")
@@ -352,12 +425,13 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = materialise(equal, "signatures")
     signed = equal.select("node", "c", *words)
     joined = distinct.select("k0", "k1", F.col("c").alias("b")).join(equal.where("c < _high").select("k0", "k1", F.col("c").alias("a")), ["k0", "k1"]).where("a < b").select("a", "b")
-    links = similar_links(signed, texts, similarity, hot_bucket).union(joined)
+    short = short_links(seen.where("s is not null").select("node", "s").join(signed.select("node", "c"), "node"), similarity, hot_bucket)
+    links = similar_links(signed, texts, similarity, hot_bucket).union(joined).union(short)
     labels = connected_components(links, "a", "b")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
     groups = best.select(F.col("first_row").alias("node"), F.col("component_id").alias("id")).distinct()
     chosen = groups.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(order).alias("first"))
     stays = materialise(chosen.select(F.col("first.node").alias("_row")), "staying-rows")
-    for used in (distinct, equal, labels, best):
+    for used in (seen, short, distinct, equal, labels, best):
         remove(used)
     return rows.join(stays.hint("merge"), "_row", "left_semi").select("_all.*")  # the same plan at every size: most rows stay

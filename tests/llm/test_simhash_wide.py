@@ -108,3 +108,14 @@ def test_every_member_of_a_group_is_searched(spark):
                 out = w.drop_similar(spark.createDataFrame([(0, a), (1, b), (2, c)], "doc_id long, text string"))
                 assert [r["doc_id"] for r in out.collect()] == [0]
                 return
+
+
+def test_short_texts_and_wide_pairs(spark):
+    """A text of nine words and its first eight are at 0.8 exactly: all such pairs are found. The radius leaves out under one in a thousand by the binomial."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = [rng.choices(vocab, k=9) for _ in range(200)]
+    data = [(2 * i, " ".join(r)) for i, r in enumerate(rows)] + [(2 * i + 1, " ".join(r[:8])) for i, r in enumerate(rows)]
+    kept = [r["doc_id"] for r in w.drop_similar(spark.createDataFrame(data, "doc_id long, text string"), hot_bucket=64).collect()]
+    assert sorted(kept) == list(range(0, 400, 2))
+    assert w.radius_of(0.8) >= w.BITS * w.bit_share(0.8) + 3.4 * (w.BITS * w.bit_share(0.8) * (1 - w.bit_share(0.8))) ** 0.5
