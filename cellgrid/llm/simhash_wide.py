@@ -2,9 +2,9 @@
 of a given Jaccard similarity do.
 
 Texts of similarity J have shingle vectors at a cosine of about 2J / (1 + J), and each bit differs with probability angle / pi. Candidates come from
-tables keyed by random bits: a few more bits for more texts, and as many tables as make a pair at the similarity meet with probability
+tables keyed by random bits: more bits for more texts, and as many tables as make a pair at the similarity meet with probability
 RECALL. Within a bucket the bit planes of all signatures are added up by carry-save counters, a block of words at a time, and lanes that are beyond
-the radius are abandoned. Buckets larger than HOT_BUCKET are dealt into groups, compared by pairs of groups.
+the radius are abandoned. Buckets larger than HOT_BUCKET are dealt into groups.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.llm.common import materialise, remove, shuffle_partitions
@@ -29,9 +29,13 @@ MARGIN = 3.5
 #: Texts of so many shingles or fewer are also looked up by their shingles, as majorities of few hashes stray further than the binomial says.
 SHORT = 40
 BITS = 64 * WORDS
-#: So many nearest rows of other groups are verified before every row of other groups is.
-NEAREST = 8
-#: Texts to be verified are picked by a broadcast of at most so many row numbers; more are picked by a shuffle.
+#: So many nearest rows of other groups are checked first; each further search takes eight times as many.
+NEAREST = 2
+#: Rows of a bucket that are compared with all its others first, and rows of a large bucket that go to each of its groups.
+PIVOTS, SHARED = 64, 64
+#: A text with more pairs than this has its shingles dealt to several tasks.
+HUB = 4096
+#: Texts to be verified, and buckets to be searched again, are picked by a broadcast of at most so many numbers; more are picked by a shuffle.
 MAX_BROADCAST_NODES = 1_000_000
 # fixed values: odd multipliers that derive four words from one hash
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -72,8 +76,8 @@ def radius_of(similarity: float) -> int:
 def tables_of(rows: int, similarity: float, recall: float = RECALL) -> list[list[int]]:
     """The bits of each table, and tables until a pair at the similarity meets in one with the recall.
 
-    The bits grow by one for each 16-fold of rows, so buckets grow faster than tables do: lanes are cheap to compare, rows are dear to shuffle."""
-    k = min(40, math.ceil(12 + math.log2(max(rows, 2)) / 4))
+    A bucket has about 256 of unrelated texts, beyond 2^24 of them; below, tables of 16 bits are no dearer."""
+    k = max(16, min(40, math.ceil(math.log2(max(rows, 2))) - 8))
     meet = (1 - bit_share(similarity)) ** k
     rng = random.Random(97)
     return [sorted(rng.sample(range(BITS), k)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meet)))]
@@ -145,50 +149,103 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def bucket_edges(sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning tree of each component within one bucket, by breadth; each row hangs on the nearest of the rows that met it."""
-    n, found = len(sigs), []
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (a, b) at distance d join the components of all of them, and the rows' new labels. Labels are row numbers; the lowest of a component stays.
+    Each component's pair is the one with the lowest component it meets, of those the nearest."""
+    chosen, left = [np.zeros(0, np.int64)], np.arange(len(a))
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        left = left[x != y]
+        if not len(left):
+            return np.concatenate(chosen), label
+        x, y = label[a[left]], label[b[left]]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((d[left], low, high))
+        first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+        chosen.append(left[first])
+        to = np.arange(len(label))
+        to[high[first]] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def first_of(values: np.ndarray) -> np.ndarray:
+    """For each row the first row of equal value."""
+    _, first, of = np.unique(values, return_index=True, return_inverse=True)
+    return first[of]
+
+
+def close_pairs(planes: list[np.ndarray], sigs: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (asked row, any row) within the radius, a block of asked rows at a time."""
+    step = max(16, min(1024, (1 << 14) // planes[0].shape[1]))
+    for i in range(0, len(asked), step):
+        chunk = asked[i : i + step]
+        hit = np.unpackbits(near_rows(planes, sigs[chunk], radius).view(np.uint8).reshape(len(chunk), -1), axis=1, bitorder="little")[:, : len(sigs)]
+        a, b = np.nonzero(hit)
+        yield chunk[a], b
+
+
+def distance(sigs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sigs[a] ^ sigs[b]).sum(axis=1).astype(np.int64)
+
+
+def bucket_tree(sigs: np.ndarray, c: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the components of one bucket, where rows of one label count as joined: first the pairs of PIVOTS rows, then those of all rows outside the largest component,
+    as of two rows that are still apart one lies outside it."""
     planes = [planes_of(np.ascontiguousarray(sigs[:, w])) for w in range(WORDS)]
-    todo = np.zeros(planes[0].shape[1] * 64, bool)
-    todo[:n] = True
-    for start in range(n):
-        if not todo[start]:
-            continue
-        todo[start] = False
-        front = np.array([start])
-        while len(front):
-            chunk, front = front[:64], front[64:]
-            hit = np.bitwise_or.reduce(near_rows(planes, sigs[chunk], radius), axis=0)
-            new = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little").view(bool) & todo)
-            todo[new] = False
-            if len(new):
-                apart = np.bitwise_count(sigs[chunk][:, None, :] ^ sigs[new][None, :, :]).sum(axis=2)
-                found.extend(zip(chunk[apart.argmin(axis=0)].tolist(), new.tolist(), strict=True))
-            front = np.concatenate([front, new])
-    return found
+    label, left, right = first_of(c), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    asked = np.arange(min(PIVOTS, len(sigs)))
+    for turn in range(2):
+        for a, b in close_pairs(planes, sigs, asked, radius):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            chosen, label = spanning(label, a, b, distance(sigs, a, b))
+            left.append(a[chosen])
+            right.append(b[chosen])
+        if not turn:
+            outside = label != np.bincount(label).argmax()
+            outside[asked] = False
+            asked = np.flatnonzero(outside)
+    return np.concatenate(left), np.concatenate(right)
 
 
-def cross_pairs(sigs: np.ndarray, label: np.ndarray, radius: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the radius that have different labels, asked from all rows but those of the commonest label, as one end of each pair is such a row.
-    With `nearest`, of each row only so many."""
-    labels, of = np.unique(label, return_inverse=True)
+def small_pairs(start: np.ndarray, size: np.ndarray, c: np.ndarray, sigs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius, of different labels, of many small buckets at once: one lane a pair of places p and p + gap."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(labels) < 2:
+    for gap in range(1, SMALL_BUCKET):
+        start, size = start[size > gap], size[size > gap]
+        if not len(start):
+            break
+        count = size - gap
+        first = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = first[c[first] != c[first + gap]]
+        for i in range(0, len(first), 1 << 15):
+            a = first[i : i + (1 << 15)]
+            near = a[near_pairs(sigs[a], sigs[a + gap], radius)]
+            left.append(near)
+            right.append(near + gap)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def cross_pairs(sigs: np.ndarray, label: np.ndarray, asks: np.ndarray, answers: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each asking row its `most` nearest answering rows within the radius that have another label."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not len(asks) or not len(answers):
         return left[0], right[0]
-    planes = [planes_of(np.ascontiguousarray(sigs[:, w])) for w in range(WORDS)]
-    asked = np.flatnonzero(of != np.bincount(of).argmax())
-    for i in range(0, len(asked), 64):
-        chunk = asked[i : i + 64]
-        hit = np.unpackbits(near_rows(planes, sigs[chunk], radius).view(np.uint8).reshape(len(chunk), -1), axis=1, bitorder="little")[:, : len(sigs)].astype(bool)
-        a, b = np.nonzero(hit & (of[chunk][:, None] != of[None, :]))
-        if nearest is not None and len(a):
-            order = np.lexsort((np.bitwise_count(sigs[chunk[a]] ^ sigs[b]).sum(axis=1), a))
-            a, b = a[order], b[order]
-            first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            keep = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < nearest
-            a, b = a[keep], b[keep]
-        left.append(chunk[a])
-        right.append(b)
+    planes = [planes_of(np.ascontiguousarray(sigs[answers, w])) for w in range(WORDS)]
+    step = max(16, min(1024, (1 << 14) // planes[0].shape[1]))
+    for i in range(0, len(asks), step):
+        chunk = asks[i : i + step]
+        hit = np.unpackbits(near_rows(planes, sigs[chunk], radius).view(np.uint8).reshape(len(chunk), -1), axis=1, bitorder="little")[:, : len(answers)].astype(bool)
+        a, b = np.nonzero(hit & (label[chunk][:, None] != label[answers][None, :]))
+        a, b = chunk[a], answers[b]
+        order = np.lexsort((distance(sigs, a, b), a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])[: len(a)]
+        keep = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < most
+        left.append(a[keep])
+        right.append(b[keep])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -276,124 +333,230 @@ def _keys(tables: list[list[int]]):
     return run
 
 
-def _edges(radius: int, way: str):
-    """Edges of each bucket between rows of different groups: by 'tree' every pair of a small bucket and a spanning tree of a larger one; by 'nearest' and by 'all' the pairs of the larger ones that are still apart."""
+BOTH, ANSWERS, ASKS = 0, 1, 2
 
-    def links(key: np.ndarray, node: np.ndarray, c: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+
+def _bucket_pairs(radius: int, most: int | None):
+    """Pairs (a, b, d) within the radius, of different labels. Without `most`: pairs that join each bucket's components. With it: of each asking row the `most` nearest (of a small
+    bucket all); rows of role BOTH ask unless they have the commonest label, since of two rows of different labels one has another."""
+
+    def links(key: np.ndarray, role: np.ndarray, node: np.ndarray, c: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[start, len(node)])
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, n in zip(start[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
+        dealt = np.add.reduceat(role, start) > 0 if len(start) else np.zeros(0, bool)
+        single = (sizes > SMALL_BUCKET) | dealt
+        for s, n in zip(start[single], sizes[single], strict=True):
             here = slice(s, s + n)
             if (c[here] == c[s]).all():
                 continue
-            if way != "tree":
-                x, y = cross_pairs(sigs[here], c[here], radius, NEAREST if way == "nearest" else None)
-            elif found := bucket_edges(sigs[here], radius):
-                x, y = np.array(found).T
-                apart = c[here][x] != c[here][y]
-                x, y = x[apart], y[apart]
+            if most is None:
+                x, y = bucket_tree(sigs[here], c[here], radius)
             else:
-                continue
-            left.append(node[here][x])
-            right.append(node[here][y])
-        small = (sizes > 1) & (sizes <= SMALL_BUCKET) if way == "tree" else np.zeros(len(sizes), bool)
-        begin, size = start[small], sizes[small]
-        for gap in range(1, SMALL_BUCKET):
-            begin, size = begin[size > gap], size[size > gap]
-            if not len(begin):
-                break
-            count = size - gap
-            first = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            first = first[c[first] != c[first + gap]]
-            for i in range(0, len(first), 1 << 15):
-                a = first[i : i + (1 << 15)]
-                near = a[near_pairs(sigs[a], sigs[a + gap], radius)]
-                left.append(node[near])
-                right.append(node[near + gap])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
+                labels, of = np.unique(c[here], return_inverse=True)
+                asks = np.flatnonzero((role[here] == ASKS) | (role[here] == BOTH) & (of != np.bincount(of).argmax()))
+                x, y = cross_pairs(sigs[here], of, asks, np.flatnonzero(role[here] != ASKS), radius, most)
+            left.append(s + x)
+            right.append(s + y)
+        few = ~single & (sizes > 1)
+        x, y = small_pairs(start[few], sizes[few], c, sigs, radius)
+        if most is not None:
+            x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        elif len(x):
+            bucket, (_, own) = np.repeat(np.arange(len(start)), sizes), np.unique(c, return_inverse=True)
+            chosen, _ = spanning(first_of(bucket * (own.max() + 1) + own), x, y, distance(sigs, x, y))
+            x, y = x[chosen], y[chosen]
+        left.append(x)
+        right.append(y)
+        x, y = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(distance(sigs, x, y).astype(np.int32))], names=["a", "b", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rest = np.zeros((0, 4), np.int64), np.zeros((0, 2 + WORDS), np.int64)
+        held, room = [], 0
+
+        def take(x: np.ndarray) -> pa.RecordBatch:
+            return links(x[:, :4], x[:, 4], x[:, 5], x[:, 6], np.ascontiguousarray(x[:, 7:]).view(np.uint64))
+
         for batch in batches:
-            part = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6 + WORDS)], axis=1)
-            key, rest = np.concatenate([key, part[:, :4]]), np.concatenate([rest, part[:, 4:]])
-            if len(rest) < 1 << 16:
+            part = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7 + WORDS)], axis=1)
+            held.append(part)
+            room += len(part)
+            if room < 1 << 16:
                 continue
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
-            if len(cut):
-                at = cut[-1] + 1
-                yield links(key[:at], rest[:at, 0], rest[:at, 1], np.ascontiguousarray(rest[:at, 2:]).view(np.uint64))
-                key, rest = key[at:], rest[at:]
-        yield links(key, rest[:, 0], rest[:, 1], np.ascontiguousarray(rest[:, 2:]).view(np.uint64))
+            rows = np.concatenate(held)
+            cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1))
+            at = cut[-1] + 1 if len(cut) else 0
+            if at:
+                yield take(rows[:at])
+            held, room = [rows[at:]], 0
+        if held:
+            yield take(np.concatenate(held))
 
     return run
 
 
-def _dealt(keyed: DataFrame, large: DataFrame, found: int, hot_bucket: int, inner: bool = False) -> DataFrame:
-    """The rows by bucket (t, key, x, y); those of a bucket of over hot_bucket rows are dealt into groups, by pairs of groups. With `inner` only rows of `large` buckets."""
+_PAIR = "a long, b long, d int"
+_KEYED = "t int, key long, node long, c long, s0 long, s1 long, s2 long, s3 long"
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y", "node")
+
+
+def _few(df: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
+
+
+def _part(parts: Column, seed: int = 11) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), parts).cast("int")
+
+
+def _dealt(keyed: DataFrame, hot: DataFrame, found: int, hot_bucket: int) -> DataFrame:
+    """The rows by bucket (t, key, x, y); those of a bucket of over hot_bucket rows are dealt into groups, by pairs of groups."""
     rest = [c for c in keyed.columns if c not in ("t", "key")]
     x, y = F.lit(0), F.lit(0)
     if found:
-        grouped = large.select("t", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("g"))
-        keyed = keyed.join(F.broadcast(grouped) if found <= MAX_BROADCAST_BUCKETS else grouped, ["t", "key"], "inner" if inner else "left")
-        own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("g")).cast("int")
+        grouped = hot.select("t", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("g"))
+        keyed = keyed.join(_few(grouped, found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left")
+        own = _part(F.col("g"))
         pairs = F.when(F.col("g") > 1, F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y"))))
         keyed = keyed.withColumn("p", F.explode(F.coalesce(pairs, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))))
         x, y = F.col("p.x"), F.col("p.y")
-    keyed = keyed.select("t", "key", x.alias("x"), y.alias("y"), *rest)
-    return keyed.repartition(shuffle_partitions(keyed.sparkSession), "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
+    return _sent(keyed.select("t", "key", x.alias("x"), y.alias("y"), *rest))
+
+
+_ROW = ["node", "c", "s0", "s1", "s2", "s3"]
+
+
+def _first_rows(keyed: DataFrame, hot: DataFrame, found: int, hot_bucket: int) -> DataFrame:
+    """The rows by bucket. Those of a bucket of over hot_bucket rows are dealt into groups, and about SHARED of them go to every group, so that the groups' trees meet."""
+    groups = F.array(F.lit(0))
+    if found:
+        marks = hot.select("t", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("g"), F.greatest(F.lit(1), F.floor(F.col("n") / SHARED)).cast("int").alias("every"))
+        keyed = keyed.join(_few(marks, found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left")
+        dealt = F.when(_part(F.col("every"), 13) == 0, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(_part(F.col("g"))))
+        groups = F.when(F.col("g") > 1, dealt).otherwise(groups)
+    return _sent(keyed.withColumn("x", F.explode(groups)).select("t", "key", "x", F.lit(0).alias("y"), F.lit(BOTH).alias("role"), *_ROW))
+
+
+def _further_rows(keyed: DataFrame, hot: DataFrame, found: int, hot_bucket: int) -> DataFrame:
+    """The rows by bucket. Of a bucket of over hot_bucket rows, those that have not its commonest label ask, dealt into groups, and all rows answer, dealt into groups; each group of
+    the ones meets each of the others. A bucket of one label is left out."""
+    one = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(BOTH).alias("role")))
+    if found:
+        each = keyed.join(_few(hot.select("t", "key"), found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left_semi").groupBy("t", "key", "c").agg(F.count(F.lit(1)).alias("n"))
+        commonest = each.groupBy("t", "key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"))
+        g, m = F.ceil(F.col("n") / hot_bucket), F.col("n") - F.col("most.n")
+        marks = materialise(commonest.select("t", "key", F.col("most.c").alias("label"), g.cast("int").alias("g"), F.ceil(m / hot_bucket).cast("int").alias("h")), "hot-labels")
+        keyed = keyed.join(_few(marks, found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left").where("h is null or h > 0")
+        answers = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.struct(_part(F.col("g")).alias("x"), y.alias("y"), F.lit(ANSWERS).alias("role")))
+        asks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(x.alias("x"), _part(F.col("h"), 17).alias("y"), F.lit(ASKS).alias("role")))
+        one = F.when(F.col("g").isNull(), one).when(F.col("c") == F.col("label"), answers).otherwise(F.concat(answers, asks))
+    return _sent(keyed.withColumn("p", F.explode(one)).select("t", "key", "p.x", "p.y", "p.role", *_ROW))
 
 
 def similar_links(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Links (a, b) of groups `c` of the nodes (`node`, `c`, `s0`..`s3`; `texts` has `node`, `text`) whose components are those of all pairs of nodes that meet in a
     table, have signatures within the radius and texts of the similarity.
 
-    Small buckets give every pair. Larger ones give a spanning tree first, then the nearest of the rows that the verified links leave apart, at last every pair still
-    apart: a pair goes unverified only if verified links join its groups already."""
-    keyed = lambda nodes: nodes.select("node", "c", "s0", "s1", "s2", "s3").mapInArrow(_keys(tables), "t int, key long, node long, c long, s0 long, s1 long, s2 long, s3 long")
+    First each bucket gives pairs that would join its components, of which each node passes on two for the exact check: with the smallest node and with the nearest. Where a pair
+    stays apart, the nodes' buckets are searched again by the groups that the checked links make: nodes name their nearest ones of other groups, NEAREST at first
+    and eight times as many each time, until no node has more of them than were checked. So a pair goes unchecked only if checked links join its groups already,
+    and a group of near copies costs about two checks a text, not all its pairs."""
+    spark = signed.sparkSession
     tables, radius = tables_of(signed.count(), similarity), radius_of(similarity)
-    large = materialise(keyed(signed).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_BUCKET), "large-similar")
-    hot = large.where(F.col("n") > hot_bucket)
-    found, very = large.count(), hot.count()
-    links, nodes = None, signed
-    for way in ("tree", "nearest", "all"):
-        buckets = _dealt(keyed(nodes), hot, very, hot_bucket) if way == "tree" else _dealt(keyed(nodes), large, found, hot_bucket, inner=True)
-        new = verified(buckets.mapInArrow(_edges(radius, way), "a long, b long"), texts, similarity)
+    keyed = lambda nodes: nodes.select(*_ROW).mapInArrow(_keys(tables), _KEYED)
+    hot = materialise(keyed(signed).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket), "hot-similar")
+    found, sets, used, links = hot.count(), ShingleSets(texts), [hot], None
+    near = _first_rows(keyed(signed), hot, found, hot_bucket).mapInArrow(_bucket_pairs(radius, None), _PAIR)
+    edges = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct(), "similar-pairs")
+    picked = edges.groupBy("b").agg(F.min("a").alias("low"), F.min(F.struct("d", "a")).alias("near")).select(F.explode(F.array_distinct(F.array("low", "near.a"))).alias("a"), "b")
+    nodes, most, unsure = signed, NEAREST, None
+    while True:
+        new = sets.verified(picked, similarity)
         if new is not None:
-            c = lambda end: signed.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"))
-            new = new.join(c("a"), "a").join(c("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-            links = materialise(new if links is None else links.union(new), "similar-links")
-        if not found:
+            c = lambda end: nodes.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"))  # noqa: E731, B023
+            new = materialise(new.join(c("a"), "a").join(c("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "similar-links")
+            links = new if links is None else links.union(new)
+            labels = connected_components(new, "a", "b").withColumnRenamed("node", "c")
+            nodes = materialise(nodes.join(labels, "c", "left").select("node", F.coalesce("label", "c").alias("c"), *_ROW[2:]), "labelled-signatures")
+            used += [labels, nodes]
+        if unsure is None:
+            c = lambda end: nodes.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"))  # noqa: E731, B023
+            apart = edges.select("a", "b").join(c("a"), "a").join(c("b"), "b").where("ca <> cb")
+            unsure = apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()
+            again = keyed(nodes.join(unsure, "node", "left_semi")).select("t", "key").union(hot.select("t", "key"))
+        else:
+            again = keyed(nodes.join(unsure, "node", "left_semi")).select("t", "key")
+        again = materialise(again.distinct(), "open-buckets")
+        used.append(again)
+        if not (left := again.count()):
             break
-        if new is not None and way != "all":
-            labels = connected_components(links, "a", "b").withColumnRenamed("node", "c")
-            nodes = materialise(signed.join(labels, "c", "left").select("node", F.coalesce("label", "c").alias("c"), "s0", "s1", "s2", "s3"), "labelled-signatures")
-            remove(labels)
-    return links if links is not None else signed.sparkSession.createDataFrame([], "a long, b long")
+        rows = _further_rows(keyed(nodes).join(_few(again, left, MAX_BROADCAST_NODES), ["t", "key"], "left_semi"), hot, found, hot_bucket)
+        own = rows.mapInArrow(_bucket_pairs(radius, most + 1), _PAIR).groupBy("a").agg(F.sort_array(F.collect_set(F.struct("d", "b"))).alias("s"))
+        own = materialise(own.select("a", F.slice("s", 1, most).alias("s"), (F.size("s") > most).alias("more")), "nearest-pairs")
+        used.append(own)
+        unsure = own.where("more").select(F.col("a").alias("node"))
+        picked = own.select("a", F.explode("s.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        most *= 8
+    sets.remove()
+    for table in (*used, edges):
+        remove(table)
+    return links if links is not None else spark.createDataFrame([], "a long, b long")
 
 
 def shingle_set(text: bytes | None) -> list[int]:
     return shingle_hashes(text).view(np.int64).tolist()
 
 
-def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
-    """Of the edges (a, b) those whose texts (`node`, `text`) have at least the Jaccard similarity, None if there are no edges. Only texts of an edge are read again."""
-    pairs = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    if not (count := pairs.count()):
-        return None
-    if 2 * count <= MAX_BROADCAST_NODES:
-        involved = F.broadcast(involved)  # so the texts are not shuffled
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
-
-    held = materialise(texts.select("node", "text").join(involved, "node", "left_semi").mapInArrow(sets, "node long, s array<long>"), "shingle-sets")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("n") >= F.col("u") * similarity).select("a", "b")
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            some = batch.slice(i, 1000)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in some.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
+
+
+class ShingleSets:
+    """The shingles' hashes of texts (`node`, `text`), made once for each text that a pair asks for."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts, self.held = texts.select("node", "text"), []
+
+    def of(self, pairs: DataFrame, count: int) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for table in self.held:
+            ends = ends.join(table.select("node"), "node", "left_anti")
+        # so the texts are not shuffled
+        made = materialise(self.texts.join(_few(ends, 2 * count, MAX_BROADCAST_NODES), "node", "left_semi").mapInArrow(_sets, "node long, s array<long>"), "shingle-sets")
+        self.held.append(made)
+        out = self.held[0]
+        for table in self.held[1:]:
+            out = out.union(table)
+        return out
+
+    def verified(self, pairs: DataFrame, similarity: float) -> DataFrame | None:
+        """Of the pairs (a, b) those whose texts have at least the Jaccard similarity; None if there are no pairs. The set of a text with very many pairs is dealt to as many parts as need it."""
+        pairs = materialise(pairs.select("a", "b"), "asked-pairs")
+        self.held_pairs = [*getattr(self, "held_pairs", []), pairs]
+        if not (count := pairs.count()):
+            return None
+        sets = self.of(pairs, count)
+        hubs = materialise(pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("p")), "hub-texts")
+        self.held_pairs.append(hubs)
+        x = sets
+        if known := hubs.count():
+            parts = _few(hubs, known, MAX_BROADCAST_BUCKETS)
+            pairs = pairs.join(parts.withColumnRenamed("node", "a"), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b", F.lit(19)), F.col("p")), F.lit(0)).cast("int").alias("k"))
+            x = x.join(parts, "node", "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("p") - 1, F.lit(0)))))
+        else:
+            pairs, x = pairs.withColumn("k", F.lit(0)), x.withColumn("k", F.lit(0))
+        both = pairs.join(x.select(F.col("node").alias("a"), "k", F.col("s").alias("x")), ["a", "k"]).join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("n") >= F.col("u") * similarity).select("a", "b")
+
+    def remove(self) -> None:
+        for table in (*self.held, *getattr(self, "held_pairs", [])):
+            remove(table)
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:

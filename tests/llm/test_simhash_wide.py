@@ -119,3 +119,49 @@ def test_short_texts_and_wide_pairs(spark):
     kept = [r["doc_id"] for r in w.drop_similar(spark.createDataFrame(data, "doc_id long, text string"), hot_bucket=64).collect()]
     assert sorted(kept) == list(range(0, 400, 2))
     assert w.radius_of(0.8) >= w.BITS * w.bit_share(0.8) + 3.4 * (w.BITS * w.bit_share(0.8) * (1 - w.bit_share(0.8))) ** 0.5
+
+
+def grouped(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize(("groups", "copies", "hot"), [(12, 40, 2048), (4, 60, 50), (1, 1500, 256)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, groups, copies, hot):
+    """Edited copies of a base, many of them unlike one another: the groups are those of all pairs within the radius and at 0.8, whatever the size of the bucket."""
+    monkeypatch.setattr(w, "tables_of", lambda rows, similarity: [[]])
+    rng = random.Random(groups)
+    texts = []
+    for g in range(groups):
+        words = [f"b{g}w{i}" for i in range(200)]
+        for _ in range(copies):
+            own = list(words)
+            for i in rng.sample(range(200), rng.randrange(1, 8)):
+                own[i] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(own).encode())
+    sets = [w.shingle_hashes(t) for t in texts]
+    sig = np.array([w.signature_of(s) for s in sets])
+    names = {x: i for i, x in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    want = []
+    for g in range(groups):
+        here = range(g * copies, (g + 1) * copies)
+        has = np.zeros((copies, len(names)), np.float32)
+        for i in here:
+            has[i - here[0], [names[x] for x in sets[i].tolist()]] = 1
+        common, size = has @ has.T, has.sum(axis=1)
+        near = (common >= 0.8 * (size[:, None] + size[None, :] - common)) & (np.bitwise_count(sig[here][:, None] ^ sig[here][None]).sum(axis=2) <= w.radius_of(0.8))
+        want += [(a + here[0], b + here[0]) for a, b in zip(*map(list, np.nonzero(near)), strict=True) if a < b]
+    rows = spark.createDataFrame([(i, i, *map(int, s.view("int64"))) for i, s in enumerate(sig)], "node long, c long, s0 long, s1 long, s2 long, s3 long")
+    links = w.similar_links(rows, spark.createDataFrame(list(enumerate(texts)), "node long, text binary"), hot_bucket=hot)
+    assert grouped(len(texts), [(r["a"], r["b"]) for r in links.collect()]) == grouped(len(texts), want)
+    assert links.count() < 20 * len(texts)
