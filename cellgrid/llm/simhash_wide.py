@@ -5,6 +5,7 @@ Texts of similarity J have shingle vectors at a cosine of about 2J / (1 + J), an
 tables keyed by random bits: more bits for more texts, and as many tables as make a pair at the similarity meet with probability
 RECALL. Within a bucket the bit planes of all signatures are added up by carry-save counters, a block of words at a time, and lanes that are beyond
 the radius are abandoned. Buckets larger than HOT_BUCKET are dealt into groups.
+What hangs together so far is compared exactly by its shingles.
 """
 
 from __future__ import annotations
@@ -29,13 +30,9 @@ MARGIN = 3.5
 #: Texts of so many shingles or fewer are also looked up by their shingles, as majorities of few hashes stray further than the binomial says.
 SHORT = 40
 BITS = 64 * WORDS
-#: So many nearest rows of other groups are checked first; each further search takes eight times as many.
-NEAREST = 2
 #: Rows of a bucket that are compared with all its others first, and rows of a large bucket that go to each of its groups.
 PIVOTS, SHARED = 64, 64
-#: A text with more pairs than this has its shingles dealt to several tasks.
-HUB = 4096
-#: Texts to be verified, and buckets to be searched again, are picked by a broadcast of at most so many numbers; more are picked by a shuffle.
+#: Texts to be compared are picked by a broadcast of at most so many rows of numbers; more are picked by a shuffle.
 MAX_BROADCAST_NODES = 1_000_000
 # fixed values: odd multipliers that derive four words from one hash
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -228,45 +225,43 @@ def small_pairs(start: np.ndarray, size: np.ndarray, c: np.ndarray, sigs: np.nda
     return np.concatenate(left), np.concatenate(right)
 
 
-def cross_pairs(sigs: np.ndarray, label: np.ndarray, asks: np.ndarray, answers: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each asking row its `most` nearest answering rows within the radius that have another label."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if not len(asks) or not len(answers):
-        return left[0], right[0]
-    planes = [planes_of(np.ascontiguousarray(sigs[answers, w])) for w in range(WORDS)]
-    step = max(16, min(1024, (1 << 14) // planes[0].shape[1]))
-    for i in range(0, len(asks), step):
-        chunk = asks[i : i + step]
-        hit = np.unpackbits(near_rows(planes, sigs[chunk], radius).view(np.uint8).reshape(len(chunk), -1), axis=1, bitorder="little")[:, : len(answers)].astype(bool)
-        a, b = np.nonzero(hit & (label[chunk][:, None] != label[answers][None, :]))
-        a, b = chunk[a], answers[b]
-        order = np.lexsort((distance(sigs, a, b), a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])[: len(a)]
-        keep = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < most
-        left.append(a[keep])
-        right.append(b[keep])
-    return np.concatenate(left), np.concatenate(right)
-
-
 def equal_sets(sets: list[np.ndarray], c: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A spanning tree of each component of the rows whose shingle sets have the Jaccard similarity; compared exactly, a row against all."""
+    """Pairs that join the components of the rows whose shingle sets, none empty, have the Jaccard similarity, compared exactly; rows of one label `c` count as joined.
+    A search by breadth: each row reached is compared with the rows not reached yet."""
     size = np.array([len(x) for x in sets])
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    start, found = np.r_[0, np.cumsum(size)[:-1]], []
-    todo = np.ones(len(sets), bool)
+    start = np.cumsum(size) - size
+    place = np.argsort(c, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, c[place][1:] != c[place][:-1], True])
+    label = np.empty(len(sets), np.int64)
+    label[place] = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    members = lambda i: place[bounds[label[i]] : bounds[label[i] + 1]]
+    found, todo, own = [], np.ones(len(sets), bool), np.zeros(len(ids), np.int32)
+    left = np.arange(len(sets))
+    shingles, begins = flat, start
     for first in range(len(sets)):
-        front = [first] if todo[first] else []
-        todo[first] = False
+        if not todo[first]:
+            continue
+        front = members(first).tolist()
+        todo[front] = False
         while front:
+            if todo[left].sum() * 2 <= len(left):
+                left = left[todo[left]]
+                if not len(left):
+                    return found
+                shingles = np.concatenate([flat[start[k] : start[k] + size[k]] for k in left])
+                begins = np.cumsum(size[left]) - size[left]
             i = front.pop()
-            own = np.zeros(len(ids), np.int64)
-            own[flat[start[i] : start[i] + size[i]]] = 1
-            common = np.add.reduceat(own[flat], start)
-            new = np.flatnonzero((common >= (size + size[i] - common) * similarity) & todo)
-            todo[new] = False
-            front += new.tolist()
-            found += [(i, j) for j in new.tolist() if c[i] != c[j]]
+            at = flat[start[i] : start[i] + size[i]]
+            own[at] = 1
+            common = np.add.reduceat(own[shingles], begins)
+            own[at] = 0
+            for k in left[(common >= (size[left] + size[i] - common) * similarity) & todo[left]].tolist():
+                found.append((i, k))
+                if todo[k]:
+                    more = members(k)
+                    front += more[todo[more]].tolist()
+                    todo[more] = False
     return found
 
 
@@ -333,69 +328,83 @@ def _keys(tables: list[list[int]]):
     return run
 
 
-BOTH, ANSWERS, ASKS = 0, 1, 2
-
-
-def _bucket_pairs(radius: int, most: int | None):
-    """Pairs (a, b, d) within the radius, of different labels. Without `most`: pairs that join each bucket's components. With it: of each asking row the `most` nearest (of a small
-    bucket all); rows of role BOTH ask unless they have the commonest label, since of two rows of different labels one has another."""
-
-    def links(key: np.ndarray, role: np.ndarray, node: np.ndarray, c: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[start, len(node)])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        dealt = np.add.reduceat(role, start) > 0 if len(start) else np.zeros(0, bool)
-        single = (sizes > SMALL_BUCKET) | dealt
-        for s, n in zip(start[single], sizes[single], strict=True):
-            here = slice(s, s + n)
-            if (c[here] == c[s]).all():
-                continue
-            if most is None:
-                x, y = bucket_tree(sigs[here], c[here], radius)
-            else:
-                labels, of = np.unique(c[here], return_inverse=True)
-                asks = np.flatnonzero((role[here] == ASKS) | (role[here] == BOTH) & (of != np.bincount(of).argmax()))
-                x, y = cross_pairs(sigs[here], of, asks, np.flatnonzero(role[here] != ASKS), radius, most)
-            left.append(s + x)
-            right.append(s + y)
-        few = ~single & (sizes > 1)
-        x, y = small_pairs(start[few], sizes[few], c, sigs, radius)
-        if most is not None:
-            x, y = np.concatenate([x, y]), np.concatenate([y, x])
-        elif len(x):
-            bucket, (_, own) = np.repeat(np.arange(len(start)), sizes), np.unique(c, return_inverse=True)
-            chosen, _ = spanning(first_of(bucket * (own.max() + 1) + own), x, y, distance(sigs, x, y))
-            x, y = x[chosen], y[chosen]
-        left.append(x)
-        right.append(y)
-        x, y = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(distance(sigs, x, y).astype(np.int32))], names=["a", "b", "d"])
+def _in_buckets(columns: int, links):
+    """Runs links on whole buckets, many at a time, of rows that come sorted by their first four columns; `columns` of numbers, then lists if there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, room = [], 0
+        held, lists, room = [], [], 0
 
-        def take(x: np.ndarray) -> pa.RecordBatch:
-            return links(x[:, :4], x[:, 4], x[:, 5], x[:, 6], np.ascontiguousarray(x[:, 7:]).view(np.uint64))
+        def take(at: int | None) -> pa.RecordBatch:
+            nonlocal held, lists, room
+            rows, sets = np.concatenate(held), lists
+            at = len(rows) if at is None else at
+            held, lists = [rows[at:]], sets[at:]
+            room = len(rows) - at + sum(map(len, lists)) // 256
+            x, y = links(rows[:at], sets[:at])
+            return pa.RecordBatch.from_arrays([pa.array(rows[x, 5]), pa.array(rows[y, 5])], names=["a", "b"])
 
         for batch in batches:
-            part = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7 + WORDS)], axis=1)
+            part = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(columns)], axis=1)
             held.append(part)
+            if batch.num_columns > columns:
+                new = [x.values.to_numpy() for x in batch.column(columns)]
+                lists += new
+                room += sum(map(len, new)) // 256
             room += len(part)
             if room < 1 << 16:
                 continue
-            rows = np.concatenate(held)
-            cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1))
-            at = cut[-1] + 1 if len(cut) else 0
-            if at:
-                yield take(rows[:at])
-            held, room = [rows[at:]], 0
+            held = [np.concatenate(held)]
+            cut = np.flatnonzero((held[0][1:, :4] != held[0][:-1, :4]).any(axis=1))
+            if len(cut):
+                yield take(cut[-1] + 1)
         if held:
-            yield take(np.concatenate(held))
+            yield take(None)
 
     return run
 
 
-_PAIR = "a long, b long, d int"
+def _starts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, len(rows)])
+
+
+def _near_edges(radius: int):
+    """Pairs of groups that join the components of each bucket's rows within the radius."""
+
+    def links(rows: np.ndarray, _) -> tuple[np.ndarray, np.ndarray]:
+        c, sigs = rows[:, 5], np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
+        start, sizes = _starts(rows)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, n in zip(start[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
+            if (c[s : s + n] != c[s]).any():
+                x, y = bucket_tree(sigs[s : s + n], c[s : s + n], radius)
+                left.append(s + x)
+                right.append(s + y)
+        few = (sizes > 1) & (sizes <= SMALL_BUCKET)
+        x, y = small_pairs(start[few], sizes[few], c, sigs, radius)
+        if len(x):
+            bucket, (_, own) = np.repeat(np.arange(len(start)), sizes), np.unique(c, return_inverse=True)
+            chosen, _ = spanning(first_of(bucket * (own.max() + 1) + own), x, y, distance(sigs, x, y))
+            left.append(x[chosen])
+            right.append(y[chosen])
+        return np.concatenate(left), np.concatenate(right)
+
+    return _in_buckets(6 + WORDS, links)
+
+
+def _equal_edges(similarity: float):
+    """Pairs of groups that join the components of each bucket's texts of the similarity."""
+
+    def links(rows: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.zeros((0, 2), np.int64)]
+        for s, n in zip(*_starts(rows), strict=True):
+            if n > 1 and (rows[s : s + n, 5] != rows[s, 5]).any():
+                found.append(s + np.array(equal_sets(sets[s : s + n], rows[s : s + n, 5], similarity), np.int64).reshape(-1, 2))
+        return tuple(np.concatenate(found).T)
+
+    return _in_buckets(6, links)
+
+
 _KEYED = "t int, key long, node long, c long, s0 long, s1 long, s2 long, s3 long"
 
 
@@ -425,84 +434,65 @@ def _dealt(keyed: DataFrame, hot: DataFrame, found: int, hot_bucket: int) -> Dat
     return _sent(keyed.select("t", "key", x.alias("x"), y.alias("y"), *rest))
 
 
-_ROW = ["node", "c", "s0", "s1", "s2", "s3"]
-
-
 def _first_rows(keyed: DataFrame, hot: DataFrame, found: int, hot_bucket: int) -> DataFrame:
     """The rows by bucket. Those of a bucket of over hot_bucket rows are dealt into groups, and about SHARED of them go to every group, so that the groups' trees meet."""
-    groups = F.array(F.lit(0))
+    rest, groups = [x for x in keyed.columns if x not in ("t", "key", "w")], F.array(F.lit(0))
     if found:
         marks = hot.select("t", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("g"), F.greatest(F.lit(1), F.floor(F.col("n") / SHARED)).cast("int").alias("every"))
         keyed = keyed.join(_few(marks, found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left")
         dealt = F.when(_part(F.col("every"), 13) == 0, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(_part(F.col("g"))))
         groups = F.when(F.col("g") > 1, dealt).otherwise(groups)
-    return _sent(keyed.withColumn("x", F.explode(groups)).select("t", "key", "x", F.lit(0).alias("y"), F.lit(BOTH).alias("role"), *_ROW))
+    return _sent(keyed.withColumn("x", F.explode(groups)).select("t", "key", "x", F.lit(0).alias("y"), *rest))
 
 
 def _further_rows(keyed: DataFrame, hot: DataFrame, found: int, hot_bucket: int) -> DataFrame:
-    """The rows by bucket. Of a bucket of over hot_bucket rows, those that have not its commonest label ask, dealt into groups, and all rows answer, dealt into groups; each group of
-    the ones meets each of the others. A bucket of one label is left out."""
-    one = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(BOTH).alias("role")))
+    """The rows of the hot buckets, for the pairs that their groups have left apart. As of two rows of different labels one has not the commonest label, all rows are dealt into
+    groups, those of other labels into groups of their own, and each of the ones meets each of the others. A bucket of one label is left out."""
+    rest = [x for x in keyed.columns if x not in ("t", "key", "w")]
+    keyed = keyed.join(_few(hot.select("t", "key"), found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left_semi")
+    each = keyed.groupBy("t", "key", "c").agg(F.sum("w").alias("n"))
+    commonest = each.groupBy("t", "key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"))
+    sizes = commonest.select("t", "key", F.col("most.c").alias("label"), *[F.ceil(n / hot_bucket).cast("int").alias(x) for n, x in ((F.col("n"), "g"), (F.col("n") - F.col("most.n"), "h"))])
+    marks = materialise(sizes.where("h > 0"), "hot-labels")
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    all_rows = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: place(_part(F.col("g")), y))
+    others = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: place(x, _part(F.col("h"), 17)))
+    dealt = F.when(F.col("c") == F.col("label"), all_rows).otherwise(F.array_distinct(F.concat(all_rows, others)))
+    return _sent(keyed.join(_few(marks, found, MAX_BROADCAST_BUCKETS), ["t", "key"]).withColumn("p", F.explode(dealt)).select("t", "key", "p.x", "p.y", *rest))
+
+
+def joined(rows_of, nodes: DataFrame, kernel, hot_bucket: int, name: str) -> DataFrame:
+    """Links (a, b) of the groups `c` that join all that the kernel finds in the buckets of rows_of(nodes) (`t`, `key`, `w`, `node`, `c`, ...; w: what a row weighs).
+
+    Buckets that weigh over hot_bucket are done in two passes: groups of their rows, then the rows outside the largest group so far against all. So a large group of near copies
+    costs its rows once or twice, not the square of them; only rows that stay apart from it meet all others."""
+    keyed = rows_of(nodes)
+    hot = materialise(keyed.groupBy("t", "key").agg(F.sum("w").alias("n")).where(F.col("n") > hot_bucket), f"hot-{name}")
+    found = hot.count()
+    links = materialise(_first_rows(keyed, hot, found, hot_bucket).mapInArrow(kernel, "a long, b long").distinct(), name)
     if found:
-        each = keyed.join(_few(hot.select("t", "key"), found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left_semi").groupBy("t", "key", "c").agg(F.count(F.lit(1)).alias("n"))
-        commonest = each.groupBy("t", "key").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"))
-        g, m = F.ceil(F.col("n") / hot_bucket), F.col("n") - F.col("most.n")
-        marks = materialise(commonest.select("t", "key", F.col("most.c").alias("label"), g.cast("int").alias("g"), F.ceil(m / hot_bucket).cast("int").alias("h")), "hot-labels")
-        keyed = keyed.join(_few(marks, found, MAX_BROADCAST_BUCKETS), ["t", "key"], "left").where("h is null or h > 0")
-        answers = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.struct(_part(F.col("g")).alias("x"), y.alias("y"), F.lit(ANSWERS).alias("role")))
-        asks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(x.alias("x"), _part(F.col("h"), 17).alias("y"), F.lit(ASKS).alias("role")))
-        one = F.when(F.col("g").isNull(), one).when(F.col("c") == F.col("label"), answers).otherwise(F.concat(answers, asks))
-    return _sent(keyed.withColumn("p", F.explode(one)).select("t", "key", "p.x", "p.y", "p.role", *_ROW))
+        labels = connected_components(links, "a", "b").withColumnRenamed("node", "c")
+        again = nodes.join(labels, "c", "left").withColumn("c", F.coalesce("label", "c")).select(*nodes.columns)
+        links = links.union(materialise(_further_rows(rows_of(again), hot, found, hot_bucket).mapInArrow(kernel, "a long, b long").distinct(), f"further-{name}"))
+    return links
 
 
 def similar_links(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Links (a, b) of groups `c` of the nodes (`node`, `c`, `s0`..`s3`; `texts` has `node`, `text`) whose components are those of all pairs of nodes that meet in a
-    table, have signatures within the radius and texts of the similarity.
-
-    First each bucket gives pairs that would join its components, of which each node passes on two for the exact check: with the smallest node and with the nearest. Where a pair
-    stays apart, the nodes' buckets are searched again by the groups that the checked links make: nodes name their nearest ones of other groups, NEAREST at first
-    and eight times as many each time, until no node has more of them than were checked. So a pair goes unchecked only if checked links join its groups already,
-    and a group of near copies costs about two checks a text, not all its pairs."""
-    spark = signed.sparkSession
-    tables, radius = tables_of(signed.count(), similarity), radius_of(similarity)
-    keyed = lambda nodes: nodes.select(*_ROW).mapInArrow(_keys(tables), _KEYED)
-    hot = materialise(keyed(signed).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket), "hot-similar")
-    found, sets, used, links = hot.count(), ShingleSets(texts), [hot], None
-    near = _first_rows(keyed(signed), hot, found, hot_bucket).mapInArrow(_bucket_pairs(radius, None), _PAIR)
-    edges = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct(), "similar-pairs")
-    picked = edges.groupBy("b").agg(F.min("a").alias("low"), F.min(F.struct("d", "a")).alias("near")).select(F.explode(F.array_distinct(F.array("low", "near.a"))).alias("a"), "b")
-    nodes, most, unsure = signed, NEAREST, None
-    while True:
-        new = sets.verified(picked, similarity)
-        if new is not None:
-            c = lambda end: nodes.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"))  # noqa: E731, B023
-            new = materialise(new.join(c("a"), "a").join(c("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "similar-links")
-            links = new if links is None else links.union(new)
-            labels = connected_components(new, "a", "b").withColumnRenamed("node", "c")
-            nodes = materialise(nodes.join(labels, "c", "left").select("node", F.coalesce("label", "c").alias("c"), *_ROW[2:]), "labelled-signatures")
-            used += [labels, nodes]
-        if unsure is None:
-            c = lambda end: nodes.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"))  # noqa: E731, B023
-            apart = edges.select("a", "b").join(c("a"), "a").join(c("b"), "b").where("ca <> cb")
-            unsure = apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()
-            again = keyed(nodes.join(unsure, "node", "left_semi")).select("t", "key").union(hot.select("t", "key"))
-        else:
-            again = keyed(nodes.join(unsure, "node", "left_semi")).select("t", "key")
-        again = materialise(again.distinct(), "open-buckets")
-        used.append(again)
-        if not (left := again.count()):
-            break
-        rows = _further_rows(keyed(nodes).join(_few(again, left, MAX_BROADCAST_NODES), ["t", "key"], "left_semi"), hot, found, hot_bucket)
-        own = rows.mapInArrow(_bucket_pairs(radius, most + 1), _PAIR).groupBy("a").agg(F.sort_array(F.collect_set(F.struct("d", "b"))).alias("s"))
-        own = materialise(own.select("a", F.slice("s", 1, most).alias("s"), (F.size("s") > most).alias("more")), "nearest-pairs")
-        used.append(own)
-        unsure = own.where("more").select(F.col("a").alias("node"))
-        picked = own.select("a", F.explode("s.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        most *= 8
-    sets.remove()
-    for table in (*used, edges):
-        remove(table)
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+    """Links (a, b) of groups `c` of the nodes (`node`, `c`, `s0`..`s3`; `texts` has `node`, `text`).
+
+    First the buckets' rows are joined by the radius alone, down to trees. Then the texts of each component of those are compared exactly, by their shingles: the components of the
+    links are those of all pairs of the similarity within such a component, so of all pairs that meet in a table within the radius. No pairs of texts are written or shuffled."""
+    tables = tables_of(signed.count(), similarity)
+    keyed = lambda nodes: nodes.select("node", "c", "s0", "s1", "s2", "s3").mapInArrow(_keys(tables), _KEYED).withColumn("w", F.lit(1))
+    near = connected_components(joined(keyed, signed, _near_edges(radius_of(similarity)), hot_bucket, "near-groups"), "a", "b")
+    members = signed.select("node", "c").join(near.select(F.col("node").alias("c"), F.col("label").alias("key")), "c")
+    members = materialise(members, "similar-texts")
+    held = texts.select("node", "text").join(_few(members, members.count(), MAX_BROADCAST_NODES), "node").select("key", "node", "c", "text")  # so the texts are not shuffled, up to that many
+    held = materialise(held.mapInArrow(_sets, "t int, key long, node long, c long, w int, s array<long>"), "shingle-sets")
+    links = joined(lambda nodes: nodes.select("t", "key", "node", "c", "w", "s"), held, _equal_edges(similarity), hot_bucket, "similar-groups")
+    for used in (near, members):
+        remove(used)
+    return links
 
 
 def shingle_set(text: bytes | None) -> list[int]:
@@ -510,53 +500,15 @@ def shingle_set(text: bytes | None) -> list[int]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, key, node, c, w, s) with the shingles' hashes; a row weighs one, and one more for each 1024 shingles. Texts without words have no row."""
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             some = batch.slice(i, 1000)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in some.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
-
-
-class ShingleSets:
-    """The shingles' hashes of texts (`node`, `text`), made once for each text that a pair asks for."""
-
-    def __init__(self, texts: DataFrame):
-        self.texts, self.held = texts.select("node", "text"), []
-
-    def of(self, pairs: DataFrame, count: int) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        for table in self.held:
-            ends = ends.join(table.select("node"), "node", "left_anti")
-        # so the texts are not shuffled
-        made = materialise(self.texts.join(_few(ends, 2 * count, MAX_BROADCAST_NODES), "node", "left_semi").mapInArrow(_sets, "node long, s array<long>"), "shingle-sets")
-        self.held.append(made)
-        out = self.held[0]
-        for table in self.held[1:]:
-            out = out.union(table)
-        return out
-
-    def verified(self, pairs: DataFrame, similarity: float) -> DataFrame | None:
-        """Of the pairs (a, b) those whose texts have at least the Jaccard similarity; None if there are no pairs. The set of a text with very many pairs is dealt to as many parts as need it."""
-        pairs = materialise(pairs.select("a", "b"), "asked-pairs")
-        self.held_pairs = [*getattr(self, "held_pairs", []), pairs]
-        if not (count := pairs.count()):
-            return None
-        sets = self.of(pairs, count)
-        hubs = materialise(pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("p")), "hub-texts")
-        self.held_pairs.append(hubs)
-        x = sets
-        if known := hubs.count():
-            parts = _few(hubs, known, MAX_BROADCAST_BUCKETS)
-            pairs = pairs.join(parts.withColumnRenamed("node", "a"), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b", F.lit(19)), F.col("p")), F.lit(0)).cast("int").alias("k"))
-            x = x.join(parts, "node", "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("p") - 1, F.lit(0)))))
-        else:
-            pairs, x = pairs.withColumn("k", F.lit(0)), x.withColumn("k", F.lit(0))
-        both = pairs.join(x.select(F.col("node").alias("a"), "k", F.col("s").alias("x")), ["a", "k"]).join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("n") >= F.col("u") * similarity).select("a", "b")
-
-    def remove(self) -> None:
-        for table in (*self.held, *getattr(self, "held_pairs", [])):
-            remove(table)
+            sets = [shingle_hashes(t.as_py()).view(np.int64) for t in some.column(3)]
+            at = pa.array([k for k, s in enumerate(sets) if len(s)], pa.int32())
+            sets = [s for s in sets if len(s)]
+            zero, weight = np.zeros(len(sets), np.int32), np.array([1 + len(s) // 1024 for s in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(zero), *[some.column(k).take(at) for k in range(3)], pa.array(weight), pa.array(sets, pa.list_(pa.int64()))], names=["t", "key", "node", "c", "w", "s"])
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
