@@ -10,6 +10,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match never starts inside digits, so none are read twice
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -102,12 +103,13 @@ _GLYPHS = frozenset(HOMOGLYPHS)
 
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKETED = re.compile(rf"(?i)(?<=[A-Z0-9._%+-])(?:{_OPEN}(?:(?P<at>at|@|arroba|arobase)|(?P<dot>dot|\.|punto|point|punkt)){_CLOSE})(?=[A-Z0-9])")
-_WORDY = re.compile(r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+(?:[ \t]+dot[ \t]+[A-Z0-9_%+-]+)*(?:[ \t]+(?:at|arroba|arobase)[ \t]+|@)[A-Z0-9-]+(?:(?:[ \t]+(?:dot|punto|point|punkt)[ \t]+|\.)[A-Z0-9-]+)+")
-_PLAIN_HOST = re.compile(r"([ \t]+at[ \t]+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
-_JOINT = re.compile(r"(?i)[ \t]+(?:(at|arroba|arobase)|dot|punto|point|punkt)[ \t]+")
+_WORDY = re.compile(r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+(?:[ \t]++dot[ \t]++[A-Z0-9_%+-]++){0,16}(?:[ \t]+(?:at|arroba|arobase|@)[ \t]+|@)[A-Z0-9-]+(?:(?:[ \t]+(?:dot|punto|point|punkt)[ \t]+|\.)[A-Z0-9-]+)+")
+_PLAIN_HOST = re.compile(r"((?<![ \t])[ \t]++at[ \t]++)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
+_JOINT = re.compile(r"(?i)(?<![ \t])[ \t]++(?:(at|arroba|arobase|@)|dot|punto|point|punkt)[ \t]+")
 # Words that follow a real 'at', so no host.
 NO_HOST = {"the", "a", "an", "this", "that", "these", "those", "his", "her", "its", "their", "our", "my", "your", "each", "every", "any", "some", "one", "least", "most", "first", "last", "all"}
 _DOT_WORD = re.compile(r"(?i)[ \t](?:dot|punto|point|punkt)[ \t]")
+_SPELLED = re.compile(r"(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b")
 _TOKEN = re.compile(r"(?i)\b(?:(zero|one|two|three|four|five|six|seven|eight|nine)|(plus)|(dot|point))\b|([0-9])|([+.])")
 #: So many spelled digits make a run worth reading.
 MIN_SPELLED = 4
@@ -178,6 +180,8 @@ def fold_named_at(text: str) -> list[tuple[int, int, str]]:
 def fold_digits(text: str) -> list[tuple[int, int, str]]:
     """Edits for runs with at least MIN_SPELLED spelled digits: words become digits, '+' and '.', and what stands between goes."""
     edits, run, spelled = [], [], 0
+    if sum(1 for _ in islice(_SPELLED.finditer(text), MIN_SPELLED)) < MIN_SPELLED:
+        return edits
 
     def close() -> None:
         nonlocal run, spelled

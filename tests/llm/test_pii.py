@@ -1,6 +1,7 @@
 """Plain detectors against their patterns, disguises against the source they hide in, odd rows."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -90,6 +91,10 @@ def test_rows(spark):
         ("john { at } example { dot } com", "email"),
         ("john at example punto com", "email"),
         ("plus four four 2 zero seven 9 four six 0 nine five 8", "phone"),
+        ("juan@correo [punto] es", "email"),
+        ("max@firma (punkt) de", "email"),
+        ("juan{ at }firma.com", "email"),
+        ("juan @ firma [ dot ] com", "email"),
     ],
 )
 def test_disguises_are_not_skipped(text, kind):
@@ -99,3 +104,11 @@ def test_disguises_are_not_skipped(text, kind):
 def test_a_find_does_not_hang_on_text_elsewhere():
     text = "jane at example punto com"
     assert p.find(text)[1] == [s for s in p.find(f"{text}; see (at) and dot dot dot")[1] if s[2] <= len(text)] != []
+
+
+@pytest.mark.parametrize("text", ["7" * 2_000_000, "7" * 2_000_000 + ".", "x" + " " * 2_000_000 + "y at z", "a dot " * 200_000, "+1" + " " * 1_000_000])
+def test_long_runs_take_linear_time(text):
+    """Each was quadratic, so hours for texts of this length."""
+    began = time.perf_counter()
+    assert p.find(text) == ([], [])
+    assert time.perf_counter() - began < 20
