@@ -104,13 +104,19 @@ class SuffixAutomaton:
             below[s] = below.get(self.link[s], frozenset()) | frozenset(ends.get(s, ()))
         self.short = {s: v for s, v in below.items() if v}
         self.step = {s * self.size + c: t for s, x in enumerate(steps) for c, t in x.items()}
+        # of each state the ancestor, or itself, that stands for its last window
+        self.top = list(range(len(self.length)))
+        for s in reversed(order):
+            if self.length[self.link[s]] >= self.window:
+                self.top[s] = self.top[self.link[s]]
 
     def read(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged hit spans (first word, one past the last) and the items whose windows occur."""
-        get, step, size, link, length, window, short = self.word_id.get, self.step.get, self.size, self.link, self.length, self.window, self.short
+        get, step, size, link, length, window, short, top = self.word_id.get, self.step.get, self.size, self.link, self.length, self.window, self.short, self.top
         state = run = 0
         spans: list[tuple[int, int]] = []
         found: set = set()
+        met: set = set()
         for i, w in enumerate(words):
             c = get(w)
             if c is None:
@@ -125,16 +131,15 @@ class SuffixAutomaton:
             run += 1
             state = to
             if run >= window:
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
-                found |= self.items_of[s]
+                met.add(top[state])
                 spans.append((i + 1 - window, i + 1))
             if short and state in short:
                 for n, item in short[state]:
                     if n <= run:
                         found.add(item)
                         spans.append((i + 1 - n, i + 1))
+        for s in met:
+            found |= self.items_of[s]
         if len(spans) > 1:
             spans.sort()
             merged = [spans[0]]
@@ -189,7 +194,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                 spans.append([list(x) for x in got])
                 items.append(sorted(found))
                 cut = cut_from is not None and any(b - a >= cut_from for a, b in got)
-                cleaned.append(cut_spans(text.decode(), got, cut_from) if cut else None)
+                cleaned.append(cut_spans(text.decode(errors="replace"), got, cut_from) if cut else None)
             types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.string())
             arrays = [pa.array(x, t) for x, t in zip((counts, hits, spans, items, cleaned), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *added.names])

@@ -81,3 +81,13 @@ def test_empty(spark):
     docs, bench = frames(spark)
     assert d.contamination(docs.limit(0), bench).count() == 0
     assert d.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_repetitive_items_are_read_in_linear_time():
+    import time
+
+    words = [b"w"] * 80_000
+    machine = d.SuffixAutomaton([("1", words)])
+    began = time.perf_counter()
+    assert machine.read(words) == ([(0, 80_000)], {"1"})
+    assert time.perf_counter() - began < 5
