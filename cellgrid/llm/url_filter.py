@@ -37,7 +37,8 @@ def parse_rules(entries: Iterable[tuple[str, str]]) -> list[Rule]:
 
 
 class Trie:
-    """Host labels from the right, then path segments. A node's last step may be part of a segment, as paths fit by prefix.
+    """Host labels from the right, then path segments. A node's last step may be part of a segment, as paths fit by prefix: its entries are looked up by the segment's beginnings of
+    the lengths that occur, longest first.
 
     Of the fitting rules the longest text wins, then the longer host; a rule listed both ways blocks."""
 
@@ -54,6 +55,24 @@ class Trie:
             ends = paths.setdefault("/", {})
             if rest not in ends or rule.verdict == "block":
                 ends[rest] = rule
+        self._order(self.hosts)
+
+    def _order(self, node: dict) -> None:
+        todo = [x for n in self._nodes(node) if (x := n.get("/"))]
+        while todo:
+            paths = todo.pop()
+            for segment, below in paths.items():
+                if segment != "/":
+                    todo.append(below)
+            if ends := paths.get("/"):
+                paths["/"] = (sorted({len(rest) for rest in ends}, reverse=True), ends)
+
+    @staticmethod
+    def _nodes(node: dict) -> Iterator[dict]:
+        todo = [node]
+        while todo:
+            yield (now := todo.pop())
+            todo += [below for label, below in now.items() if label != "/"]
 
     def match(self, host: str, path: str) -> Rule | None:
         best, node = None, self.hosts
@@ -70,9 +89,10 @@ class Trie:
     def _paths(node: dict, segments: list[str], best: Rule | None) -> Rule | None:
         paths = node.get("/")
         for segment in segments if paths is not None else ():
-            for rest, rule in paths.get("/", {}).items():
-                if segment.startswith(rest) and (best is None or (len(rule.text), len(rule.host)) >= (len(best.text), len(best.host))):
-                    best = rule
+            lengths, ends = paths.get("/", ((), {}))
+            rule = next((ends[segment[:n]] for n in lengths if segment[:n] in ends and n <= len(segment)), None)
+            if rule is not None and (best is None or (len(rule.text), len(rule.host)) >= (len(best.text), len(best.host))):
+                best = rule
             paths = paths.get(segment)
             if paths is None:
                 break

@@ -43,3 +43,19 @@ def test_query_rules(spark):
 
 def test_empty(spark):
     assert u.url_filter(spark.createDataFrame([], "url string"), []).count() == 0
+
+
+def test_many_rules_under_one_host():
+    import random
+
+    from cellgrid.llm.url_filter import Trie, parse_rules
+
+    rng = random.Random(4)
+    rules = parse_rules([(rng.choice(["allow", "block"]), f"h.com/{'/'.join(rng.choice('abc') * rng.randrange(4) for _ in range(rng.randrange(1, 4)))}") for _ in range(200)])
+    tree = Trie(rules)
+    for _ in range(2000):
+        path = "/" + "".join(rng.choice("abc/") for _ in range(rng.randrange(12)))
+        fit = [r for r in rules if path.startswith(r.path)]
+        want = max(((len(r.path), r.verdict == "block", r.path, r.verdict) for r in fit), default=None)
+        got = tree.match("x.h.com", path)
+        assert (got is None) == (want is None) and (got is None or (got.path, got.verdict) == want[2:])
