@@ -28,6 +28,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Pre-tokens in a leaf; a leaf that has grown over four times that makes the tree be built anew.
 LEAF = 64
+#: Characters in a piece of a text, and characters beyond a pre-token that the pattern may look at.
+PIECE, LOOK = 16_384, 64
 CACHE = 200_000
 
 Edit = tuple[int, int, str]
@@ -139,41 +141,91 @@ class SegmentTree:
         yield len(self.lengths), 0, start
 
 
+class Pieces:
+    """A text in pieces of about PIECE characters, so that an edit copies a piece, not the text."""
+
+    def __init__(self, text: str):
+        self.parts = [text[i : i + PIECE] for i in range(0, max(1, len(text)), PIECE)]
+        self.ends = np.cumsum([len(p) for p in self.parts])
+
+    def __len__(self) -> int:
+        return int(self.ends[-1])
+
+    def __str__(self) -> str:
+        return "".join(self.parts)
+
+    def at(self, position: int) -> tuple[int, int]:
+        """The piece that holds the character (the last one for the end), and its first character."""
+        i = min(int(np.searchsorted(self.ends, position, side="right")), len(self.parts) - 1)
+        return i, int(self.ends[i]) - len(self.parts[i])
+
+    def cut(self, start: int, end: int) -> str:
+        i, first = self.at(start)
+        j, _ = self.at(end)
+        return "".join(self.parts[i : j + 1])[start - first : end - first]
+
+    def replace(self, start: int, end: int, new: str) -> None:
+        i, first = self.at(start)
+        j, last = self.at(end)
+        whole = self.parts[i][: start - first] + new + self.parts[j][end - last :]
+        small = len(whole) <= 2 * PIECE
+        self.parts[i : j + 1] = [whole] if small else [whole[k : k + PIECE] for k in range(0, len(whole), PIECE)]
+        if small and i == j:
+            self.ends[i:] += len(new) - (end - start)
+        else:
+            self.ends = np.cumsum([len(p) for p in self.parts])
+
+
 class CountedText:
     """A text with its tree. `encoded`: pre-tokens encoded since it was made, the first reading aside."""
 
     def __init__(self, text: str, encoder: Encoder):
-        self.text, self.encoder, self.encoded = text, encoder, 0
+        self.pieces, self.encoder, self.encoded = Pieces(text), encoder, 0
         self.tree = SegmentTree(*encoder.split(text))
 
+    @property
+    def text(self) -> str:
+        return str(self.pieces)
+
     @property
     def tokens(self) -> int:
         return self.tree.total
 
     def edit(self, start: int, end: int, new: str) -> None:
-        """Replaces characters start up to end of the present text."""
-        text, tree = self.text, self.tree
+        """Replaces characters start up to end of the present text. The pattern may look up to LOOK characters beyond a pre-token."""
+        text, tree = self.pieces, self.tree
         if not 0 <= start <= end <= len(text):
             raise ValueError(f"edit {start}:{end} of a text of {len(text)} characters")
-        self.text = text[:start] + new + text[end:]
         seen = start
-        while seen and text[seen - 1].isspace():
-            seen -= 1
+        while seen:
+            before = text.cut(max(0, seen - 256), seen)
+            stripped = len(before.rstrip())
+            seen -= len(before) - stripped
+            if stripped:
+                break
+        text.replace(start, end, new)
         leaf, place, at = tree.before(*tree.piece_at(seen - 1)) if seen else (0, 0, 0)
         shift, safe = len(new) - (end - start), start + len(new)
         old = tree.walk(leaf, place, at)
         bound = next(old)
-        lengths, tokens, stop = [], [], at
-        for m in self.encoder.pattern.finditer(self.text, at):
-            if m.start() >= safe:
-                while bound[2] + shift < m.start() and bound[0] < len(tree.lengths):
-                    bound = next(old)
-                if bound[2] + shift == m.start() and bound[2] >= end:
-                    break
-            lengths.append(len(m[0]))
-            tokens.append(self.encoder.known[m[0]])
-            stop = m.end()
-        else:
+        lengths, tokens, stop, room, done = [], [], at, safe - at + 4 * LOOK, False
+        while not done and stop < len(text):
+            base, limit = stop, min(len(text), stop + room)
+            for m in self.encoder.pattern.finditer(text.cut(base, limit)):
+                if m.end() + LOOK > limit - base and limit < len(text):
+                    break  # what follows might change it: read on from here
+                first = base + m.start()
+                if first >= safe:
+                    while bound[2] + shift < first and bound[0] < len(tree.lengths):
+                        bound = next(old)
+                    if bound[2] + shift == first and bound[2] >= end:
+                        done = True
+                        break
+                lengths.append(len(m[0]))
+                tokens.append(self.encoder.known[m[0]])
+                stop = base + m.end()
+            room = 4 * LOOK if stop > base else 2 * room
+        if not done:
             while bound[0] < len(tree.lengths):
                 bound = next(old)
         self.encoded += len(lengths)

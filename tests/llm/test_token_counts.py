@@ -78,3 +78,21 @@ def test_query(spark):
         for a, b, new in t.redaction_edits(text):
             text = text[:a] + new + text[b:]
         assert r["n_tokens_edited"] == full(text) and not any(detect(text).values())
+
+
+def test_many_edits_of_a_long_text():
+    """Edits over the borders of pieces and windows, against counting the whole text."""
+    import random
+
+    from cellgrid.llm import token_counts as t
+
+    encoder, rng = t.Encoder(t._vocabulary(t.VOCABULARY)), random.Random(2)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "don't", "12", "...", "é", " " * 300, "x" * 200]) for _ in range(30_000))
+    counted = t.CountedText(text, encoder)
+    for _ in range(300):
+        at = rng.randrange(len(text) + 1) if rng.random() < 0.5 else min(len(text), t.PIECE * rng.randrange(1, 8) + rng.randrange(-3, 4))
+        end = min(len(text), at + rng.choice([0, 1, 5, 400]))
+        new = rng.choice(["", " ", "<EMAIL>", "a b", "\n" * 200, "y" * 500])
+        counted.edit(at, end, new)
+        text = text[:at] + new + text[end:]
+    assert counted.text == text and counted.tokens == sum(encoder.split(text)[1])
