@@ -33,6 +33,8 @@ MAX_PROBES = 2048
 GROUP_ROWS, BUCKET_ROWS = 32_768, 48
 #: Queries of a group are answered so many at a time, and queries that found too few neighbours so many in a pass over all rows.
 CHUNK, PASS = 128, 4096
+#: Queries that meet a group's rows in one task, and passes over all rows in one job.
+TASK_QUERIES, JOB_PASSES = 32_768, 8
 
 
 def perturbations(k: int, most: int) -> list[tuple[int, ...]]:
@@ -159,15 +161,21 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (common["n"] if common else 0)).distinct()
 
 
-def _best(scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of scores among which each row's `top` largest are: all that reach the top-th largest of every eighth column."""
+def _best(scores: np.ndarray, top: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of scores among which each row's `top` largest are: all that reach the top-th largest of every eighth column, less the rounding of a product."""
     width = scores.shape[1]
     part = scores[:, ::8] if width > 16 * top else scores
     if part.shape[1] <= top:
         floor = np.full(len(scores), -np.inf)
     else:
         floor = np.partition(part, part.shape[1] - top, axis=1)[:, part.shape[1] - top]
-    return np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+    return np.nonzero((scores >= floor[:, None] - slack) & (scores > -np.inf))
+
+
+def _rounding(a: np.ndarray, b: np.ndarray) -> float:
+    """How far two ways to add up one inner product can differ."""
+    norm = lambda x: float(np.sqrt((x * x).sum(axis=1).max(initial=0)))
+    return 4 * a.shape[1] * np.finfo(float).eps * norm(a) * norm(b)
 
 
 def _ranked(ask_ids: np.ndarray, asks: np.ndarray, q: np.ndarray, r: np.ndarray, us: np.ndarray, lows: np.ndarray, xs: np.ndarray, top: int) -> list[np.ndarray]:
@@ -215,7 +223,7 @@ def _search(top: int):
             for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True):
                 s, e, q = starts[at[i]], ends[at[i]], who[i:j]
                 scores[q, s:e] = vecs[a:b][q] @ xs[s:e].T
-            q, r = _best(scores, top)
+            q, r = _best(scores, top, _rounding(vecs[a:b], xs))
             parts.append(_ranked(ids[a:b], vecs[a:b], q, r, us, lows, xs, top))
         return _found(parts)
 
@@ -262,7 +270,7 @@ def _scan(block, top: int):
         for batch in batches:
             us, lows, xs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
             for a in range(0, len(ids) if len(us) else 0, CHUNK):
-                q, r = _best(vecs[a : a + CHUNK] @ xs.T, top)
+                q, r = _best(vecs[a : a + CHUNK] @ xs.T, top, _rounding(vecs[a : a + CHUNK], xs))
                 yield _found([_ranked(ids[a : a + CHUNK], vecs[a : a + CHUNK], q, r, us, lows, xs, top)]).to_batches()[0]
 
     return run
@@ -304,8 +312,10 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
         probes = probes.join(hot, "g", "left").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long")))))
     else:
         index, probes = index.withColumn("c", F.lit(0).cast("long")), probes.withColumn("c", F.lit(0).cast("long"))
-    index, probes = index.select("g", "c", "key", "u", "low", "vec"), probes.select("g", "c", "ask", "vec", "keys")
-    found = index.groupBy("g", "c").cogroup(probes.groupBy("g", "c")).applyInArrow(_search(top + 1), FOUND)
+    parts = -(-max(1, distinct_asks.count()) // TASK_QUERIES)
+    index = index.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("g", "c", "p", "key", "u", "low", "vec")
+    probes = probes.withColumn("p", F.pmod(F.xxhash64("ask", F.lit(23)), F.lit(parts)).cast("int")).select("g", "c", "p", "ask", "vec", "keys")
+    found = index.groupBy("g", "c", "p").cogroup(probes.groupBy("g", "c", "p")).applyInArrow(_search(top + 1), FOUND)
     found = materialise(_top(found, top + 1), "found")
     enough = min(top + 1, about["n"])
     short = materialise(distinct_asks.join(found.groupBy("ask").count().where(F.col("count") >= enough), "ask", "left_anti"), "short-queries")
@@ -316,6 +326,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
         if part.num_rows:
             block = spark.sparkContext.broadcast((part["ask"].to_numpy(), matrix(part["vec"])))
             found = found.union(vectors.select("u", "low", "vec").mapInArrow(_scan(block, top + 1), FOUND))
+            if k % JOB_PASSES == JOB_PASSES - 1:
+                found = materialise(_top(found, top + 1), "found")
     if missing:
         found = _top(found, top + 1)
     who = asks.join(distinct_asks, "vec").select(F.col("id").alias("query_id"), "ask")
