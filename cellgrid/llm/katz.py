@@ -33,6 +33,8 @@ from cellgrid.llm.common import materialise, shuffle_partitions
 CUT = 5
 BLOCK_BYTES = 8_000_000
 HOT_SHARE = 64
+#: A bucket of the vocabulary or of the bigrams answers for about so many blocks' worth of text, or less: buckets grow in number, not in size.
+BUCKET_BLOCKS = 8
 END = b"\n"
 _START, _UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
 _WORDS, _PAIRS = 0, 1
@@ -403,18 +405,18 @@ def katz_scores(df: DataFrame, train: Column, held_out: Column, id_col: str = "d
 
     train, held_out: conditions; a null one is false. Null texts are empty, that is, one end. Repeated rows count and are scored each. Without any
     training row every word is unknown. An empty input gives no rows."""
-    buckets = shuffle_partitions(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), F.coalesce(train, F.lit(False)), F.coalesce(held_out, F.lit(False)))
     blocks = materialise(docs.mapInArrow(_block_rows(), BLOCK), "blocks")
+    buckets = max(shuffle_partitions(df.sparkSession), -(-blocks.count() // BUCKET_BLOCKS))
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask_words(buckets), ASK)
-    words = materialise(asked.groupBy("bucket").applyInArrow(_count_words(buckets), REPLY), "word-answers")
+    words = materialise(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_words(buckets), REPLY), "word-answers")
     stats = _sum_stats(words)
     unigrams = Unigrams(np.r_[0, stats[: CUT + 1]], int(stats[CUT + 1]), int(stats[CUT + 2]), int(stats[CUT + 3]))
     least = max(1, -(-unigrams.total // HOT_SHARE))
     found = words.select("a", "b").mapInArrow(_hot_words(least), "id long").distinct().collect()  # at most HOT_SHARE
     hot = np.array(sorted([_START, *[r["id"] for r in found]]), np.uint64)
     asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(buckets, unigrams.ends, hot), ASK)
-    pairs = materialise(asked.groupBy("bucket").applyInArrow(_count_pairs(unigrams, hot), REPLY), "pair-answers")
+    pairs = materialise(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_pairs(unigrams, hot), REPLY), "pair-answers")
     d = discounts(np.r_[0, _sum_stats(pairs)[: CUT + 1]])
     sums: dict[int, list] = {}
     for r in pairs.where("block = -2").select("a", "b", "c").toLocalIterator():  # at most HOT_SHARE + 1 contexts a partition
