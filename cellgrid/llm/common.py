@@ -70,17 +70,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def thin(df: DataFrame, by: list[str], weight: Column, limit: int, strata: str | None = None, seed: int = 7) -> DataFrame:
-    """A deterministic sample of about `limit` units of weight in each stratum (all rows where there are fewer).
+#: Steps of the order of a sample for each doubling of it.
+LEVELS_A_DOUBLING = 32
+
+
+def part_of(text: Column, chars: int, by: list[str], seed: int = 5) -> Column:
+    """The text, or `chars` characters of a longer one from a place that a hash chooses. For samples only: what is scored is read whole."""
+    spare_chars = F.length(text) - chars
+    return F.when(spare_chars <= 0, text).otherwise(F.substring(text, F.pmod(F.xxhash64(*by, F.lit(seed)), F.greatest(spare_chars, F.lit(0)) + 1).cast("int") + 1, F.lit(chars)))
 
-    The share kept is limit / total weight; a row is kept if its hash lies below the share. Only the totals, one row a stratum, reach the driver."""
-    groups = [F.col(strata)] if strata else []
-    totals = df.groupBy(*groups).agg(F.sum(weight).alias("_w")).collect()
-    unit = F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+def thin(df: DataFrame, by: list[str], weight: Column, limit: int, strata: str | None = None, seed: int = 7) -> DataFrame:
+    """A deterministic sample of about `limit` units of weight in each stratum (all rows where there are fewer): rows in the order of a hash until the limit is reached, so no
+    stratum with rows is left empty.
+
+    The order is cut at one of LEVELS_A_DOUBLING steps for each doubling, so a sample is about a fiftieth over the limit, or by the weight of the rows of its last step. Only the weights
+    of the steps, at most 62 * LEVELS_A_DOUBLING a stratum, reach the driver. Rows of equal `by` are taken together. Null strata and null or negative weights are none."""
+    hashed = F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit((1 << 62) - 1)) + 1
+    level = F.floor(F.log2(hashed.cast("double")) * LEVELS_A_DOUBLING).cast("int")
+    stratum = F.col(strata) if strata else F.lit(0)
+    steps = df.where(stratum.isNotNull()).groupBy(stratum.alias("_s"), level.alias("_l")).agg(F.coalesce(F.sum(F.greatest(weight, F.lit(0))), F.lit(0)).alias("_w")).collect()
+    sums: dict = {}
     keep = F.lit(False)
-    for row in totals:
-        share = F.lit(min(1.0, limit / max(float(row["_w"] or 0), 1e-9)))
-        keep = keep | ((F.col(strata) == row[strata]) & (unit < share) if strata else (unit < share))
+    for row in sorted(steps, key=lambda r: r["_l"]):
+        before, last = sums.get(row["_s"], (0, None))
+        if before < limit or last is None:
+            sums[row["_s"]] = (before + row["_w"], row["_l"])
+    for value, (_, last) in sums.items():
+        keep = keep | ((stratum == F.lit(value)) & (level <= last))
     return df.where(keep)
 
 

@@ -1,6 +1,6 @@
 """Language identification, words first: a known word speaks by its log frequency in each language, an unseen one by its longest known character n-grams.
 
-The model is fitted on a bounded sample: about SAMPLE_CHARS characters a language, at most TOTAL_CHARS in all.
+The model is fitted on a bounded sample: about SAMPLE_CHARS characters a language, about TOTAL_CHARS in all, at most SAMPLE_TEXT_CHARS of one text.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgrid.llm.common import materialise, others, remove, spare, thin
+from cellgrid.llm.common import materialise, others, part_of, remove, spare, thin
 
-SAMPLE_CHARS, TOTAL_CHARS = 3_000_000, 24_000_000
+SAMPLE_CHARS, TOTAL_CHARS, SAMPLE_TEXT_CHARS = 3_000_000, 24_000_000, 200_000
+MAX_LANGUAGES = 2000
 #: A word is known if the sample has it so often, in all languages together.
 MIN_COUNT = 2
 #: An n-gram is known from so many occurrences; longest first.
@@ -118,12 +119,17 @@ class Identifier:
         return self.model.langs[best], float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum())
 
 
-def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> LanguageModel:
-    """Fits on a sample of the labelled rows, drawn by a hash of key and text. Word counts are summed in each task, then by language and word.
+def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS, text_chars: int = SAMPLE_TEXT_CHARS) -> LanguageModel:
+    """Fits on a sample of the labelled rows, drawn by a hash of key and text, with at most text_chars characters of one text; every language with a text has a part in it.
+    Word counts are summed in each task, then by language and word. Repeated rows count as often as they are there.
 
-    The sample bounds what reaches the driver: at most total_chars characters' words."""
-    use = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).cast("string").alias("k"))
-    langs = sorted(r["lang"] for r in use.select("lang").distinct().collect())
+    The sample bounds what reaches the driver: about total_chars characters' words. More than MAX_LANGUAGES distinct values of the language raise an error."""
+    use = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
+        F.col(lang_col).cast("string").alias("lang"), part_of(F.col(text_col).cast("string"), text_chars, [key_col, text_col]).alias("text"), F.col(key_col).cast("string").alias("k")
+    )
+    langs = sorted(r["lang"] for r in use.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; the model has a column for each")
     each = min(sample_chars, total_chars // max(1, len(langs)))
     sample = thin(use, ["k", "text"], F.length("text"), each, "lang")
 

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgrid.llm.common import fold, others, spare, thin
+from cellgrid.llm.common import fold, others, part_of, spare, thin
 
 LEVEL, PIECE, DICTIONARY = 3, 2048, 110 * 1024
 #: The classifier is fitted on about so many labelled rows of each class and, of those, about so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 6_000_000
-#: A longer text is no use as a training sample: one of them could be larger than the sample. Scoring reads whole texts of any length.
+#: A longer labelled text takes part in the fit by so many of its characters, from a place chosen by hash, as one of them could be larger than the sample. Scoring reads whole texts.
 SAMPLE_TEXT_CHARS = 200_000
 THRESHOLD = 0.7
 
@@ -88,13 +88,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "label", key_col: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
-    """Fits on a bounded sample of labelled rows (about `rows` rows and `chars` characters a class, drawn by hash of the key); labels other than 0 and 1 are ignored.
+def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "label", key_col: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, text_chars: int = SAMPLE_TEXT_CHARS) -> QualityModel:
+    """Fits on a bounded sample of labelled rows (about `rows` rows and `chars` characters a class, drawn by hash of the key, at most `text_chars` of one text); labels other than
+    0 and 1 are ignored, as are rows without a key or text.
 
     Two thirds of the sample make the dictionaries, the rest the curve. With one class only, or none, every score is that class's share (0.5 for none)."""
-    use = labelled.where(F.col(label_col).isin(0, 1) & (F.length(text_col) > 0) & (F.length(text_col) <= SAMPLE_TEXT_CHARS))
-    use = use.select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("binary").alias("t"), F.length(text_col).alias("n"))
-    use = thin(thin(use, ["k"], F.lit(1), rows, "y", seed=1), ["k"], F.col("n"), chars, "y", seed=2)
+    use = labelled.where(F.col(label_col).isin(0, 1) & (F.length(text_col) > 0))
+    use = use.select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y"), part_of(F.col(text_col), text_chars, [key_col]).alias("t"))
+    use = thin(thin(use, ["k"], F.lit(1), rows, "y", seed=1), ["k"], F.length("t"), chars, "y", seed=2).withColumn("t", F.col("t").cast("binary"))
     got = use.select("y", "t", (F.pmod(F.xxhash64("k", F.lit(3)), F.lit(3)) == 0).alias("curve")).collect()
     share = sum(r["y"] for r in got) / len(got) if got else 0.5
     makes = [sorted(bytes(r["t"]) for r in got if r["y"] == y and not r["curve"]) for y in (1, 0)]
@@ -112,11 +113,11 @@ def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "l
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", key_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Labelled texts of the folds that are not held out. The labels are thinned first, to about `rows` a class, so only their keys meet the documents.
 
-    A key labelled both 0 and 1 is left out."""
+    A key labelled both 0 and 1 is left out. A row repeated with its key and text counts once."""
     keys = labels.where(F.col(label_col).isin(0, 1) & (fold(key_col, folds) != held_out))
     keys = keys.groupBy(key_col).agg(F.min(label_col).alias("label"), F.max(label_col).alias("_max")).where("label = _max").select(key_col, F.col("label").cast("int").alias("label"))
     keys = thin(keys, [key_col], F.lit(1), rows, "label", seed=1)
-    return docs.select(key_col, text_col).join(F.broadcast(keys), key_col)  # about 2 * rows keys
+    return docs.select(key_col, text_col).join(F.broadcast(keys), key_col).dropDuplicates([key_col, text_col])  # about 2 * rows keys
 
 
 def score_quality(df: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
