@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from cellgrid.llm.common import materialise, others, part_of, remove, spare, thin
 
 SAMPLE_CHARS, TOTAL_CHARS, SAMPLE_TEXT_CHARS = 3_000_000, 24_000_000, 200_000
-MAX_LANGUAGES = 2000
+MAX_LANGUAGES = 500
 #: A word is known if the sample has it so often, in all languages together.
 MIN_COUNT = 2
 #: An n-gram is known from so many occurrences; longest first.
