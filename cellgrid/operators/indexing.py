@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from cellgrid.core import Array, Axis, axis_number, fresh, spark_type
+from cellgrid.core import Array, Axis, active, axis_number, fresh, spark_type
 from cellgrid.functions import scalar
 from cellgrid.operators.elementwise import BROADCAST_CELLS, asarray, combine, literal
 
@@ -250,10 +250,13 @@ def setitem(x: Array, key, value) -> Array:
         else:
             places = np.asarray(i)
             places = np.flatnonzero(places) if places.dtype == bool else places % axis.size
-            inside = inside & axis.position.isin([int(p) for p in places])
             last = {int(p): j for j, p in enumerate(places)}
-            table = F.create_map(*[F.lit(w) for pair in last.items() for w in pair]) if last else F.create_map(F.lit(-1), F.lit(0))
-            sources.append(table[axis.position.cast("int")].cast("bigint"))
+            at, number = fresh("g"), fresh("j")
+            listed = active().createDataFrame(list(last.items()), f"{at} bigint, {number} bigint")
+            df = x.df.join(F.broadcast(listed) if len(last) <= BROADCAST_CELLS else listed, axis.position == F.col(at), "left").drop(at)
+            x = x.with_axes(x.axes, df)
+            inside = inside & F.col(number).isNotNull()
+            sources.append(F.col(number))
             kept.append((k, len(places)))
     if not isinstance(value, (Array, np.ndarray, list)):
         return x.with_value(F.when(inside, literal(value, np.asarray(value).dtype).cast(spark_type(x.dtype))).otherwise(x.value))
@@ -284,31 +287,54 @@ def append(arr, values, axis=None) -> Array:
     return concatenate([ravel(arr), ravel(values)], 0) if axis is None else concatenate([arr, values], axis)
 
 
+def _counted_before(df, position: Column, marks: np.ndarray, n: int, name: str):
+    """df with `name`: how many of the marks, sorted positions up to n, lie at or below the position. Marks are dealt into equal blocks of the axis, about eight to each, so a row
+    looks at its own block's marks only; the blocks are broadcast up to BROADCAST_CELLS marks."""
+    size = max(1, -(-n // max(1, len(marks) // 8)))
+    blocks = np.arange(n // size + 1)
+    first, last = np.searchsorted(marks, blocks * size), np.searchsorted(marks, (blocks + 1) * size)
+    rows = [(int(b), int(f), [int(x) for x in marks[f:e]]) for b, f, e in zip(blocks, first, last, strict=True)]
+    block, base, own = fresh("b"), fresh("n"), fresh("m")
+    frame = active().createDataFrame(rows, f"{block} bigint, {base} bigint, {own} array<bigint>")
+    frame = F.broadcast(frame) if len(marks) <= BROADCAST_CELLS else frame
+    joined = df.join(frame, F.call_function("div", position, F.lit(size)) == F.col(block), "left")
+    return joined.withColumn(name, F.col(base) + F.size(F.filter(own, lambda m: m <= position))).drop(block, base, own)
+
+
 def delete(arr: Array, obj, axis: int) -> Array:
-    """Drops positions of an axis; the rest move up by the number of dropped positions before them."""
+    """Drops positions of an axis; the rest move up by the number of dropped positions before them. A slice is dropped by arithmetic, so it may be of any length."""
     k = axis_number(axis, arr.ndim)
-    n = arr.axes[k].size
-    obj = np.arange(n)[obj] if isinstance(obj, slice) else np.atleast_1d(np.asarray(obj))
-    gone = np.unique(np.where(obj < 0, obj + n, obj))
-    position = arr.axes[k].position
-    name = fresh()
-    listed = F.array(*[F.lit(int(g)) for g in gone]) if len(gone) else F.array().cast("array<int>")
-    df = arr.df.where(~F.array_contains(listed, position.cast("int"))) if len(gone) else arr.df
-    before = F.size(F.filter(listed, lambda g: g < position.cast("int"))) if len(gone) else F.lit(0)
-    axes = list(arr.axes)
-    axes[k] = Axis(name, 0, n - len(gone))
-    return arr.with_axes(axes, df.withColumn(name, (position - before).cast("bigint")))
+    n, position, name, axes = arr.axes[k].size, arr.axes[k].position, fresh(), list(arr.axes)
+    if isinstance(obj, slice):
+        start, stop, step = obj.indices(n)
+        if step < 0:
+            start, stop, step = start + (len(range(start, stop, step)) - 1) * step, start + 1, -step
+        count = len(range(start, stop, step))
+        ahead = F.call_function("div", position - start + (step - 1), F.lit(step))
+        before = F.when(position <= start, 0).otherwise(F.least(ahead, F.lit(count))).cast("bigint")
+        gone = (position >= start) & (position < stop) & (F.pmod(position - start, F.lit(step)) == 0) if count else F.lit(False)
+        df = arr.df.withColumn(name, position - before).where(~gone)
+    else:
+        obj = np.atleast_1d(np.asarray(obj))
+        obj = np.flatnonzero(obj) if obj.dtype == bool else obj.astype(np.int64)
+        marks = np.unique(np.where(obj < 0, obj + n, obj))
+        count, passed, at = len(marks), fresh("n"), fresh("g")
+        gone = active().createDataFrame([(int(m),) for m in marks], f"{at} bigint")
+        kept = arr.df.join(F.broadcast(gone) if count <= BROADCAST_CELLS else gone, position == F.col(at), "left_anti")
+        df = _counted_before(kept, position, marks, n, passed).withColumn(name, position - F.col(passed)).drop(passed)
+    axes[k] = Axis(name, 0, n - count)
+    return arr.with_axes(axes, df)
 
 
 def insert(arr: Array, obj, values, axis: int) -> Array:
-    """Puts values before positions of an axis; several values at one position keep their order."""
-    from cellgrid.operators.combine import concatenate
+    """Puts values before positions of an axis; several values at one position keep their order. Cells move by the number of values before them, values go to their places."""
+    from cellgrid.core import from_cells
     from cellgrid.operators.elementwise import astype, broadcast_to
 
     k = axis_number(axis, arr.ndim)
     n = arr.axes[k].size
     single = np.isscalar(obj)
-    obj = np.atleast_1d(np.arange(n)[obj] if isinstance(obj, slice) else np.asarray(obj))
+    obj = np.atleast_1d(np.arange(*obj.indices(n)) if isinstance(obj, slice) else np.asarray(obj)).astype(np.int64)
     obj = np.where(obj < 0, obj + n, obj)
     order = np.argsort(obj, kind="stable")
     shape = [len(obj) if j == k else m for j, m in enumerate(arr.shape_or_none)]
@@ -318,8 +344,10 @@ def insert(arr: Array, obj, values, axis: int) -> Array:
 
         values = expand_dims(values, k)
     values = astype(broadcast_to(values, shape), arr.dtype)
-    both = concatenate([arr, values], k)
-    where = np.insert(np.arange(n), obj, n + np.arange(len(obj))) if len(order) else np.arange(n)
-    return take_positions(both, asarray(where.astype(np.int64)), k)
-
-
+    passed, at, place = fresh("n"), fresh("g"), fresh("p")
+    moved = _counted_before(arr.cells(), F.col(f"i{k}"), obj[order], n, passed).withColumn(f"i{k}", F.col(f"i{k}") + F.col(passed)).drop(passed)
+    rows = [(int(j), int(obj[j]) + rank) for rank, j in enumerate(order)]
+    places = active().createDataFrame(rows, f"{at} bigint, {place} bigint")
+    new = values.cells().join(F.broadcast(places) if len(obj) <= BROADCAST_CELLS else places, F.col(f"i{k}") == F.col(at)).withColumn(f"i{k}", F.col(place))
+    columns = [*[f"i{j}" for j in range(arr.ndim)], "v"]
+    return from_cells(moved.select(*columns).union(new.select(*columns)), [m + len(obj) if j == k else m for j, m in enumerate(arr.shape_or_none)], arr.dtype)

@@ -201,24 +201,24 @@ def nanargmax(a, axis=None, keepdims=False, split_every=None) -> Array:
     return _arg(a, axis, keepdims, False, True)
 
 
-#: Whole arrays of so many cells or more get their quantiles from a range partitioning instead of an exact percentile, whose state grows with the distinct values.
+#: Whole arrays of so many cells or more, or of an unknown number of values, get their quantiles from a range partitioning instead of an exact percentile, whose state grows with the distinct values.
 SORTED_QUANTILES = 1 << 22
 
-# fixed values: where the order statistic of a quantile lies among n sorted values (virtual index), by method (Hyndman and Fan)
+# fixed values: where the order statistic of a quantile lies among n sorted values (virtual index), by method (Hyndman and Fan); m rounds numbers, or columns
 _VIRTUAL = {
-    "linear": lambda n, q: (n - 1) * q,
-    "weibull": lambda n, q: (n + 1) * q - 1,
-    "hazen": lambda n, q: n * q - 0.5,
-    "median_unbiased": lambda n, q: (n + 1 / 3) * q + 1 / 3 - 1,
-    "normal_unbiased": lambda n, q: (n + 1 / 4) * q + 3 / 8 - 1,
-    "interpolated_inverted_cdf": lambda n, q: n * q - 1,
-    "lower": lambda n, q: math.floor((n - 1) * q),
-    "higher": lambda n, q: math.ceil((n - 1) * q),
-    "nearest": lambda n, q: np.round((n - 1) * q),
-    "midpoint": lambda n, q: (math.floor((n - 1) * q) + math.ceil((n - 1) * q)) / 2,
-    "inverted_cdf": lambda n, q: builtins.max(0, math.ceil(n * q) - 1),
-    "closest_observation": lambda n, q: builtins.max(0, np.round(n * q) - 1),
-    "averaged_inverted_cdf": lambda n, q: n * q - 0.5 if n * q == math.floor(n * q) else math.ceil(n * q) - 1,
+    "linear": lambda n, q, m: (n - 1) * q,
+    "weibull": lambda n, q, m: (n + 1) * q - 1,
+    "hazen": lambda n, q, m: n * q - 0.5,
+    "median_unbiased": lambda n, q, m: (n + 1 / 3) * q + 1 / 3 - 1,
+    "normal_unbiased": lambda n, q, m: (n + 1 / 4) * q + 3 / 8 - 1,
+    "interpolated_inverted_cdf": lambda n, q, m: n * q - 1,
+    "lower": lambda n, q, m: m.floor((n - 1) * q),
+    "higher": lambda n, q, m: m.ceil((n - 1) * q),
+    "nearest": lambda n, q, m: m.rint((n - 1) * q),
+    "midpoint": lambda n, q, m: (m.floor((n - 1) * q) + m.ceil((n - 1) * q)) / 2,
+    "inverted_cdf": lambda n, q, m: m.ceil(n * q) - 1,
+    "closest_observation": lambda n, q, m: m.rint(n * q) - 1,
+    "averaged_inverted_cdf": lambda n, q, m: (m.floor(n * q) + m.ceil(n * q) - 1) / 2,
 }
 
 
@@ -249,15 +249,21 @@ def _quantiles(a: Array, q, axis, method, keepdims, skip_nan) -> Array:
     if len(axis_numbers(axis, a.ndim)) == a.ndim and n is not None and n >= SORTED_QUANTILES:
         return _sorted_quantile(a, v, float(q), method, keepdims, skip_nan)
     frames = a.df.__dict__.setdefault("_quantiles", {})  # so that quantiles of one value share a frame, and fuse
+    if method != "linear" and (skip_nan or n is None) and len(axis_numbers(axis, a.ndim)) == a.ndim:
+        return _sorted_quantile(a, v, float(q), method, keepdims, skip_nan)
     named = a if method == "linear" else Array(frames.setdefault(str(a.value), a.df.withColumn("_q", v)), a.axes, a.value, a.dtype)
     if method == "linear":
         value = F.percentile(v, F.lit(float(q)))
     elif skip_nan or n is None:
-        if method != "inverted_cdf":
-            raise NotImplementedError(f"{method} with an unknown number of values")
-        value = _percentile_disc(float(q))
+        # the number of values differs by group: the place of the order statistic is worked out from each group's sorted values
+        values = F.sort_array(F.collect_list(v.cast("double")))
+        m = F.size(values)
+        at = F.least(F.greatest(_VIRTUAL[method](m.cast("double"), float(q), F), F.lit(0.0)), (m - 1).cast("double"))
+        low = F.floor(at).cast("int")
+        share = at - low
+        value = F.get(values, low) * (1 - share) + F.when(share > 0, F.get(values, low + 1) * share).otherwise(0.0)
     else:
-        at = builtins.min(builtins.max(_VIRTUAL[method](n, q), 0), n - 1)
+        at = float(builtins.min(builtins.max(_VIRTUAL[method](n, q, np), 0), n - 1))
         low, share = int(math.floor(at)), at - math.floor(at)
         value = _percentile_disc((low + 0.5) / n)
         if share:
@@ -270,8 +276,8 @@ def _quantiles(a: Array, q, axis, method, keepdims, skip_nan) -> Array:
 def _sorted_quantile(a: Array, v: Column, q: float, method: str, keepdims: bool, skip_nan: bool) -> Array:
     """A quantile of a whole large array: its order statistics by ranks of a range partitioning, so no task holds all distinct values."""
     ordered = ranked(a.df.select(v.alias("_v"), (F.isnan(a.value) if a.dtype.kind == "f" else F.lit(False)).alias("_nan")).where(F.col("_v").isNotNull() | (F.col("_nan") & F.lit(not skip_nan))), "_v")
-    n = a.size if not skip_nan else a.df.agg(F.count(v)).first()[0]
-    at = builtins.min(builtins.max(_VIRTUAL[method](n, q), 0), builtins.max(n - 1, 0))
+    n = a.df.agg(F.count(v)).first()[0] if skip_nan or None in a.shape_or_none else a.size
+    at = float(builtins.min(builtins.max(_VIRTUAL[method](n, q, np), 0), builtins.max(n - 1, 0)))
     low, share = int(math.floor(at)), at - math.floor(at)
     statistic = lambda k: F.max(F.when(F.col("_r") == k, F.col("_v")))
     value = statistic(low) if not share else statistic(low) * (1 - share) + statistic(low + 1) * share
@@ -377,8 +383,15 @@ def _edges(a: Array, bins, range) -> np.ndarray:
 
 
 def bin_of(v: Column, edges: np.ndarray) -> Column:
-    """The bin of each value: half-open, the last closed; null outside. A binary search over the edges, as literals."""
-    v = scalar.real(v)
+    """The bin of each value: half-open, the last closed; null outside. Equal bins by arithmetic, mended by one where it rounds over an edge; others by a binary search over literals."""
+    v = scalar.real(v).cast("double")
+    n, low, high = len(edges) - 1, float(edges[0]), float(edges[-1])
+    if n > 16 and np.array_equal(edges, np.linspace(low, high, n + 1)):
+        step = (high - low) / n
+        edge = lambda k: F.when(k >= n, high).otherwise(k * F.lit(step) + low)
+        guess = F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), F.lit(n - 1))
+        found = F.when(v < edge(guess), guess - 1).when((v >= edge(guess + 1)) & (guess < n - 1), guess + 1).otherwise(guess)
+        return F.when((v >= low) & (v <= high) & ~F.isnan(v), found)
 
     def search(lo: int, hi: int) -> Column:
         if lo == hi:

@@ -7,12 +7,13 @@ rows stay. A prefix (cumulative) frame runs within blocks too and then adds what
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from cellgrid.core import Array, Axis, axis_number, fresh, spark_type
+from cellgrid.core import Array, Axis, active, axis_number, fresh, spark_type
 from cellgrid.functions import scalar
-from cellgrid.operators.elementwise import asarray
+from cellgrid.operators.elementwise import BROADCAST_CELLS, asarray
 
 #: Positions in a block of a long axis.
 BLOCK = 1 << 18
@@ -204,9 +205,14 @@ def _gradient(f: Array, k: int, h, edge_order: int) -> Array:
     else:
         if edge_order != 1:
             raise NotImplementedError("edge_order=2 with coordinates")
-        x = F.array(*[F.lit(float(c)) for c in np.asarray(h)])
-        at = lambda s: F.get(x, (position + s).cast("int"))
-        left, right = at(0) - at(-1), at(1) - at(0)
+        # each position's distances to its neighbours, by a join
+        x = np.asarray(h, float)
+        place, left, right = fresh("p"), fresh("l"), fresh("r")
+        steps = np.diff(x)
+        rows = pa.table({place: pa.array(np.arange(n)), left: pa.array(np.r_[np.nan, steps]), right: pa.array(np.r_[steps, np.nan])})
+        spaces = active().createDataFrame(rows)
+        df = df.join(F.broadcast(spaces) if n <= BROADCAST_CELLS else spaces, position == F.col(place)).drop(place)
+        left, right = F.col(left), F.col(right)
         inner = (v[1] * left * left - v[-1] * right * right + v[0] * (right * right - left * left)) / (left * right * (left + right))
         first, last = (v[1] - v[0]) / right, (v[0] - v[-1]) / left
     value = F.when(position == 0, first).when(position == n - 1, last).otherwise(inner)

@@ -217,6 +217,20 @@ def reductions_nan(spark, d):
     )
 
 
+_SORTED = f"(SELECT i, list_sort(list(w)) AS s, count(w) AS n FROM (SELECT i, CASE WHEN v <= 0.1 THEN v END AS w FROM {M}) WHERE w IS NOT NULL GROUP BY i)"
+
+
+@query(
+    f"""SELECT i AS i0, {R("s[CAST(floor((n - 1) * 0.25) AS INT) + 1]")} AS lower, {R("s[CAST(ceil((n - 1) * 0.25) AS INT) + 1]")} AS higher, {R("s[CAST(greatest(ceil(n * 0.25) - 1, 0) AS INT) + 1]")} AS inverted,
+    {R("(s[CAST(floor((n - 1) * 0.25) AS INT) + 1] + s[CAST(ceil((n - 1) * 0.25) AS INT) + 1]) / 2")} AS midpoint FROM {_SORTED}"""
+)
+def quantiles_nan(spark, d):
+    x = matrix(spark, d)
+    w = cg.where(x > 0.1, np.nan, x)
+    of = lambda method: cg.nanquantile(w, 0.25, 1, method=method)
+    return table(lower=of("lower"), higher=of("higher"), inverted=of("inverted_cdf"), midpoint=of("midpoint"))
+
+
 @query(f"""SELECT i AS i0, {R("avg(pow(v - m, 3))")} AS third, {R("avg(pow(v - m, 4))")} AS fourth FROM (SELECT i, v, avg(v) OVER (PARTITION BY i) AS m FROM {M}) GROUP BY i""")
 def moments(spark, d):
     x = matrix(spark, d)

@@ -268,3 +268,57 @@ def test_quantiles_of_large_arrays(spark, monkeypatch):
             same(cg.quantile(cg.from_array(X), q, method=method), np.quantile(X, q, method=method))
         same(cg.nanquantile(cg.from_array(n), q), np.nanquantile(n, q))
     assert np.isnan(cg.median(cg.from_array(n)).compute())
+
+
+METHODS = ["linear", "weibull", "hazen", "median_unbiased", "normal_unbiased", "interpolated_inverted_cdf", "lower", "higher", "nearest", "midpoint", "inverted_cdf", "closest_observation", "averaged_inverted_cdf"]
+
+
+@pytest.mark.parametrize("bound", [1, 1 << 22])
+def test_nanquantiles_by_every_method(spark, monkeypatch, bound):
+    """The same on both sides of the bound, for whole arrays and along an axis where each row has another number of values."""
+    from cellgrid.operators import reductions
+
+    monkeypatch.setattr(reductions, "SORTED_QUANTILES", bound)
+    n = np.where(X % 5 == 3, np.nan, X)
+    n[2, :9] = np.nan
+    for method in METHODS:
+        same(cg.nanquantile(cg.from_array(n), 0.3, method=method), np.nanquantile(n, 0.3, method=method))
+    rows = cg.stack([cg.nanquantile(cg.from_array(n), 0.3, axis=1, method=method) for method in METHODS])
+    same(rows, np.stack([np.nanquantile(n, 0.3, axis=1, method=method) for method in METHODS]))
+
+
+def test_axes_beyond_32_bits(spark):
+    """Positions stay 64 bits wide and nothing of the axis's length is made on the driver."""
+    from cellgrid.core import Array, Axis
+
+    n = 2**31 + 10
+
+    def cells():
+        return Array(spark.createDataFrame([(i, float(i % 7)) for i in (0, 3, 5, 2**31 + 2, 2**31 + 4, n - 1)], "i bigint, v double"), [Axis("i", 0, n)], dtype=float)
+
+    places = lambda x: sorted((r["i0"], r["v"]) for r in x.cells().collect())
+    want = [(i, float(i % 7)) for i in (0, 3, 5, 2**31 + 2, 2**31 + 4, n - 1)]
+    gone = lambda marks: [(i - sum(m < i for m in marks), v) for i, v in want if i not in marks]
+    assert places(cg.delete(cells(), [3, 3, -1, 2**31 + 3, 4], 0)) == gone([3, 4, 2**31 + 3, n - 1])
+    every = range(1, n, 2)
+    assert places(cg.delete(cells(), slice(1, None, 2), 0)) == [(i - i // 2, v) for i, v in want if i not in every]
+    assert places(cg.delete(cells(), slice(5, 1, -1), 0)) == gone([2, 3, 4, 5])
+    got = cg.insert(cells(), [2**31 + 4, 3, 3], np.array([-1.0, -2.0, -3.0]), 0)
+    assert got.shape == (n + 3,)
+    assert places(got) == sorted([(i + 2 * (i >= 3) + (i >= 2**31 + 4), v) for i, v in want] + [(2**31 + 6, -1.0), (3, -2.0), (4, -3.0)])
+    x = cells()
+    x[[2**31 + 4, 0, 0]] = np.array([70.0, 80.0, 90.0])
+    assert places(x) == [(i, {2**31 + 4: 70.0, 0: 90.0}.get(i, v)) for i, v in want]
+
+
+def test_many_marks_and_bins(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=3000)
+    marks = rng.integers(0, 3000, 700)
+    same(cg.delete(cg.from_array(v), marks, 0), np.delete(v, marks))
+    same(cg.insert(cg.from_array(v), marks, np.arange(700.0), 0), np.insert(v, marks, np.arange(700.0)))
+    x = np.cumsum(rng.random(3000) + 0.1)
+    same(cg.gradient(cg.from_array(v), x), np.gradient(v, x))
+    w = np.r_[v, np.linspace(-2, 3, 2001)]
+    counts, edges = cg.histogram(cg.from_array(w), bins=2000, range=(-2, 3))
+    same(counts, np.histogram(w, 2000, (-2, 3))[0])
