@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +43,29 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 def remove(df: DataFrame) -> None:
     """Deletes the table behind a materialised frame that nothing reads any more."""
     if path := getattr(df, "_cellgrid_path", None):
-        _delete(df.sparkSession, path)
+        delete_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_of_a_step(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables that are made within it, whether it succeeds or fails. Frames that read them are void afterwards."""
+    made = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        for path in made[before:]:
+            delete_path(spark, path)
+        del made[before:]
 
 
 def cleanup(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application. Frames that read them are void afterwards."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+        delete_path(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
