@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import scratch_path, table
+from cellgrid.llm.common import delete_path, scratch_of_a_step, scratch_path, table
 from cellgrid.llm.decontaminate import decontaminate
 from cellgrid.llm.packing import pack
 from cellgrid.llm.pii import redact_pii
@@ -44,11 +44,15 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages. What a stage wrote for itself, and its input once the next one is written, is deleted; only the last stage's table stays."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_of_a_step(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            delete_path(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
 
 
