@@ -339,7 +339,7 @@ def _in_buckets(columns: int, links):
             rows, sets = np.concatenate(held), lists
             at = len(rows) if at is None else at
             held, lists = [rows[at:]], sets[at:]
-            room = len(rows) - at + sum(map(len, lists)) // 256
+            room = len(rows) - at + sum(map(len, lists)) // 64
             x, y = links(rows[:at], sets[:at])
             return pa.RecordBatch.from_arrays([pa.array(rows[x, 5]), pa.array(rows[y, 5])], names=["a", "b"])
 
@@ -349,7 +349,7 @@ def _in_buckets(columns: int, links):
             if batch.num_columns > columns:
                 new = [x.values.to_numpy() for x in batch.column(columns)]
                 lists += new
-                room += sum(map(len, new)) // 256
+                room += sum(map(len, new)) // 64
             room += len(part)
             if room < 1 << 16:
                 continue

@@ -6,8 +6,9 @@ from cellgrid.llm.decontaminate import contamination, decontaminate
 from cellgrid.llm.langid import fit_languages, identify
 from cellgrid.llm.packing import pack
 from cellgrid.llm.pii import find_pii, redact_pii
-from cellgrid.llm.quality import QualityModel, score_quality
+from cellgrid.llm.quality import QualityModel, fit_quality, score_quality, training_rows
 from cellgrid.llm.simhash import drop_near_duplicates, near_duplicates
+from cellgrid.llm.simhash_wide import drop_similar
 from cellgrid.llm.token_counts import token_counts
 from cellgrid.llm.url_filter import url_filter
 
@@ -36,5 +37,13 @@ def test_operators(spark, docs):
 
 def test_filters_return_the_same_columns(spark, docs):
     bench = spark.createDataFrame([("1", "alpha beta gamma")], "item_id string, text string")
-    for out, n in ((decontaminate(docs, bench), 4), (redact_pii(docs), 4), (drop_near_duplicates(docs), 3)):
+    for out, n in ((decontaminate(docs, bench), 4), (redact_pii(docs), 4), (drop_near_duplicates(docs), 3), (drop_similar(docs), 3)):
         assert out.dtypes == docs.dtypes and out.count() == n
+
+
+def test_training_rows(spark, docs):
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y"), (2, 0, "z"), (3, None, None), (None, 1, ""), (9, 0, "")], "doc_id long, quality int, text string")
+    rows = training_rows(docs, labels)
+    assert {r["doc_id"] for r in rows.collect()} <= {1, 2} and rows.count() == rows.distinct().count()
+    assert fit_quality(rows).empty >= 0
+    assert fit_quality(rows.limit(0)).empty == 0.5

@@ -119,3 +119,16 @@ def test_run(spark, stages):
     assert len(a) == len(b)
     strip = lambda rows: sorted((r["doc_id"], r["piece"], r["n_tokens"], r["bucket_len"]) for r in rows)
     assert strip(c.run(spark, SF).collect()) == strip(stages[5].collect())
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_odd_documents(spark, tmp_path, kind):
+    """No documents; then nulls in every column, blank and long texts, repeated ids and rows: nothing fails, and what is like nothing else stays."""
+    rows = [] if kind == "empty" else [(i, f"some quiet text about the river number {i} and the old mill " * 3, "en", "web", 10) for i in range(6)]
+    rows += [] if kind == "empty" else [(1, None, None, None, None), (None, "no id but text here", None, "web", None), (7, "", "en", "", 0), (7, "   ", "en", "", 3), (8, "long " * 50_000, "en", "web", 250_000), (8, "long " * 50_000, "en", "web", 250_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0 if kind == "empty" else 50).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = c.run(spark, str(tmp_path)).collect()
+    assert not out if kind == "empty" else len([r for r in out if r["doc_id"] == 8]) == 50_000 // 2048 + 1
