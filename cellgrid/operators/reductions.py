@@ -275,11 +275,12 @@ def _quantiles(a: Array, q, axis, method, keepdims, skip_nan) -> Array:
 
 def _sorted_quantile(a: Array, v: Column, q: float, method: str, keepdims: bool, skip_nan: bool) -> Array:
     """A quantile of a whole large array: its order statistics by ranks of a range partitioning, so no task holds all distinct values."""
-    ordered = ranked(a.df.select(v.alias("_v"), (F.isnan(a.value) if a.dtype.kind == "f" else F.lit(False)).alias("_nan")).where(F.col("_v").isNotNull() | (F.col("_nan") & F.lit(not skip_nan))), "_v")
+    cells = a.df.select(v.alias("_v"), (F.isnan(a.value) if a.dtype.kind == "f" else F.lit(False)).alias("_nan")).where(F.col("_v").isNotNull() | (F.col("_nan") & F.lit(not skip_nan)))
+    ordered = ranked(cells.groupBy("_v", "_nan").agg(F.count(F.lit(1)).alias("_n")), "_v", "_n")  # a value counts once, however frequent it is
     n = a.df.agg(F.count(v)).first()[0] if skip_nan or None in a.shape_or_none else a.size
     at = float(builtins.min(builtins.max(_VIRTUAL[method](n, q, np), 0), builtins.max(n - 1, 0)))
     low, share = int(math.floor(at)), at - math.floor(at)
-    statistic = lambda k: F.max(F.when(F.col("_r") == k, F.col("_v")))
+    statistic = lambda k: F.max(F.when((F.col("_r") <= k) & (F.col("_r") + F.col("_n") > k), F.col("_v")))
     value = statistic(low) if not share else statistic(low) * (1 - share) + statistic(low + 1) * share
     if not skip_nan:
         value = F.when(F.bool_or("_nan"), NAN).otherwise(value)
@@ -484,12 +485,26 @@ def unique(ar, return_index=False, return_inverse=False, return_counts=False):
     return out[0] if len(out) == 1 else tuple(out)
 
 
-def ranked(df, by: str):
-    """Adds `_r`, the rank of the distinct `by` values: a range partitioning, ranks within each part, and the sizes of the parts before."""
-    parts = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()).persist()
-    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_m"))
+def _parts(df, by: str):
+    """df with `_p`, a number of ranges of the values `by` in their order, and whether it is held in memory. Numbers are dealt by bounds taken from an approximate percentile, so the ranges are
+    the same each time the frame is read; other values by Spark's range partitioning, which is not, so that frame is held."""
+    if df.schema[by].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bounds = df.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+        if not bounds:
+            return df.withColumn("_p", F.lit(0))
+        edges = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+        return df.withColumn("_p", F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col(by))), F.lit(0)))
+    return df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()).persist()
+
+
+def ranked(df, by: str, weight: str | None = None):
+    """Adds `_r`, how many rows (or how much weight) come before, in the order of the distinct `by` values: sums within ranges of values, and the sums of the ranges before."""
+    one = F.lit(1) if weight is None else F.col(weight)
+    parts = _parts(df, by)
+    sizes = parts.groupBy("_p").agg(F.sum(one).alias("_m"))
     before = sizes.select("_p", (F.sum("_m").over(Window.orderBy("_p")) - F.col("_m")).alias("_b"))
-    inside = parts.withColumn("_w", F.row_number().over(Window.partitionBy("_p").orderBy(by)) - 1)
+    inside = parts.withColumn("_w", F.sum(one).over(Window.partitionBy("_p").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) - one)
     return inside.join(F.broadcast(before), "_p").withColumn("_r", (F.col("_w") + F.col("_b")).cast("bigint")).drop("_p", "_w", "_b")
 
 
