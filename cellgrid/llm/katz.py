@@ -1,23 +1,26 @@
-"""Katz backoff over bigrams: Good-Turing discounted counts, exactly normalised backoff weights, evaluated by backing off token by token.
+"""Katz backoff over n-grams of any order: Good-Turing discounted counts, exactly normalised backoff weights, evaluated by backing off token by token.
 
-    P(w | v) = d(c) c(v, w) / c(v)            if c = c(v, w) > 0
-             = alpha(v) P(w)                  else; P(w) if v was never seen
+    P(w | h) = d(c) c(h, w) / c(h)            if c = c(h, w) > 0
+             = alpha(h) P(w | h')             else, h' being h without its first word; P(w | h') if h was never seen
     P(w)     = d(c) c(w) / N                  if c = c(w) > 0
              = the mass the discounts leave   else (one class of unknown words)
 
-alpha(v) is the mass that v's discounts leave, divided by one minus the sum of P(w) over all w seen after v. A context whose discounts leave nothing
-(no successor rare enough) is treated as if it had been seen once more.
+alpha(h) is the mass that h's discounts leave, divided by one minus the sum of P(w | h') over all w seen after h. A context whose discounts leave nothing
+(no successor rare enough) is treated as if it had been seen once more. Before a text's first word stand as many start marks as the order needs. Each order
+has its own discounts.
 
 Counts are far too many for a broadcast, and token rows too many for a row-wise join. Texts are read in blocks of about BLOCK_BYTES. A block asks the
-vocabulary, partitioned by a hash of the word, for its distinct words, and the bigram table, partitioned by a hash of the context, for its distinct
-bigrams; questions, model and answers are sorted, delta-coded and compressed columns. Contexts with a 1 / HOT_SHARE share of all tokens are spread by
-the whole bigram instead, and their few sums are added up over the partitions.
+vocabulary, partitioned by a hash of the word, for its distinct words, and then, order by order, the table of the n-grams, partitioned by a hash of the
+context, for its distinct n-grams whose context was seen; questions, model and answers are sorted, delta-coded and compressed columns. Contexts with a
+1 / HOT_SHARE share of all tokens are spread by the whole n-gram instead, and their few sums are added up over the partitions. An n-gram is packed two
+word numbers a row of 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,8 @@ HOT_SHARE = 64
 BUCKET_BLOCKS = 8
 END = b"\n"
 _START, _UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
-_WORDS, _PAIRS = 0, 1
+#: Answers about words; those about n-grams of order n have the kind n - 1.
+_WORDS = 0
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -210,178 +214,253 @@ def _count_words(buckets: int):
     return run
 
 
-def _hot_words(least: int):
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _hash(rows: np.ndarray) -> np.ndarray:
+    out = _mix(rows[0])
+    for row in rows[1:]:
+        out = _mix(out ^ row)
+    return out
+
+
+def _pack(numbers: list[np.ndarray]) -> np.ndarray:
+    """Word numbers, one array for each place of the n-gram, as rows of two numbers; an odd last one has a row to itself."""
+    return np.stack([numbers[i] << np.uint64(32) | numbers[i + 1] if i + 1 < len(numbers) else numbers[i] for i in range(0, len(numbers), 2)])
+
+
+def _contexts(keys: np.ndarray, order: int) -> np.ndarray:
+    """Packed n-grams without their last word."""
+    return keys[:-1] if order % 2 else np.concatenate([keys[:-1], keys[-1:] >> np.uint64(32)])
+
+
+def _squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted packed n-grams; the first row as differences."""
+    return squeeze(np.concatenate([np.diff(keys[0], prepend=np.uint64(0)), *keys[1:]]))
+
+
+def _stretch_keys(data: bytes, order: int) -> np.ndarray:
+    keys = stretch(data).reshape((order + 1) // 2, -1)
+    return np.vstack([np.cumsum(keys[:1], axis=1, dtype=np.uint64), keys[1:]])
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """Whether each column of sorted rows differs from the one before."""
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+    return new
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct columns in order, the first place of each, and the place of each column among them."""
+    by = np.lexsort(keys[::-1])
+    ordered = keys[:, by]
+    new = _starts(ordered)
+    where = np.empty(len(by), np.int64)
+    where[by] = np.cumsum(new) - 1
+    return ordered[:, new], by[new], where
+
+
+def _gram_buckets(keys: np.ndarray, order: int, hot: np.ndarray, buckets: int) -> np.ndarray:
+    context = _hash(_contexts(keys, order))
+    return (np.where(np.isin(context, hot), _hash(keys), context) % np.uint64(buckets)).astype(np.int64)
+
+
+def _hot_contexts(least: int, order: int):
+    """Hashes of the words (order 1) or n-grams that were counted `least` times or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(stretch(a)[stretch(b) >= least]).astype(np.int64))], names=["id"])
+                keys = stretch(a)[None] if order == 1 else _stretch_keys(a, order)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hash(keys[:, stretch(b) >= least])).view(np.int64))], names=["id"])
 
     return run
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def left_over(rare: np.ndarray, d: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The share of a context's mass that its discounts free; one part of total + 1 if they free none."""
+    free = (rare * np.arange(1, CUT + 1) * (1 - d[1:])).sum(axis=-1)
+    return np.where(free > 0, free / np.maximum(total, 1), 1 / (total + 1.0))
+
+
+@dataclass
+class _Level:
+    """One order's discounts, the hashes of its hot contexts, and the sums of those: contexts (packed), numbers of rare successors, sums of lower P."""
+
+    order: int
+    d: np.ndarray
+    hot: np.ndarray
+    contexts: np.ndarray
+    rare: np.ndarray
+    sums: np.ndarray
+
+    def seen(self, count: np.ndarray, dry: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """P of n-grams that were seen."""
+        return np.where(dry, count / (total + 1), self.d[np.minimum(count, CUT + 1) % (CUT + 1)] * count / np.maximum(total, 1))
 
 
 @dataclass
-class _Open:
-    """A block with the vocabulary's answers. pair: for each token, its place in keys, or -1 where the context was never seen."""
-
-    counts: np.ndarray
-    tokens: np.ndarray
-    ends: np.ndarray
-    context: np.ndarray
-    keys: np.ndarray
-    in_train: np.ndarray
-    word_count: np.ndarray
-    pair: np.ndarray
-    context_count: np.ndarray
-
-
-def _open(block: dict, replies: list[dict], buckets: int, ends_total: int) -> _Open:
-    words = _words(block["words"])
-    order, starts = _by_bucket(_word_buckets(words, buckets), buckets)
-    number, count = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    for r in replies:
-        if r["kind"] == _WORDS:
+class _Model:
+    """What a task needs: unigrams and the finished levels, lowest first."""
+
+    buckets: int
+    unigrams: Unigrams
+    levels: list[_Level]
+
+
+class _Block:
+    """A block's tokens after the answers of some orders. Of each token: p, the probability by the highest of these orders, and of the n-gram of that
+    order that ends there, count (in training), total (its context's count) and dry (its context's discounts free nothing)."""
+
+    def __init__(self, row: dict, replies: list[dict], model: _Model) -> None:
+        words = _words(row["words"])
+        order, starts = _by_bucket(_word_buckets(words, model.buckets), model.buckets)
+        number, count = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
+        for r in replies:
+            if r["kind"] == _WORDS:
+                own = order[starts[r["bucket"]] : starts[r["bucket"] + 1]]
+                number[own], count[own] = stretch(r["a"]), stretch(r["b"]).astype(np.int64)
+        number[count == 0] = _UNKNOWN
+        tokens, self.ends = stretch(row["tokens"]).astype(np.int64), stretch(row["ends"]).astype(np.int64)
+        self.begin = np.r_[0, self.ends[:-1]]
+        self.trained = np.repeat(np.frombuffer(row["train"], np.uint8).astype(bool), np.diff(np.r_[0, self.ends]))
+        self.model, self.number, self.word_count = model, number[tokens], count[tokens]
+        self.count, self.p = self.word_count, model.unigrams.p(self.word_count)
+        self.total = self.dry = np.zeros(len(tokens), np.int64)
+        for level in model.levels:
+            self.climb(level, [r for r in replies if r["kind"] == level.order - 1])
+
+    def before(self, values: np.ndarray, first: int) -> np.ndarray:
+        """The value of the token before; `first` at the beginning of a text."""
+        out = np.r_[values[:1], values[:-1]]
+        out[self.begin] = first
+        return out
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams whose context was seen, a token of each, each token's place among them (-1: none) and its context's count."""
+        total = self.before(self.count, self.model.unigrams.ends)
+        numbers = [self.number]
+        for _ in range(order - 1):
+            numbers.insert(0, self.before(numbers[0], _START))
+        asked = np.flatnonzero(total > 0)
+        keys, first, where = _distinct(_pack(numbers)[:, asked])
+        place = np.full(len(total), -1, np.int64)
+        place[asked] = where
+        return keys, asked[first], place, total
+
+    def climb(self, level: _Level, replies: list[dict]) -> None:
+        keys, token, place, totals = self.grams(level.order)
+        order, starts = _by_bucket(_gram_buckets(keys, level.order, level.hot, self.model.buckets), self.model.buckets)
+        count, dry = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
+        rare, sums = np.zeros((len(token), CUT), np.int64), np.zeros(len(token))
+        contexts = _contexts(keys, level.order)
+        for r in replies:
             own = order[starts[r["bucket"]] : starts[r["bucket"] + 1]]
-            number[own], count[own] = stretch(r["a"]), stretch(r["b"])
-    number[count == 0] = _UNKNOWN
-    tokens, ends = stretch(block["tokens"]).astype(np.int64), stretch(block["ends"]).astype(np.int64)
-    first = np.zeros(len(tokens), bool)
-    first[np.r_[0, ends[:-1]]] = True
-    before = np.r_[0, tokens[:-1]]
-    context = np.where(first, np.uint64(_START), number[before])
-    context_count = np.where(first, np.uint64(ends_total), count[before])
-    full = (context << np.uint64(32)) | number[tokens]
-    asked = context_count > 0
-    keys, where = np.unique(full[asked], return_inverse=True)
-    pair = np.full(len(tokens), -1, np.int64)
-    pair[asked] = where
-    trained = np.repeat(np.frombuffer(block["train"], np.uint8).astype(bool), np.diff(np.r_[0, ends]))
-    in_train = np.bincount(pair[asked & trained], minlength=len(keys)) if len(keys) else np.zeros(0, np.int64)
-    word_count = np.zeros(len(keys), np.uint64)
-    word_count[where] = count[tokens[asked]]
-    return _Open(count, tokens, ends, context, keys, in_train, word_count, pair, context_count)
-
-
-def _pair_buckets(keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    context = keys >> np.uint64(32)
-    return (np.where(np.isin(context, hot), _mix(keys), _mix(context)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _ask_pairs(buckets: int, ends_total: int, hot: np.ndarray):
+            got = stretch(r["a"]).astype(np.int64)
+            count[own], dry[own] = got >> 1, (got & 1).astype(bool)
+            unseen = own[count[own] == 0]
+            if len(unseen):
+                at = np.cumsum(_starts(contexts[:, unseen])) - 1
+                rare[unseen] = stretch(r["b"]).astype(np.int64).reshape(-1, CUT)[at]
+                sums[unseen] = np.frombuffer(r["c"], float)[at]
+        hot = np.flatnonzero(np.isin(_hash(contexts), level.hot))
+        for i in range(len(level.sums)):
+            own = hot[(contexts[:, hot] == level.contexts[:, i : i + 1]).all(axis=0)]
+            rare[own], sums[own], dry[own] = level.rare[i], level.sums[i], level.rare[i].sum() == 0
+        total = totals[token].astype(float)
+        p = np.where(count > 0, level.seen(count, dry, total), left_over(rare, level.d, total) / (1 - sums) * self.p[token])
+        has = place >= 0
+        self.p, self.total = self.p.copy(), totals
+        self.p[has] = p[place[has]]
+        self.count, self.dry = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        self.count[has], self.dry[has] = count[place[has]], dry[place[has]]
+
+
+def _ask_grams(order: int, model: _Model, hot: np.ndarray):
+    """Questions a, b, c: n-grams, counts in the block's training texts, and what the probability of the lower order is made of."""
+
     def run(block: pa.Table, replies: pa.Table) -> pa.Table:
-        opened = _open(block.to_pylist()[0], replies.to_pylist(), buckets, ends_total)
-        order, starts = _by_bucket(_pair_buckets(opened.keys, hot, buckets), buckets)
+        x = _Block(block.to_pylist()[0], replies.to_pylist(), model)
+        keys, token, place, _ = x.grams(order)
+        in_train = np.bincount(place[x.trained & (place >= 0)], minlength=len(token))
+        lower = x.count[token][None] if order == 2 else np.stack([x.count[token] * 2 + x.dry[token], x.total[token]])
+        by, starts = _by_bucket(_gram_buckets(keys, order, hot, model.buckets), model.buckets)
         rows = []
         for b in np.flatnonzero(np.diff(starts)):
-            own = order[starts[b] : starts[b + 1]]
-            rows.append((int(b), block["block"][0].as_py(), squeeze(np.diff(opened.keys[own], prepend=np.uint64(0))), squeeze(opened.in_train[own]), squeeze(opened.word_count[own])))
+            own = by[starts[b] : starts[b + 1]]
+            rows.append((int(b), block["block"][0].as_py(), _squeeze_keys(keys[:, own]), squeeze(in_train[own]), squeeze(lower[:, own].ravel())))
         return pa.Table.from_batches([_batch(_ASK_NAMES, _ASK_TYPES, rows)])
 
     return run
 
 
-def _context_sums(contexts: np.ndarray, totals: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted contexts: the distinct ones, how many successors were seen 1..CUT times, and the sum of P(w) over all seen successors."""
-    starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
+def _lower_p(order: int, model: _Model, lower: np.ndarray) -> np.ndarray:
+    """The lower order's P of the last words of n-grams that were seen, and whose shorter n-grams therefore were."""
+    if order == 2:
+        return model.unigrams.p(lower[0])
+    return model.levels[-1].seen(lower[0] >> 1, (lower[0] & 1).astype(bool), lower[1].astype(float))
+
+
+def _context_sums(new: np.ndarray, totals: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted n-grams whose contexts begin where `new` is true: how many successors were seen 1..CUT times, and the sum of p over all seen successors."""
+    starts = np.flatnonzero(new)
     rare = np.stack([np.add.reduceat((totals == r).astype(np.int64), starts) for r in range(1, CUT + 1)], axis=1)
-    return contexts[starts], rare, np.add.reduceat(np.where(totals > 0, p, 0.0), starts)
+    return rare, np.add.reduceat(np.where(totals > 0, p, 0.0), starts)
 
 
-def _count_pairs(unigrams: Unigrams, hot: np.ndarray):
-    """All questions of a bucket of bigrams. An answer's `a` has the counts, doubled, plus one where the context's discounts leave nothing; b and c have,
-    for each context with an unseen bigram, its numbers of rare successors and the bits of its sum of P. The bucket's rows of kind -1 are its part
-    of the model (keys, counts) and of the sums of hot contexts."""
+def _count_grams(order: int, model: _Model, hot: np.ndarray):
+    """All questions of a bucket of n-grams. An answer's `a` has the counts, doubled, plus one where the context's discounts leave nothing; b and c have,
+    for each context with an unseen n-gram, its numbers of rare successors and the bits of its sum of lower P. The bucket's rows of block -1 are its part
+    of the model (keys, counts), those of block -2 the sums of hot contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked = [np.cumsum(stretch(x)) for x in table["a"].to_pylist()]
-        flat = np.concatenate(asked)
-        keys, first, index = np.unique(flat, return_index=True, return_inverse=True)
+        asked = [_stretch_keys(x, order) for x in table["a"].to_pylist()]
+        keys, first, index = _distinct(np.concatenate(asked, axis=1))
         counts = np.concatenate([stretch(x) for x in table["b"].to_pylist()]).astype(np.int64)
-        totals = np.zeros(len(keys), np.int64)
+        totals = np.zeros(len(first), np.int64)
         np.add.at(totals, index, counts)
-        p = unigrams.p(np.concatenate([stretch(x) for x in table["c"].to_pylist()])[first])
-        contexts = keys >> np.uint64(32)
-        own, rare, sums = _context_sums(contexts, totals, p)
-        is_hot = np.isin(own, hot)
+        lower = np.concatenate([stretch(x).reshape(-1, k.shape[1]) for x, k in zip(table["c"].to_pylist(), asked, strict=True)], axis=1)[:, first].astype(np.int64)
+        contexts = _contexts(keys, order)
+        new = _starts(contexts)
+        rare, sums = _context_sums(new, totals, _lower_p(order, model, lower))
+        own = contexts[:, new]
+        is_hot = np.isin(_hash(own), hot)
         dry = (rare.sum(axis=1) == 0) & ~is_hot
-        bucket = table["bucket"][0].as_py()
+        bucket, kind = table["bucket"][0].as_py(), order - 1
         seen = totals > 0
         small = np.bincount(np.minimum(totals[seen], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-        rows = [(-1, _PAIRS, bucket, squeeze(np.diff(keys[seen], prepend=np.uint64(0))), squeeze(totals[seen]), None, small.tolist())]
+        rows = [(-1, kind, bucket, _squeeze_keys(keys[:, seen]), squeeze(totals[seen]), None, small.tolist())]
         if is_hot.any():
-            rows.append((-2, _PAIRS, bucket, squeeze(own[is_hot]), squeeze(rare[is_hot].ravel()), sums[is_hot].tobytes(), []))
-        place = np.searchsorted(own, contexts)
+            rows.append((-2, kind, bucket, squeeze(own[:, is_hot].ravel()), squeeze(rare[is_hot].ravel()), sums[is_hot].tobytes(), []))
+        place = np.cumsum(new) - 1
         answer = totals * 2 + dry[place]
         start = 0
         for block, ask in zip(table["block"].to_pylist(), asked, strict=True):
-            mine = index[start : start + len(ask)]
-            start += len(ask)
+            mine = index[start : start + ask.shape[1]]
+            start += ask.shape[1]
             unseen = np.unique(place[mine[totals[mine] == 0]])
-            rows.append((block, _PAIRS, bucket, squeeze(answer[mine]), squeeze(rare[unseen].ravel()), sums[unseen].tobytes(), []))
+            rows.append((block, kind, bucket, squeeze(answer[mine]), squeeze(rare[unseen].ravel()), sums[unseen].tobytes(), []))
         return pa.Table.from_batches([_batch(_REPLY_NAMES, _REPLY_TYPES, rows)])
 
     return run
 
 
-def left_over(rare: np.ndarray, d: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The share of a context's mass that its discounts free; one part of total + 1 if they free none."""
-    free = (rare * np.arange(1, CUT + 1) * (1 - d[1:])).sum(axis=-1)
-    return np.where(free > 0, free / np.maximum(total, 1), 1 / (total + 1.0))
-
-
-@dataclass
-class _Hot:
-    contexts: np.ndarray
-    rare: np.ndarray
-    sums: np.ndarray
-
-
-def _score(buckets: int, unigrams: Unigrams, d: np.ndarray, hot: np.ndarray, hot_sums: _Hot):
+def _score(model: _Model):
     def run(block: pa.Table, replies: pa.Table) -> pa.Table:
-        row, answers = block.to_pylist()[0], replies.to_pylist()
-        x = _open(row, answers, buckets, unigrams.ends)
-        order, starts = _by_bucket(_pair_buckets(x.keys, hot, buckets), buckets)
-        count, dry = np.zeros(len(x.keys), np.int64), np.zeros(len(x.keys), bool)
-        contexts = (x.keys >> np.uint64(32)).astype(np.uint64)
-        rare, sums = np.zeros((len(x.keys), CUT), np.int64), np.zeros(len(x.keys))
-        for r in answers:
-            if r["kind"] == _PAIRS:
-                own = order[starts[r["bucket"]] : starts[r["bucket"] + 1]]
-                got = stretch(r["a"]).astype(np.int64)
-                count[own], dry[own] = got >> 1, (got & 1).astype(bool)
-                unseen = own[count[own] == 0]
-                if len(unseen):
-                    _, at = np.unique(contexts[unseen], return_inverse=True)
-                    rare[unseen] = stretch(r["b"]).astype(np.int64).reshape(-1, CUT)[at]
-                    sums[unseen] = np.frombuffer(r["c"], float)[at]
-        if len(hot_sums.contexts) and len(contexts):
-            at = np.minimum(np.searchsorted(hot_sums.contexts, contexts), len(hot_sums.contexts) - 1)
-            is_hot = hot_sums.contexts[at] == contexts
-            rare[is_hot], sums[is_hot] = hot_sums.rare[at[is_hot]], hot_sums.sums[at[is_hot]]
-            dry[is_hot] = rare[is_hot].sum(axis=1) == 0
-        total = np.zeros(len(x.keys))
-        total[x.pair[x.pair >= 0]] = x.context_count[x.pair >= 0]
-        p_word = unigrams.p(x.word_count)
-        discounted = np.where(dry, count / (total + 1), d[np.minimum(count, CUT + 1) % (CUT + 1)] * count / np.maximum(total, 1))
-        backed = left_over(rare, d, total) / (1 - sums) * p_word
-        p_pair = np.where(count > 0, discounted, backed)
-        token_counts = x.counts[x.tokens]
-        p = unigrams.p(token_counts)
-        p[x.pair >= 0] = p_pair[x.pair[x.pair >= 0]]
-        begin = np.r_[0, x.ends[:-1]]
+        row = block.to_pylist()[0]
+        x = _Block(row, replies.to_pylist(), model)
         return pa.table(
             {
                 "doc_id": pa.array(row["ids"], pa.int64()),
                 "held_out": pa.array(np.frombuffer(row["held"], np.uint8).astype(bool)),
                 "n_tokens": pa.array(np.diff(np.r_[0, x.ends])),
-                "n_known": pa.array(np.add.reduceat((token_counts > 0).astype(np.int64), begin)),
-                "train_tokens": pa.array(np.full(len(begin), unigrams.total, np.int64)),
-                "base_score": pa.array(np.add.reduceat(unigrams.base(token_counts), begin)),
-                "score": pa.array(np.add.reduceat(np.log10(p), begin)),
+                "n_known": pa.array(np.add.reduceat((x.word_count > 0).astype(np.int64), x.begin)),
+                "train_tokens": pa.array(np.full(len(x.begin), model.unigrams.total, np.int64)),
+                "base_score": pa.array(np.add.reduceat(model.unigrams.base(x.word_count), x.begin)),
+                "score": pa.array(np.add.reduceat(np.log10(x.p), x.begin)),
             }
         )
 
@@ -399,12 +478,30 @@ def _sum_stats(replies: DataFrame) -> np.ndarray:
     return out
 
 
-def katz_scores(df: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _level(order: int, hot: np.ndarray, grams: DataFrame) -> _Level:
+    """What all tasks need of a counted order."""
+    width = order // 2  # rows of a packed context
+    sums: dict[tuple, list] = {}
+    for r in grams.where("block = -2").select("a", "b", "c").toLocalIterator():  # at most HOT_SHARE + 1 contexts a partition
+        rare, p = stretch(r["b"]).astype(np.int64).reshape(-1, CUT), np.frombuffer(r["c"], float)
+        for i, context in enumerate(zip(*stretch(r["a"]).reshape(width, -1).tolist(), strict=True)):
+            old = sums.setdefault(context, [np.zeros(CUT, np.int64), 0.0])
+            old[0], old[1] = old[0] + rare[i], old[1] + p[i]
+    found = sorted(sums)
+    contexts = np.array(found, np.uint64).reshape(-1, width).T
+    rare = np.array([sums[c][0] for c in found], np.int64).reshape(-1, CUT)
+    return _Level(order, discounts(np.r_[0, _sum_stats(grams)[: CUT + 1]]), hot, contexts, rare, np.array([sums[c][1] for c in found]))
+
+
+def katz_scores(df: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> tuple[DataFrame, DataFrame]:
     """(scores, model). scores: for every row doc_id, held_out, n_tokens (one end included), n_known (seen in training), train_tokens, base_score (add-0.1
-    unigrams) and score, both log10. model: the bigram table, one row a partition, with its sorted keys (context number * 2^32 + word number) and counts.
+    unigrams) and score, both log10. model: the tables of the n-grams, one row an order and partition, with sorted keys (word numbers, two in 64 bits; first
+    row of keys as differences) and counts.
 
-    train, held_out: conditions; a null one is false. Null texts are empty, that is, one end. Repeated rows count and are scored each. Without any
-    training row every word is unknown. An empty input gives no rows."""
+    train, held_out: conditions; a null one is false. order: words of the longest n-gram, 2 or more. Null texts are empty, that is, one end. Repeated rows
+    count and are scored each. Without any training row every word is unknown. An empty input gives no rows."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     docs = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), F.coalesce(train, F.lit(False)), F.coalesce(held_out, F.lit(False)))
     blocks = materialise(docs.mapInArrow(_block_rows(), BLOCK), "blocks")
     buckets = max(shuffle_partitions(df.sparkSession), -(-blocks.count() // BUCKET_BLOCKS))
@@ -413,20 +510,16 @@ def katz_scores(df: DataFrame, train: Column, held_out: Column, id_col: str = "d
     stats = _sum_stats(words)
     unigrams = Unigrams(np.r_[0, stats[: CUT + 1]], int(stats[CUT + 1]), int(stats[CUT + 2]), int(stats[CUT + 3]))
     least = max(1, -(-unigrams.total // HOT_SHARE))
-    found = words.select("a", "b").mapInArrow(_hot_words(least), "id long").distinct().collect()  # at most HOT_SHARE
-    hot = np.array(sorted([_START, *[r["id"] for r in found]]), np.uint64)
-    asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(buckets, unigrams.ends, hot), ASK)
-    pairs = materialise(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_pairs(unigrams, hot), REPLY), "pair-answers")
-    d = discounts(np.r_[0, _sum_stats(pairs)[: CUT + 1]])
-    sums: dict[int, list] = {}
-    for r in pairs.where("block = -2").select("a", "b", "c").toLocalIterator():  # at most HOT_SHARE + 1 contexts a partition
-        rare, p = stretch(r["b"]).astype(np.int64).reshape(-1, CUT), np.frombuffer(r["c"], float)
-        for i, context in enumerate(stretch(r["a"]).tolist()):
-            old = sums.setdefault(context, [np.zeros(CUT, np.int64), 0.0])
-            old[0], old[1] = old[0] + rare[i], old[1] + p[i]
-    order = sorted(sums)
-    hot_sums = _Hot(np.array(order, np.uint64), np.array([sums[c][0] for c in order], np.int64).reshape(-1, CUT), np.array([sums[c][1] for c in order]))
-    answers = words.union(pairs.where("block >= 0"))
-    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, unigrams, d, hot, hot_sums), SCORED)
-    model = pairs.where("block = -1").select(F.col("bucket").alias("partition"), F.col("a").alias("keys"), F.col("b").alias("counts"))
-    return scores, model
+    model, answers, last, tables = _Model(buckets, unigrams, []), words, words, []
+    for n in range(2, order + 1):
+        counted = last if n == 2 else last.where("block = -1")
+        found = counted.select("a", "b").mapInArrow(_hot_contexts(least, n - 1), "id long").distinct().collect()  # at most HOT_SHARE
+        start = _hash(_pack([np.full(1, _START, np.uint64)] * (n - 1)))
+        hot = np.unique(np.r_[start, np.array([r["id"] for r in found], np.int64).view(np.uint64)])
+        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_grams(n, model, hot), ASK)
+        last = materialise(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_grams(n, model, hot), REPLY), f"answers-{n}")
+        model = replace(model, levels=[*model.levels, _level(n, hot, last)])
+        answers = answers.union(last.where("block >= 0"))
+        tables.append(last.where("block = -1").select(F.lit(n).alias("order"), F.col("bucket").alias("partition"), F.col("a").alias("keys"), F.col("b").alias("counts")))
+    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model), SCORED)
+    return scores, reduce(DataFrame.union, tables)

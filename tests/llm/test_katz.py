@@ -126,3 +126,72 @@ def test_query(spark):
     against(docs, got)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+class PlainHigher(Plain):
+    """The recursion of any order, by its definition."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts)
+        self.order, self.grams, self.contexts, self.followers = order, {}, {}, {}
+        for n in range(2, order + 1):
+            grams, contexts, followers = Counter(), Counter(), {}
+            for t in texts:
+                w = ["<s>"] * (n - 1) + toks(t)
+                for i in range(n - 1, len(w)):
+                    h = tuple(w[i - n + 1 : i])
+                    grams[(*h, w[i])] += 1
+                    contexts[h] += 1
+                    followers.setdefault(h, set()).add(w[i])
+            self.grams[n], self.contexts[n], self.followers[n] = grams, contexts, followers
+        self.d = {n: self.ratios(self.grams[n]) for n in self.grams}
+
+    def prob(self, h, w):
+        if not h:
+            return self.p1(w)
+        n = len(h) + 1
+        total, grams, d = self.contexts[n][h], self.grams[n], self.d[n]
+        if not total:
+            return self.prob(h[1:], w)
+        seen = {x: grams[(*h, x)] for x in self.followers[n][h]}
+        free = sum(c * (1 - d.get(c, 1)) for c in seen.values())
+        if w in seen:
+            return d.get(seen[w], 1) * seen[w] / total if free > 0 else seen[w] / (total + 1)
+        mass = free / total if free > 0 else 1 / (total + 1)
+        return mass / (1 - sum(self.prob(h[1:], x) for x in seen)) * self.prob(h[1:], w)
+
+    def score(self, text):
+        w = ["<s>"] * (self.order - 1) + toks(text)
+        return sum(math.log10(self.prob(tuple(w[i - self.order + 1 : i]), w[i])) for i in range(self.order - 1, len(w)))
+
+
+@pytest.mark.parametrize("order,share", [(2, 64), (3, 64), (3, 8), (3, 10**9), (4, 30), (5, 64)])
+def test_higher_orders(spark, monkeypatch, order, share):
+    from cellgrid.llm.common import fold
+
+    monkeypatch.setattr(k, "HOT_SHARE", share)
+    monkeypatch.setattr(k, "BLOCK_BYTES", 600)
+    rng = random.Random(order)
+    vocab = [f"w{i}" for i in range(12)]
+    weights = [1 / (i + 1) for i in range(len(vocab))]
+    rows = [(i, " ".join(rng.choices(vocab, weights, k=rng.randrange(0, 30)))) for i in range(200)]
+    rows += [(300, None), (301, ""), (303, "UNSEEN words W1 w2 w0 w0"), (None, "w1 w2 never w1 w0"), (5, rows[5][1]), (310, rows[310 % 200][1]), (304, "w3 w4 " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    part = fold("doc_id", 10)
+    scores, model = k.katz_scores(df, part != 0, part == 0, order=order)
+    plain = PlainHigher([t for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10 != 0], order)
+    want = sorted((str(d), plain.score(t)) for d, t in rows)
+    have = sorted((str(r["doc_id"]), r["score"]) for r in scores.collect())
+    assert [x for x, _ in want] == [x for x, _ in have]
+    assert np.allclose([x for _, x in want], [x for _, x in have], rtol=1e-9, atol=1e-9)
+    for n in range(2, order + 1):
+        stored = sum(int(k.stretch(r["counts"]).sum()) for r in model.where(f"`order` = {n}").collect())
+        assert stored == sum(plain.grams[n].values())
+        for h in list(plain.followers[n])[:20]:
+            assert abs(sum(plain.prob(h, w) for w in plain.uni) + plain.prob(h, "no such word") - 1) < 1e-9
+
+
+def test_order_below_two(spark):
+    with pytest.raises(ValueError):
+        run_order = k.katz_scores(spark.createDataFrame([], "doc_id long, text string"), k.F.lit(True), k.F.lit(False), order=1)
+        assert run_order
