@@ -932,3 +932,254 @@ def mapped_blocks(spark, d):
 
 def _filled(v):
     return np.full((2, 2), float(v))
+
+
+# -- creation from values, functions of cells, operator signs ----------------------------------------------------------------------------------------------------
+@query(f"""SELECT i AS i0, 1.0::DOUBLE AS ones, 0.0::DOUBLE AS zeros, 7.0::DOUBLE AS sevens, 0.0::DOUBLE AS nothing, 1.0::DOUBLE AS one, 0.0::DOUBLE AS zero, 2.5::DOUBLE AS filled, {R("v", 4)} AS same FROM {O}""")
+def filled_arrays(spark, d):
+    x = price(spark, d)
+    n = x.shape[0]
+    return table(4, ones=cg.ones_like(x), zeros=cg.zeros_like(x), sevens=cg.full_like(x, 7.0), nothing=cg.empty_like(x) * 0, one=cg.ones(n), zero=cg.zeros(n), filled=cg.full(n, 2.5), same=cg.to_backend(cg.asanyarray(x)))
+
+
+@query("""SELECT CAST(k AS BIGINT) AS i0, CAST(k * k AS BIGINT) AS v, CAST(k * k + 1 AS BIGINT) AS w, round(sqrt(k), 6) + 0.0 AS root FROM range(300) t(k)""")
+def from_values(spark, d):
+    squares = np.arange(300) ** 2
+    return table(v=cg.from_array(squares, chunks=64), w=cg.array((squares + 1).tolist()), root=cg.asarray(np.sqrt(np.arange(300.0))))
+
+
+@query(
+    f"""SELECT i AS i0, {R("log2(pow(2, v / 100) + pow(2, 0.5))")} AS together, {R("floor(v / 7)")} AS floored, {R("-v")} AS negated, {R("v")} AS same, {R("pow(v, 1.5)", 3)} AS raised,
+    {R("-v - 7 * trunc(-v / 7)")} AS rest, {R("degrees(v)", 4)} AS in_degrees, {R("radians(v)")} AS in_radians, {R("v")} AS size, {R("v")} AS real_size, {R("trunc(-v)")} AS fixed, {R("sin(pi() * v / 100) / (pi() * v / 100)")} AS sinc,
+    {R("-v")} AS signed, {R("v * 8")} AS scaled, v > 100 AS negative, false AS down, false AS up, true AS is_real, false AS is_complex, 0.0::DOUBLE AS imaginary, false AS missing FROM {E}"""
+)
+def ufunc_more(spark, d):
+    x = values(spark, d)
+    return table(
+        together=cg.logaddexp2(x / 100, 0.5), floored=cg.floor_divide(x, 7.0), negated=cg.negative(x), same=cg.positive(cg.conjugate(x)), raised=cg.round(cg.float_power(x, 1.5), 3), rest=cg.fmod(-x, 7.0),
+        in_degrees=cg.round(cg.degrees(x), 4), in_radians=cg.radians(x), size=cg.fabs(-x), real_size=cg.absolute(-x), fixed=cg.fix(-x), sinc=cg.sinc(x / 100), signed=cg.copysign(x, -1.0), scaled=cg.ldexp(x, 3),
+        negative=cg.signbit(100 - x), down=cg.isneginf(x), up=cg.isposinf(x), is_real=cg.isreal(x), is_complex=cg.iscomplex(x), imaginary=cg.imag(x) * 1.0, missing=cg.isnull(x),
+    )
+
+
+@query(
+    """SELECT event_id AS i0, 100 // (u + 1) AS under, 1000 % (u + 1) AS rest, 12 & u AS both, 12 | u AS one_of, xor(12, u) AS differs, ~u AS inverted, 1 << (u % 5) AS shifted, 4096 >> (u % 5) AS back, abs(-u) AS size,
+    u AS same, u // 3 AS thirds, u % 3 AS left_over, round(2.0 ** (u % 4), 6) + 0.0 AS power, round(1.0 / (u + 1), 6) + 0.0 AS inverse, 7 // (u + 1) AS seventh FROM (SELECT event_id, user_id AS u FROM events)"""
+)
+def operator_signs(spark, d):
+    u = users(spark, d)
+    thirds, left = divmod(u, 3)
+    seventh, _ = divmod(7, u + 1)
+    return table(
+        under=100 // (u + 1), rest=1000 % (u + 1), both=12 & u, one_of=12 | u, differs=12 ^ u, inverted=~u, shifted=1 << (u % 5), back=4096 >> (u % 5), size=abs(-u),
+        same=+u, thirds=thirds, left_over=left, power=2.0 ** (u % 4), inverse=1.0 / (u + 1), seventh=seventh,
+    )
+
+
+@query(f"""SELECT j AS i0, i AS i1, {R("v")} AS turned, {R("2 * v")} AS twice, {R("v")} AS copied FROM {M}""")
+def numpy_protocols(spark, d):
+    """NumPy's own functions on arrays, and the attributes T and A."""
+    import copy
+
+    x = matrix(spark, d)
+    return table(turned=x.T, twice=np.add(x, x).A.T, copied=np.transpose(copy.deepcopy(x)))
+
+
+@query(f"""SELECT i * 64 + j AS i0, {R("v")} AS flat, {R("v")} AS again, {R("v")} AS whole FROM {M}""")
+def flattened(spark, d):
+    x = matrix(spark, d)
+    return table(flat=x.ravel(), again=x.flatten(), whole=cg.atleast_1d(cg.ravel(x)))
+
+
+# -- reductions and products -------------------------------------------------------------------------------------------------------------------------------------
+@query(
+    f"""SELECT j AS i0, {R("avg(v)")} AS plain, {R("quantile_cont(v, 0.25)")} AS low, {R("median(v)")} AS middle, {R("sum(v * i) / sum(i)")} AS weighted, CAST(arg_max(i, (v, -i)) AS BIGINT) AS top FROM {M} GROUP BY j"""
+)
+def more_reductions(spark, d):
+    x = matrix(spark, d)
+    i = x.with_value(x.axes[0].position.cast("double"), float)
+    return table(plain=cg.average(x, axis=0), low=cg.nanpercentile(x, 25, axis=0), middle=cg.nanmedian(x, axis=0), weighted=cg.average(x, axis=0, weights=i), top=cg.arg_reduction(x, None, None, np.argmax, axis=0))
+
+
+@query(
+    f"""SELECT a AS i0, b AS i1, c AS i2, {R("count(i)")} AS n FROM range(2) p(a) CROSS JOIN range(2) q(b) CROSS JOIN range(2) r(c) LEFT JOIN
+    (SELECT i, max(v) FILTER (j = 0) AS x, max(v) FILTER (j = 1) AS y, max(v) FILTER (j = 2) AS z FROM {M} GROUP BY i) ON (x >= 0)::INT = a AND (y >= 0)::INT = b AND (z >= 0)::INT = c AND greatest(abs(x), abs(y), abs(z)) <= 1 GROUP BY a, b, c"""
+)
+def histogram_3d(spark, d):
+    return table(n=cg.histogramdd(matrix(spark, d)[:, :3], bins=2, range=[(-1, 1)] * 3)[0].astype(float))
+
+
+@query(f"""SELECT a.i AS i0, {R("sum(a.v * b.v)")} AS v FROM {M} a JOIN {M} b ON a.j = b.j AND b.i = 1 GROUP BY a.i""")
+def dot_product(spark, d):
+    x = matrix(spark, d)
+    return table(v=cg.dot(x, x[1]))
+
+
+@query(f"""SELECT i AS i0, j AS i1, {R("v")} AS v, {R("v")} AS w FROM {M}""")
+def low_rank(spark, d):
+    """A compressed decomposition of full rank gives the matrix back; so do the factors of a tall matrix."""
+    x = matrix(spark, d)
+    u, s, vh = cg.linalg.svd_compressed(x, 64, seed=1)
+    q, r = cg.linalg.tsqr(x)
+    return table(v=cg.matmul(u * s, vh), w=cg.matmul(q, r))
+
+
+@query(f"""SELECT a.j AS i0, {R("sum(a.v * b.v)", 5)} AS v FROM {M} a JOIN {M} b ON a.i = b.i AND b.j = 0 GROUP BY a.j""")
+def triangular_solution(spark, d):
+    """The lower triangle of the Gram matrix solved for a column of it, and multiplied again."""
+    x = matrix(spark, d)
+    g = cg.matmul(x.T, x)
+    low, right = cg.tril(g), g[:, 0]
+    return table(5, v=cg.matmul(low, cg.linalg.solve_triangular(low, right, lower=True)))
+
+
+# -- blocks and kernels --------------------------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT i AS i0, {R("sum(v)")} AS total, {R("min(v)")} AS least, {R("max(v)")} AS most, {R("max(v) - min(v)")} AS spread FROM {M} GROUP BY i""")
+def kernels_by_signature(spark, d):
+    x = matrix(spark, d)
+    least, most = cg.apply_gufunc(_ends, "(i)->(),()", x, output_dtypes=[float, float])
+    return table(total=cg.blockwise(_row_sums, "i", x, "ij"), least=least, most=most, spread=cg.as_gufunc("(i)->()")(_spread)(x))
+
+
+def _ends(v):
+    return v.min(axis=-1), v.max(axis=-1)
+
+
+def _row_sums(v):
+    return v.sum(axis=-1)
+
+
+def _spread(v):
+    return v.max(axis=-1) - v.min(axis=-1)
+
+
+@query(f"""SELECT i AS i0, {R("v + 1", 4)} AS more, v > 100000 AS large, {R("v * 10 + v", 4)} AS scalar, {R("sqrt(v)")} AS root FROM {O}""")
+def kernels_of_cells(spark, d):
+    x = price(spark, d)
+    more, large = cg.map_blocks_multi_output(_more, x.rechunk(1000), outputs=2, dtypes=[float, bool])
+    return table(more=cg.round(more, 4), large=large, scalar=cg.round(cg.frompyfunc(_tenfold, 2, 1)(x, x), 4), root=cg.wrap_elemwise(np.sqrt)(x))
+
+
+def _more(v):
+    return v + 1, v > 100000
+
+
+def _tenfold(a, b):
+    return a * 10 + b
+
+
+@query(f"""SELECT i AS i0, {R("v", 4)} AS v FROM {O}""")
+def overlap_and_trim(spark, d):
+    x = price(spark, d).rechunk(1000)
+    return table(4, v=cg.trim_overlap(cg.overlap(x, {0: 2}, {0: "reflect"}), {0: 2}, {0: "reflect"}))
+
+
+@query(f"""SELECT i - 16 AS i0, j - 32 AS i1, {R("v")} AS v FROM {M} WHERE i >= 16 AND i < 32 AND j >= 32""")
+def one_block(spark, d):
+    return table(v=matrix(spark, d).rechunk((16, 32)).blocks[1, 1])
+
+
+# -- transforms, storage ---------------------------------------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT i AS i0, j // 8 AS i1, j % 8 AS i2, {R("v")} AS plane, {R("v")} AS axes, {R("v")} AS half, {R("v")} AS real_axes FROM {M}""")
+def fft_planes(spark, d):
+    x = matrix(spark, d).reshape((-1, 8, 8))
+    fft = cg.fft
+    return table(
+        plane=cg.real(fft.ifft2(fft.fft2(x))), axes=cg.real(fft.ifftn(fft.fftn(x, axes=(1, 2)), axes=(1, 2))), half=cg.real(fft.irfft2(fft.rfft2(x))), real_axes=cg.real(fft.irfftn(fft.rfftn(x, axes=(1, 2)), axes=(1, 2)))
+    )
+
+
+@query(f"""SELECT i AS i0, j AS i1, {R("v")} AS complex, {R("v")} AS hermitian, {R("v")} AS shifted FROM {M}""")
+def fft_inverses(spark, d):
+    x = matrix(spark, d)
+    fft = cg.fft
+    return table(complex=cg.real(fft.ifft(fft.fft(x))), hermitian=cg.real(fft.hfft(fft.ihfft(x), 64)), shifted=fft.ifftshift(fft.fftshift(x, axes=1), axes=1))
+
+
+@query(f"""SELECT i AS i0, j AS i1, {R("v")} AS zarr, {R("v")} AS stack, {R("v")} AS stored FROM {M}""")
+def storage_round_trips(spark, d):
+    """Blocks written as Zarr, as a stack of .npy files and as a stored target in the scratch folder of the session, and read again."""
+    import uuid
+
+    x = matrix(spark, d).rechunk((1000, 64))
+    path = f"{_scratch(spark)}/cells-{uuid.uuid4().hex}"
+    cg.to_zarr(x, f"{path}-zarr")
+    cg.to_npy_stack(f"{path}-npy", x)
+    return table(zarr=cg.from_zarr(f"{path}-zarr"), stack=cg.from_npy_stack(f"{path}-npy"), stored=cg.store(x, f"{path}-stored", return_stored=True))
+
+
+@query("""SELECT CAST(i * 10 + j AS BIGINT) AS v, CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1 FROM range(4) a(i), range(10) b(j)""")
+def delayed_block(spark, d):
+    return table(v=cg.from_delayed(_forty, (4, 10), dtype="int64"))
+
+
+def _forty():
+    return np.arange(40).reshape(4, 10)
+
+
+# -- random arrays: means of what each distribution draws, beside the exact ones -----------------------------------------------------------------------------------
+#: How each is drawn (size n), up to which value cells are counted (None: the cells themselves are taken) and the exact mean of that.
+DRAWS = {
+    "beta": (lambda g, n: g.beta(2, 2, size=n), 0.5, 0.5),
+    "binomial": (lambda g, n: g.binomial(10, 0.5, size=n), 4, 386 / 1024),
+    "chisquare": (lambda g, n: g.chisquare(2, size=n), 2 * np.log(2), 0.5),
+    "choice": (lambda g, n: g.choice(5, size=n), 1, 0.4),
+    "exponential": (lambda g, n: g.exponential(2, size=n), 2 * np.log(2), 0.5),
+    "f": (lambda g, n: g.f(2, 2, size=n), 1, 0.5),
+    "gamma": (lambda g, n: g.gamma(1, 2, size=n), 2 * np.log(2), 0.5),
+    "geometric": (lambda g, n: g.geometric(0.25, size=n), 2, 0.4375),
+    "gumbel": (lambda g, n: g.gumbel(0, 1, size=n), 0, np.exp(-1)),
+    "hypergeometric": (lambda g, n: g.hypergeometric(2, 2, 2, size=n), 1, 5 / 6),
+    "integers": (lambda g, n: g.integers(0, 10, size=n), 3, 0.4),
+    "laplace": (lambda g, n: g.laplace(0, 1, size=n), np.log(2), 0.75),
+    "logistic": (lambda g, n: g.logistic(0, 1, size=n), np.log(3), 0.75),
+    "lognormal": (lambda g, n: g.lognormal(0, 1, size=n), 1, 0.5),
+    "logseries": (lambda g, n: g.logseries(0.5, size=n), 1, 0.5 / np.log(2)),
+    "multinomial": (lambda g, n: g.multinomial(10, [0.2, 0.8], size=n)[:, 0], None, 2.0),
+    "multivariate_hypergeometric": (lambda g, n: g.multivariate_hypergeometric([2, 2], 2, size=n)[:, 0], None, 1.0),
+    "negative_binomial": (lambda g, n: g.negative_binomial(1, 0.5, size=n), 0, 0.5),
+    "noncentral_chisquare": (lambda g, n: g.noncentral_chisquare(2, 2, size=n), None, 4.0),
+    "noncentral_f": (lambda g, n: g.noncentral_f(2, 10, 2, size=n), None, 2.5),
+    "normal": (lambda g, n: g.normal(1, 2, size=n), None, 1.0),
+    "pareto": (lambda g, n: g.pareto(1, size=n), 1, 0.5),
+    "permutation": (lambda g, n: g.permutation(n), 19_999, 0.5),
+    "poisson": (lambda g, n: g.poisson(2, size=n), 1, 3 * np.exp(-2)),
+    "power": (lambda g, n: g.power(2, size=n), 0.5, 0.25),
+    "randint": (lambda g, n: g.randint(0, 10, size=n), 3, 0.4),
+    "random": (lambda g, n: g.random(n), 0.25, 0.25),
+    "random_integers": (lambda g, n: g.random_integers(6, size=n), 2, 1 / 3),
+    "random_sample": (lambda g, n: g.random_sample(n), 0.25, 0.25),
+    "rayleigh": (lambda g, n: g.rayleigh(1, size=n), np.sqrt(2 * np.log(2)), 0.5),
+    "standard_cauchy": (lambda g, n: g.standard_cauchy(size=n), 1, 0.75),
+    "standard_exponential": (lambda g, n: g.standard_exponential(size=n), np.log(2), 0.5),
+    "standard_gamma": (lambda g, n: g.standard_gamma(1, size=n), np.log(2), 0.5),
+    "standard_normal": (lambda g, n: g.standard_normal(size=n), 0, 0.5),
+    "standard_t": (lambda g, n: g.standard_t(1, size=n), 1, 0.75),
+    "tomaxint": (lambda g, n: g.tomaxint(size=n), 2**62, 0.5),
+    "triangular": (lambda g, n: g.triangular(0, 1, 2, size=n), 1, 0.5),
+    "uniform": (lambda g, n: g.uniform(0, 4, size=n), 1, 0.25),
+    "vonmises": (lambda g, n: g.vonmises(0, 1, size=n), 0, 0.5),
+    "wald": (lambda g, n: g.wald(1, 1, size=n), None, 1.0),
+    "weibull": (lambda g, n: g.weibull(2, size=n), np.sqrt(np.log(2)), 0.5),
+    "zipf": (lambda g, n: g.zipf(2, size=n), 1, 6 / np.pi**2),
+}
+
+
+@query("SELECT unnest(['" + "', '".join(DRAWS) + "']) AS name, 40000::BIGINT AS cells, true AS near")
+def random_distributions(spark, d):
+    """One row a distribution: the mean of 40,000 cells is within five standard errors of the exact one."""
+    from functools import reduce
+
+    generator, rows = cg.random.RandomState(11), []
+    for name, (draw, most, mean) in DRAWS.items():
+        cells = draw(generator, 40_000).cells()
+        x = F.col(cells.columns[-1]) if most is None else (F.col(cells.columns[-1]) <= most).cast("double")
+        error = F.stddev_samp(x) / F.sqrt(F.count(x))
+        rows.append(cells.agg(F.lit(name).alias("name"), F.count(x).alias("cells"), (F.abs(F.avg(x) - float(mean)) <= 5 * error).alias("near")))
+    return reduce(DataFrame.union, rows)
+
+
+@query("""SELECT CAST(k AS BIGINT) AS i0, true AS same FROM range(70000) t(k)""")
+def random_seeds(spark, d):
+    """Two generators of one seed draw the same cells."""
+    return table(same=cg.default_rng(5).normal(size=70_000) == cg.default_rng(5).normal(size=70_000))
