@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.core import Array, Axis, axis_number, axis_numbers, fresh, from_cells, spark_type
-from cellgrid.operators.elementwise import align, asarray
+from cellgrid.core import Array, Axis, active, axis_number, axis_numbers, fresh, from_cells, spark_type
+from cellgrid.operators.elementwise import BROADCAST_CELLS, align, asarray, crossed
 
 BLOCK_BYTES = 16 * 2**20
 
@@ -120,11 +120,13 @@ def unify_chunks(*args):
 
 # -- cells to blocks and back --------------------------------------------------------------------------------------------------------------------------------
 def block_number(position, sizes: tuple):
-    """The block of a position: a division for equal sizes, else a search in the literal ends."""
+    """The block of a position: a division for equal sizes, the first and a shorter last one aside, else a search in the literal ends."""
     if len(sizes) == 1:
         return F.lit(0)
     if len(set(sizes[:-1])) <= 1 and sizes[-1] <= sizes[0]:
         return F.call_function("div", position, F.lit(sizes[0])).cast("int")
+    if len(set(sizes[1:-1])) == 1 and sizes[-1] <= sizes[1] and sizes[1]:
+        return F.when(position < sizes[0], F.lit(0)).otherwise(F.call_function("div", position - sizes[0], F.lit(sizes[1])).cast("int") + 1)
     ends = np.cumsum(sizes)
 
     def search(lo: int, hi: int):
@@ -346,13 +348,24 @@ def overlap(x: Array, depth, boundary=None) -> Array:
         hi = [min(sum(c) + (d if shift[k] else 0), s + n + d) for s, n in zip(starts, c, strict=True)]
         own = [h - a for a, h in zip(lo, hi, strict=True)]
         out_sizes.append(tuple(own))
-        begin = [0, *itertools.accumulate(own)][:-1]
         position = F.col(f"i{k}") - shift[k]
-        places = F.array_compact(F.array(*[F.when((position >= a) & (position < h), position - a + s) for a, h, s in zip(lo, hi, begin, strict=True)]))
-        cells = cells.withColumn("_t", F.explode(places)).drop(f"i{k}").withColumnRenamed("_t", f"i{k}")
+        empty, last = c.count(0), F.lit(len(c) - 1)
+        inside = lambda p, n=sum(c): F.least(F.greatest(p, F.lit(0)), F.lit(max(n - 1, 0)))
+        first, final = block_number(inside(position - d), c), block_number(inside(position + d), c)
+        dealt = cells.withColumn("_b", F.explode(F.sequence(F.greatest(first - empty, F.lit(0)).cast("int"), F.least(final + empty, last).cast("int"))))
+        cells = _moved(dealt, k, position, lo, hi)
     return from_cells(cells.select(*[F.col(f"i{k}").cast("bigint").alias(f"i{k}") for k in range(x.ndim)], "v"), [sum(s) for s in out_sizes], x.dtype, tuple(out_sizes))
 
 
+def _moved(cells: DataFrame, k: int, position, lo, hi) -> DataFrame:
+    """The cells whose position is within lo..hi of their block `_b`, at their places when those ranges follow one another: a join with the blocks' ranges."""
+    lo, hi = np.asarray(lo, np.int64), np.asarray(hi, np.int64)
+    begin = np.r_[0, np.cumsum(hi - lo)][:-1]
+    ranges = active().createDataFrame(pa.table({"_b": np.arange(len(lo), dtype=np.int32), "_lo": lo, "_hi": hi, "_move": begin - lo}))
+    joined = cells.withColumn("_p", position.cast("bigint")).join(F.broadcast(ranges) if len(lo) <= BROADCAST_CELLS else ranges, "_b")
+    return joined.where("_p >= _lo and _p < _hi").withColumn(f"i{k}", F.col("_p") + F.col("_move")).drop("_b", "_p", "_lo", "_hi", "_move")
+
+
 def trim_overlap(x: Array, depth, boundary=None) -> Array:
     """Takes the neighbours' cells off again."""
     depth = {k: depth for k in range(x.ndim)} if np.isscalar(depth) else dict(depth)
@@ -363,12 +376,9 @@ def trim_overlap(x: Array, depth, boundary=None) -> Array:
         first = d if kind not in (None, "none") else 0
         starts = starts_of((c,))[0]
         keep = [(s + (d if j or first else 0), s + n - (d if j < len(c) - 1 or first else 0)) for j, (s, n) in enumerate(zip(starts, c, strict=True))]
-        own = [b - a for a, b in keep]
-        begin = [0, *itertools.accumulate(own)][:-1]
+        out_sizes.append(tuple(b - a for a, b in keep))
         position = F.col(f"i{k}")
-        place = F.coalesce(*[F.when((position >= a) & (position < b), position - a + s) for (a, b), s in zip(keep, begin, strict=True)])
-        cells = cells.withColumn(f"i{k}", place.cast("bigint")).where(F.col(f"i{k}").isNotNull())
-        out_sizes.append(tuple(own))
+        cells = _moved(cells.withColumn("_b", block_number(position, c).cast("int")), k, position, *zip(*keep, strict=True))
     return from_cells(cells, [sum(s) for s in out_sizes], x.dtype, tuple(out_sizes))
 
 
@@ -487,7 +497,12 @@ def apply_gufunc(func: Callable, signature: str, *args, axes=None, axis=None, ke
         cell = a.df.select(*[ax.position.alias(f"l{k}") for k, ax in zip(range(len(loop) - len(head), len(loop)), head, strict=True) if k in own], F.struct(*[ax.position.alias(f"c{i}") for i, ax in enumerate(a.axes[a.ndim - len(core) :])], a.value.alias("v")).alias("x"))
         packed = cell.groupBy(*[f"l{k}" for k in own]).agg(F.collect_list("x").alias(f"x{j}"))
         on = [c for c in packed.columns if joined is not None and c in joined.columns]
-        joined = packed if joined is None else joined.join(packed, on) if on else joined.crossJoin(packed)
+        n = None if None in a.shape_or_none else a.size
+        if joined is None:
+            joined, held = packed, n
+        else:
+            joined = joined.join(packed, on) if on else crossed(joined, held, packed, n)
+            held = None if held is None or n is None else held + n if on else held * n
     for k in range(len(loop)):
         if f"l{k}" not in joined.columns:
             joined = joined.withColumn(f"l{k}", F.lit(0).cast("bigint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.core import Array, Axis, active, fresh, from_cells, literal, spark_type
@@ -57,6 +57,14 @@ def fused(arrays: list[Array]) -> list[Array]:
     return out
 
 
+def crossed(left: DataFrame, left_cells: int | None, right: DataFrame, right_cells: int | None) -> DataFrame:
+    """Each row of one frame with each of the other, the smaller one broadcast. Refused unless a side is known to have at most BROADCAST_CELLS cells."""
+    small = [(n, k) for k, n in enumerate((left_cells, right_cells)) if n is not None and n <= BROADCAST_CELLS]
+    if not small:
+        raise ValueError(f"an outer product of {left_cells} by {right_cells} cells: one side must be known to have at most {BROADCAST_CELLS}; slice it, or call compute_chunk_sizes")
+    return left.crossJoin(F.broadcast(right)) if min(small)[1] else F.broadcast(left).crossJoin(right)
+
+
 def align(arrays: list[Array]) -> tuple[Array, list[Column]]:
     """One frame for all: its axes (value aside) and each array's value in it.
 
@@ -89,11 +97,14 @@ def align(arrays: list[Array]) -> tuple[Array, list[Column]]:
             joined, have, size = side, set(at), own
             continue
         keys = [names[k] for k in at if k in have]
-        if own is not None and own <= BROADCAST_CELLS and (size is None or own <= size):
-            side = F.broadcast(side)
+        if not keys:
+            joined = crossed(joined, size, side, own)
+        elif own is not None and own <= BROADCAST_CELLS and (size is None or own <= size):
+            joined = joined.join(F.broadcast(side), keys)
         elif size is not None and size <= BROADCAST_CELLS:
-            joined = F.broadcast(joined)
-        joined = joined.join(side, keys) if keys else joined.crossJoin(side)
+            joined = F.broadcast(joined).join(side, keys)
+        else:
+            joined = joined.join(side, keys)
         have |= set(at)
         size = None if own is None or size is None else int(np.prod([shape[k] for k in have], dtype=np.int64))
     return Array(joined, [Axis(names[k] if k in have else None, 0, n) for k, n in enumerate(shape)], F.lit(None), float), values
@@ -380,11 +391,12 @@ def broadcast_to(x, shape) -> Array:
     if broadcast_shapes(x.shape_or_none, shape) != tuple(shape):
         raise ValueError(f"{x.shape} does not broadcast to {shape}")
     axes = [Axis(None)] * (len(shape) - x.ndim) + list(x.axes)
-    df = x.df
+    df, cells = x.df, None if None in x.shape_or_none else x.size
     for k, n in enumerate(shape):
         if axes[k].size == 1 and n != 1:
             name = fresh("b")
-            df = df.crossJoin(F.broadcast(index_frame(active(), n).withColumnRenamed("id", name)) if n <= BROADCAST_CELLS else index_frame(active(), n).withColumnRenamed("id", name))
+            df = crossed(df, cells, index_frame(active(), n).withColumnRenamed("id", name), n)
+            cells = None if cells is None else cells * n
             axes[k] = Axis(name, 0, n)
     return Array(df, axes, x.value, x.dtype)
 

@@ -6,6 +6,8 @@ blocks and of the stacked R factors, in a tree. Square factorisations hold the m
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from cellgrid.core import Array, Axis, axis_numbers, fresh, from_cells, spark_type
 from cellgrid.functions import scalar
 from cellgrid.operators.blocks import fill, schema_of, spread
-from cellgrid.operators.elementwise import asarray, elemwise, result_type
+from cellgrid.operators.elementwise import asarray, crossed, elemwise, result_type
 from cellgrid.operators.shape import expand_dims, ravel, transpose
 
 #: Cells that one task may hold for a square factorisation (half a gigabyte of doubles).
@@ -61,7 +63,7 @@ def einsum(subscripts: str, *operands, dtype=None, **kwargs) -> Array:
             joined = side
         else:
             on = [names[c] for c in own if c in have]
-            joined = joined.join(side, on) if on else joined.crossJoin(side)
+            joined = joined.join(side, on) if on else crossed(joined, _cells(have, sizes), side, _cells(own, sizes))
         have.update(dict.fromkeys(own))
     keys = [names[c] for c in out if c in have]
     if dtype.kind == "c":
@@ -73,6 +75,11 @@ def einsum(subscripts: str, *operands, dtype=None, **kwargs) -> Array:
     return Array(df, [Axis(names[c] if c in have else None, 0, sizes[c]) for c in out], F.col(result).cast(spark_type(dtype)), dtype)
 
 
+def _cells(labels, sizes: dict) -> int | None:
+    """How many cells positions by these labels make; None if a size is unknown."""
+    return None if any(sizes[c] is None for c in labels) else math.prod(sizes[c] for c in labels)
+
+
 def _times(a, b, dtype: np.dtype):
     if dtype.kind == "c":
         both = np.dtype(complex)

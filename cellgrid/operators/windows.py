@@ -203,8 +203,6 @@ def _gradient(f: Array, k: int, h, edge_order: int) -> Array:
         else:
             first, last = (-1.5 * v[0] + 2 * v[1] - 0.5 * v[2]) / h, (1.5 * v[0] - 2 * v[-1] + 0.5 * v[-2]) / h
     else:
-        if edge_order != 1:
-            raise NotImplementedError("edge_order=2 with coordinates")
         # each position's distances to its neighbours, by a join
         x = np.asarray(h, float)
         place, left, right = fresh("p"), fresh("l"), fresh("r")
@@ -215,6 +213,12 @@ def _gradient(f: Array, k: int, h, edge_order: int) -> Array:
         left, right = F.col(left), F.col(right)
         inner = (v[1] * left * left - v[-1] * right * right + v[0] * (right * right - left * left)) / (left * right * (left + right))
         first, last = (v[1] - v[0]) / right, (v[0] - v[-1]) / left
+        if edge_order == 2:
+            # slopes at the ends of the parabolas through the first and the last three cells
+            p, q = float(steps[0]), float(steps[1])
+            first = v[0] * (-(2 * p + q) / (p * (p + q))) + v[1] * ((p + q) / (p * q)) - v[2] * (p / (q * (p + q)))
+            p, q = float(steps[-1]), float(steps[-2])
+            last = v[0] * ((2 * p + q) / (p * (p + q))) - v[-1] * ((p + q) / (p * q)) + v[-2] * (p / (q * (p + q)))
     value = F.when(position == 0, first).when(position == n - 1, last).otherwise(inner)
     return Array(df, f.axes, value, float)
 

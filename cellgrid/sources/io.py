@@ -1,4 +1,4 @@
-"""Sources and sinks: Parquet cells, stacks of .npy files, Zarr (version 2) directories, stored targets. HDF5 and TileDB need their own libraries."""
+"""Sources and sinks: Parquet cells, stacks of .npy files, Zarr directories (versions 2 and 3), stored targets. HDF5 and TileDB need their own libraries."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import itertools
 import json
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,7 @@ def write_files(files, dirname: str) -> None:
             for batch in batches:
                 for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     path = os.path.join(base, name)
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
                     with open(path + ".part", "wb") as f:
                         f.write(content)
                     os.replace(path + ".part", path)
@@ -127,7 +129,7 @@ def from_npy_stack(dirname: str, mmap_mode: str = "r") -> Array:
     info = json.loads(read_text(f"{dirname}/info.json"))
     sizes, axis, dtype = tuple(map(tuple, info["chunks"])), info["axis"], np.dtype(info["dtype"])
     starts = starts_of(sizes)[axis]
-    return _from_files(f"{dirname}/*.npy", sizes, dtype, lambda name, data: (np.load(io.BytesIO(data)), [starts[int(name[:-4])] if k == axis else 0 for k in range(len(sizes))]))
+    return _from_files(f"{dirname}/*.npy", sizes, dtype, lambda path, data: (np.load(io.BytesIO(data)), [starts[int(path.rsplit('/', 1)[1][:-4])] if k == axis else 0 for k in range(len(sizes))]))
 
 
 def _from_files(pattern: str, sizes: tuple, dtype: np.dtype, read) -> Array:
@@ -136,70 +138,159 @@ def _from_files(pattern: str, sizes: tuple, dtype: np.dtype, read) -> Array:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block, start = read(path.rsplit("/", 1)[1], content)
+                block, start = read(path, content)
                 yield from spread(block, start, dtype).to_batches(max_chunksize=1 << 16)
 
     return from_cells(files.mapInArrow(run, schema_of(len(sizes), dtype)), [sum(c) for c in sizes], dtype, sizes)
 
 
-# -- Zarr, version 2 -------------------------------------------------------------------------------------------------------------------------------------------
+# -- Zarr, versions 2 and 3 ------------------------------------------------------------------------------------------------------------------------------------
 def _codec(config) -> tuple:
+    """Encoder and decoder of a compressor {id, level}; None compresses nothing."""
     if config is None:
         return (lambda b: b), (lambda b: b)
+    level = config.get("level")
     if config["id"] in ("zlib", "gzip"):
-        return (lambda b: zlib.compress(b, config.get("level", 1))), (lambda b: zlib.decompress(b, 47))
+
+        def deflate(data: bytes) -> bytes:
+            made = zlib.compressobj(1 if level is None else level, zlib.DEFLATED, 31 if config["id"] == "gzip" else 15)
+            return made.compress(data) + made.flush()
+
+        return deflate, (lambda b: zlib.decompress(b, 47))
     if config["id"] == "zstd":
         import zstandard
 
-        return (lambda b: zstandard.ZstdCompressor(level=config.get("level", 3)).compress(b)), (lambda b: zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 31))
+        return (lambda b: zstandard.ZstdCompressor(level=3 if level is None else level).compress(b)), (lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b))
     raise NotImplementedError(f"compressor {config['id']}")
 
 
-def to_zarr(x: Array, url: str, component: str | None = None, compressor=("zstd", 3), overwrite: bool = False, **kwargs) -> None:
-    """A Zarr directory with equal chunks; chunks at the end are filled up."""
+@dataclass(frozen=True)
+class _Layout:
+    """What either version's metadata say of an array and of its chunk files."""
+
+    shape: tuple
+    side: tuple
+    dtype: np.dtype
+    fill: object
+    order: tuple
+    codecs: list
+    prefix: str
+    separator: str
+
+    @property
+    def pattern(self) -> str:
+        """Glob of the chunk files below the array's folder."""
+        lead = f"c{self.separator}" if self.prefix else ""
+        return lead + ("/".join(["[0-9]*"] * len(self.shape)) if self.separator == "/" else "[0-9]*")
+
+    def start(self, path: str) -> list[int]:
+        """First position of the chunk in a file."""
+        depth = len(self.shape) if self.separator == "/" else 1
+        numbers = "/".join(path.rsplit("/", depth)[1:]).removeprefix(f"c{self.separator}" if self.prefix else "")
+        return [int(b) * c for b, c in zip(numbers.split(self.separator), self.side, strict=True)]
+
+    def block(self, data: bytes) -> np.ndarray:
+        for config in reversed(self.codecs):
+            data = _codec(config)[1](data)
+        stored = np.frombuffer(data, self.dtype).reshape([self.side[k] for k in self.order])
+        return stored.transpose(np.argsort(self.order))
+
+
+def _fill_value(value, dtype: np.dtype):
+    if isinstance(value, (list, tuple)):
+        return complex(*[float(str(v).replace("Infinity", "inf")) for v in value])
+    if isinstance(value, str):
+        return float(value.replace("Infinity", "inf"))
+    return dtype.type(0 if value is None else value).item()
+
+
+def _layout(url: str) -> _Layout:
+    fs, _ = _fs(url)
+    if fs.exists(_fs(f"{url}/zarr.json")[1]):
+        meta = json.loads(read_text(f"{url}/zarr.json"))
+        if meta["zarr_format"] != 3 or meta["node_type"] != "array" or meta["chunk_grid"]["name"] != "regular" or meta.get("storage_transformers"):
+            raise NotImplementedError("a Zarr array of version 3 on a regular grid")
+        dtype, ndim = np.dtype(meta["data_type"]), len(meta["shape"])
+        order, codecs = tuple(range(ndim)), []
+        for codec in meta["codecs"]:
+            name, settings = codec["name"], codec.get("configuration", {})
+            if name == "transpose":
+                order = tuple(order[k] for k in settings["order"])
+            elif name == "bytes":
+                dtype = dtype.newbyteorder(">" if settings.get("endian") == "big" else "<")
+            else:
+                codecs.append({"id": name, **settings})
+        keys = meta.get("chunk_key_encoding", {"name": "default"})
+        default = keys["name"] == "default"
+        separator = keys.get("configuration", {}).get("separator", "/" if default else ".")
+        layout = _Layout(tuple(meta["shape"]), tuple(meta["chunk_grid"]["configuration"]["chunk_shape"]), dtype, _fill_value(meta["fill_value"], dtype), order, codecs, "c" if default else "", separator)
+    else:
+        meta = json.loads(read_text(f"{url}/.zarray"))
+        if meta["zarr_format"] != 2 or meta.get("filters"):
+            raise NotImplementedError("Zarr version 2 with filters")
+        dtype, ndim = np.dtype(meta["dtype"]), len(meta["shape"])
+        order = tuple(range(ndim)) if meta.get("order", "C") == "C" else tuple(range(ndim))[::-1]
+        codecs = [meta["compressor"]] if meta["compressor"] else []
+        layout = _Layout(tuple(meta["shape"]), tuple(meta["chunks"]), dtype, _fill_value(meta["fill_value"], dtype), order, codecs, "", meta.get("dimension_separator", "."))
+    for config in layout.codecs:
+        _codec(config)
+    return layout
+
+
+def to_zarr(x: Array, url: str, component: str | None = None, compressor=("zstd", 3), overwrite: bool = False, zarr_format: int = 2, **kwargs) -> None:
+    """A Zarr directory (version 2 or 3) with equal chunks; chunks at the end are filled up."""
     url = url if component is None else f"{url}/{component}"
     if any(len(set(c[:-1])) > 1 or c[-1] > c[0] for c in x.chunks):
         raise ValueError("Zarr needs equal chunks; call rechunk")
+    if zarr_format not in (2, 3):
+        raise ValueError(f"Zarr version {zarr_format}")
+    if zarr_format == 3 and compressor and compressor[0] == "zlib":
+        compressor = ("gzip", compressor[1])
     side = tuple(max(1, c[0]) for c in x.chunks)
     config = {"id": compressor[0], "level": compressor[1]} if compressor else None
     encode, _ = _codec(config)
     sizes, origins, dtype, ndim = x.chunks, starts_of(x.chunks), x.dtype, x.ndim
+    lead, separator = ("c/", "/") if zarr_format == 3 else ("", ".")
 
     def kernel(key, table):
         block = [k.as_py() for k in key]
         data = fill(table, [f"i{k}" for k in range(ndim)], [o[b] for o, b in zip(origins, block, strict=True)], side, dtype)
-        return pa.table({"name": [".".join(map(str, block))], "content": pa.array([encode(data.tobytes())], pa.binary())})
+        return pa.table({"name": [lead + separator.join(map(str, block))], "content": pa.array([encode(data.tobytes())], pa.binary())})
 
     write_files(block_frame(x, sizes).groupBy(*[f"b{k}" for k in range(ndim)]).applyInArrow(kernel, "name string, content binary"), url)
-    write_text(f"{url}/.zarray", json.dumps({"zarr_format": 2, "shape": x.shape_or_none, "chunks": side, "dtype": dtype.str, "compressor": config, "fill_value": 0, "order": "C", "filters": None}))
+    if zarr_format == 2:
+        write_text(f"{url}/.zarray", json.dumps({"zarr_format": 2, "shape": x.shape_or_none, "chunks": side, "dtype": dtype.str, "compressor": config, "fill_value": 0, "order": "C", "filters": None}))
+        return
+    codecs = [{"name": "bytes", "configuration": {"endian": "little"}}]
+    if config:
+        codecs.append({"name": config["id"], "configuration": {"level": config["level"], **({"checksum": False} if config["id"] == "zstd" else {})}})
+    fill_value = False if dtype.kind == "b" else [0.0, 0.0] if dtype.kind == "c" else 0
+    grid = {"name": "regular", "configuration": {"chunk_shape": side}}
+    keys = {"name": "default", "configuration": {"separator": "/"}}
+    write_text(f"{url}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "array", "shape": x.shape_or_none, "data_type": dtype.name, "chunk_grid": grid, "chunk_key_encoding": keys, "fill_value": fill_value, "codecs": codecs, "attributes": {}}))
 
 
 def from_zarr(url: str, component: str | None = None, chunks=None, **kwargs) -> Array:
-    """Chunk files become tasks; chunks that are not there hold the fill value."""
+    """A Zarr array of version 2 (no filters) or 3 (no sharding). Chunk files become tasks; chunks that are not there hold the fill value."""
+    from cellgrid.sources.creation import full
+
     url = url if component is None else f"{url}/{component}"
-    meta = json.loads(read_text(f"{url}/.zarray"))
-    if meta["zarr_format"] != 2 or meta.get("filters"):
-        raise NotImplementedError("Zarr version 2 without filters")
-    shape, side, dtype = tuple(meta["shape"]), tuple(meta["chunks"]), np.dtype(meta["dtype"])
-    _, decode = _codec(meta["compressor"])
-    sep, order = meta.get("dimension_separator", "."), meta.get("order", "C")
-
-    def read(name: str, data: bytes):
-        start = [int(b) * c for b, c in zip(name.split(sep), side, strict=True)]
-        block = np.frombuffer(decode(data), dtype).reshape(side, order=order)
-        return block[tuple(slice(0, n - s) for n, s in zip(shape, start, strict=True))], start
-
-    sizes = normalize_chunks(side, shape)
-    out = _from_files(f"{url}/[0-9]*", sizes, dtype, read)
-    fs, where = _fs(url)
-    there = sum(1 for f in fs.listStatus(where) if f.getPath().getName()[:1].isdigit())
-    if there < math.prod(map(len, sizes)):
-        from cellgrid.sources.creation import full
-
-        base = full(shape, meta["fill_value"] or 0, dtype).cells()
+    layout = _layout(url)
+    shape, native = layout.shape, layout.dtype.newbyteorder("=")
+
+    def read(path: str, data: bytes):
+        start = layout.start(path)
+        return layout.block(data)[tuple(slice(0, n - s) for n, s in zip(shape, start, strict=True))].astype(native), start
+
+    sizes = normalize_chunks(layout.side, shape)
+    fs, where = _fs(f"{url}/{layout.pattern}")
+    there = len(fs.globStatus(where) or [])
+    out = _from_files(f"{url}/{layout.pattern}", sizes, native, read) if there else full(shape, layout.fill, native)
+    if 0 < there < math.prod(map(len, sizes)):
+        base = full(shape, layout.fill, native).cells()
         keys = [f"i{k}" for k in range(len(shape))]
         joined = base.withColumnRenamed("v", "w").join(out.cells(), keys, "left").select(*keys, F.coalesce("v", "w").alias("v"))
-        out = from_cells(joined, shape, dtype, sizes)
+        out = from_cells(joined, shape, native, sizes)
     return rechunk(out, chunks) if chunks is not None else out
 
 

@@ -193,7 +193,11 @@ def test_files(spark, tmp_path):
     for k, codec in enumerate((None, ("zlib", 1), ("zstd", 3))):
         x.to_zarr(f"{tmp_path}/z{k}", compressor=codec)
         same(cg.from_zarr(f"{tmp_path}/z{k}")[:, 1:], X[:, 1:])
+        x.to_zarr(f"{tmp_path}/y{k}", compressor=codec, zarr_format=3)
+        same(cg.from_zarr(f"{tmp_path}/y{k}")[:, 1:], X[:, 1:])
     (tmp_path / "z0" / "1.0").unlink()
+    (tmp_path / "y0" / "c" / "1" / "0").unlink()
+    assert (cg.from_zarr(f"{tmp_path}/y0").compute()[4:, :3] == 0).all()
     assert (cg.from_zarr(f"{tmp_path}/z0").compute()[4:, :3] == 0).all()
     target = np.zeros((8, 12))
     cg.store(x, target, regions=(slice(1, 7), slice(2, 12)))
@@ -322,3 +326,66 @@ def test_many_marks_and_bins(spark):
     w = np.r_[v, np.linspace(-2, 3, 2001)]
     counts, edges = cg.histogram(cg.from_array(w), bins=2000, range=(-2, 3))
     same(counts, np.histogram(w, 2000, (-2, 3))[0])
+
+
+def test_zarr_layouts(spark, tmp_path):
+    """Files written by hand after the two specifications: byte order, order of axes, separators, fill values, no chunks at all."""
+    import gzip
+    import json
+
+    (tmp_path / "a" / "c" / "0").mkdir(parents=True)
+    (tmp_path / "a" / "c" / "1").mkdir()
+    grid = {"name": "regular", "configuration": {"chunk_shape": [2, 2]}}
+    codecs = [{"name": "transpose", "configuration": {"order": [1, 0]}}, {"name": "bytes", "configuration": {"endian": "big"}}, {"name": "gzip", "configuration": {"level": 5}}]
+    meta = {"zarr_format": 3, "node_type": "array", "shape": [3, 2], "data_type": "int32", "chunk_grid": grid, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": -7, "codecs": codecs}
+    (tmp_path / "a" / "zarr.json").write_text(json.dumps(meta))
+    (tmp_path / "a" / "c" / "0" / "0").write_bytes(gzip.compress(np.array([[1, 2], [3, 4]], ">i4").T.tobytes()))
+    same(cg.from_zarr(f"{tmp_path}/a"), [[1, 2], [3, 4], [-7, -7]])
+    (tmp_path / "a" / "c" / "1" / "0").write_bytes(gzip.compress(np.array([[5, 6], [0, 0]], ">i4").T.tobytes()))
+    same(cg.from_zarr(f"{tmp_path}/a"), [[1, 2], [3, 4], [5, 6]])
+    (tmp_path / "b").mkdir()
+    meta = {**meta, "data_type": "float64", "fill_value": "NaN", "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}], "chunk_key_encoding": {"name": "v2", "configuration": {"separator": "."}}}
+    (tmp_path / "b" / "zarr.json").write_text(json.dumps(meta))
+    assert np.isnan(cg.from_zarr(f"{tmp_path}/b").compute()).all()
+    (tmp_path / "b" / "1.0").write_bytes(np.array([[8.0, 9], [0, 0]]).tobytes())
+    same(cg.from_zarr(f"{tmp_path}/b"), [[np.nan] * 2, [np.nan] * 2, [8, 9]])
+    (tmp_path / "d" / "0").mkdir(parents=True)
+    (tmp_path / "d" / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [2, 3], "chunks": [2, 3], "dtype": "<f4", "compressor": None, "fill_value": None, "order": "F", "filters": None, "dimension_separator": "/"}))
+    (tmp_path / "d" / "0" / "0").write_bytes(np.arange(6, dtype="<f4").reshape(2, 3).tobytes("F"))
+    same(cg.from_zarr(f"{tmp_path}/d"), np.arange(6).reshape(2, 3))
+    (tmp_path / "b" / "zarr.json").write_text(json.dumps({**meta, "codecs": [{"name": "sharding_indexed", "configuration": {}}]}))
+    with pytest.raises(NotImplementedError):
+        cg.from_zarr(f"{tmp_path}/b")
+
+
+@pytest.mark.parametrize("sizes", [(4, 4, 2), (4, 2, 2, 2), (1, 6, 3), (1,) * 10, (10,)])
+@pytest.mark.parametrize("boundary", ["none", "reflect"])
+def test_overlap_of_any_blocks(spark, sizes, boundary):
+    v = np.arange(10.0)
+    x = cg.from_array(v).rechunk((sizes,))
+    got = cg.overlap(x, {0: 2}, {0: boundary})
+    padded, shift = (np.pad(v, 2, mode="symmetric"), 2) if boundary == "reflect" else (v, 0)
+    ends = np.cumsum(sizes)
+    parts = [padded[max(0, e - n - 2 + shift) : e + 2 + shift] for n, e in zip(sizes, ends, strict=True)]
+    assert got.chunks[0] == tuple(map(len, parts))
+    same(got, np.concatenate(parts))
+    if min(sizes) >= 2:
+        same(cg.trim_overlap(got, {0: 2}, {0: boundary}), v)
+
+
+def test_outer_products_of_two_large_sides_are_refused(spark, orders, monkeypatch):
+    from cellgrid.operators import elementwise
+
+    line = cg.arange(1500)
+    assert cg.outer(orders[:3], line[:4]).compute().shape == (3, 4)
+    monkeypatch.setattr(elementwise, "BROADCAST_CELLS", 100)
+    assert cg.outer(orders[:3], line).shape == (3, 1500)
+    for refused in (lambda: orders[:, None] * line[None], lambda: cg.einsum("i,j->ij", orders, line), lambda: cg.broadcast_to(line[:, None], (1500, 200))):
+        with pytest.raises(ValueError, match="outer product"):
+            refused()
+
+
+def test_gradient_at_coordinates_to_the_second_order(spark):
+    at = np.array([0.0, 1, 1.5, 4, 4.25, 7, 9, 10, 10.5, 12])
+    same(cg.gradient(cg.from_array(X), at, axis=1, edge_order=2), np.gradient(X, at, axis=1, edge_order=2))
+    same(cg.gradient(cg.from_array(X[:, :3]), at[:3], axis=1, edge_order=2), np.gradient(X[:, :3], at[:3], axis=1, edge_order=2))
