@@ -1108,6 +1108,31 @@ def storage_round_trips(spark, d):
     return table(zarr=cg.from_zarr(f"{path}-zarr"), stack=cg.from_npy_stack(f"{path}-npy"), stored=cg.store(x, f"{path}-stored", return_stored=True))
 
 
+@query(f"""SELECT i AS i0, j AS i1, {R("v")} AS plain, {R("v")} AS gzip, {R("v")} AS zstd FROM {M}""")
+def zarr_version_3(spark, d):
+    """Blocks written as Zarr of version 3 by each codec in the scratch folder of the session, and read again."""
+    import uuid
+
+    x = matrix(spark, d).rechunk((1000, 16))
+    path = f"{_scratch(spark)}/cells-{uuid.uuid4().hex}"
+    codecs = {"plain": None, "gzip": ("gzip", 1), "zstd": ("zstd", 3)}
+    for name, codec in codecs.items():
+        cg.to_zarr(x, f"{path}-{name}", compressor=codec, zarr_format=3)
+    return table(**{name: cg.from_zarr(f"{path}-{name}") for name in codecs})
+
+
+@query(f"""
+SELECT i AS i0, j AS i1, {R("""CASE WHEN b IS NULL THEN -v * (2 * r + rr) / (r * (r + rr)) + c * (r + rr) / (r * rr) - cc * r / (rr * (r + rr))
+                                    WHEN c IS NULL THEN v * (2 * l + ll) / (l * (l + ll)) - b * (l + ll) / (l * ll) + bb * l / (ll * (l + ll))
+                                    ELSE (c * l * l - b * r * r + v * (r * r - l * l)) / (l * r * (l + r)) END""", 4)} AS slope
+FROM (SELECT *, x - lag(x) OVER w AS l, lag(x) OVER w - lag(x, 2) OVER w AS ll, lead(x) OVER w - x AS r, lead(x, 2) OVER w - lead(x) OVER w AS rr,
+             lag(v) OVER w AS b, lag(v, 2) OVER w AS bb, lead(v) OVER w AS c, lead(v, 2) OVER w AS cc
+      FROM (SELECT i, j, v, j + j * j / 128.0::DOUBLE AS x FROM {M}) WINDOW w AS (PARTITION BY i ORDER BY j))""")
+def gradient_at_coordinates(spark, d):
+    j = np.arange(64.0)
+    return table(4, slope=cg.gradient(matrix(spark, d), j + j * j / 128, axis=1, edge_order=2))
+
+
 @query("""SELECT CAST(i * 10 + j AS BIGINT) AS v, CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1 FROM range(4) a(i), range(10) b(j)""")
 def delayed_block(spark, d):
     return table(v=cg.from_delayed(_forty, (4, 10), dtype="int64"))
